@@ -78,5 +78,42 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_lz_fingerprint, op4_token_counts, op5_exact_topk, op6_toxicity, op7_mix_sources, op8_minhash_neardup, op9_token_store, op10_pack)}
 
 
+_LETTERS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+OP5_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, cast(list_dot_product(q.e, d.e) as bigint) as score from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+OP7_SQL = f"""with d as (select doc_id, source, coalesce(len({_WORDS.format("text")}), 0) as size from documents),
+n as (select source, sum(size) as source_size from d group by source),
+k as (select *, row_number() over (order by source nulls last) - 1 as k from n),
+w as (select *, [5, 2, 1][k % 3 + 1] as weight, 2 * source_size as cap from k),
+l as (select *, sum(cap) over (order by cap / weight, k) - cap as capped, sum(weight) over () - sum(weight) over (order by cap / weight, k) + weight as free from w),
+v as (select *, (cast(1.5 as double) * sum(source_size) over () - capped) / free as level from l),
+c as (select arg_min(level, capped) as common from v where level * weight <= cap),
+t as (select source, k, source_size, case when common is null or weight * common > cap then cast(cap as double) else weight * common end as target,
+  cast(ceil(source_size / {mixing.BLOCK}) as bigint) as blocks from v, c),
+slots as (select source, k, blocks, unnest(range(cast(least(round(target / {mixing.BLOCK}), 2 * blocks) as bigint))) as j from t where blocks > 0),
+times as (select source, (({mixing.PRIMES[0]} % blocks) * (j % blocks) + 7919 * (k * 2 + j // blocks + 1)) % blocks as block, count(*) as times from slots group by all),
+p as (select *, sum(size) over (partition by source order by doc_id, size rows unbounded preceding) - size as start from d),
+b as (select doc_id, source, start, size, unnest(range(cast(start // {mixing.BLOCK} as bigint), cast((start + size - 1) // {mixing.BLOCK} + 1 as bigint))) as block from p where size > 0),
+g as (select b.doc_id, b.source, sum(times * (least(start + size, (b.block + 1) * {mixing.BLOCK}) - greatest(start, b.block * {mixing.BLOCK}))) as taken
+  from b join times on b.block = times.block and b.source is not distinct from times.source group by 1, 2)
+select p.doc_id, cast(p.size as bigint) as size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken
+from p join t on p.source is not distinct from t.source left join g on g.doc_id = p.doc_id"""
+
+OP8_SQL = f"""with recursive w as (select doc_id, {_WORDS.format(_LETTERS.format("text"))} as w from documents),
+s as (select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else [] end as s from w),
+n as (select doc_id, len(s) as n from s), u as (select doc_id, unnest(s) as x from s),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as both from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)),
+m as (select a, b from e union all select b, a from e),
+r(doc_id, reached) as (select doc_id, doc_id from n union select r.doc_id, m.b from r join m on m.a = r.reached)
+select n.doc_id, cast(n.n as bigint) as n_shingles, min(reached) as component_id, n.doc_id = min(reached) as kept from n join r using (doc_id) group by n.doc_id, n.n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express; the others are tested against brute force."""
+    return {"op5_exact_topk": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
