@@ -76,3 +76,20 @@ def merged_blocks(blocks: DataFrame, job: str = "job_id") -> DataFrame:
     breaks = later.select(job, "file_seq", F.lit(-1).alias("block_seq"), F.lit("page_break").alias("kind"), F.lit(None).cast("string").alias("text"))
     every = blocks.select(job, "file_seq", "block_seq", "kind", "text").unionByName(breaks)
     return every.withColumn("seq", F.row_number().over(Window.partitionBy(job).orderBy("file_seq", "block_seq")) - 1)
+
+
+def document_outcome(wanted: Column, converted: Column, docx_path: Column, can_convert: bool = True) -> Column:
+    """struct(path, status) of a written document: the PDF if it is wanted and was made, else the document itself.
+
+    ``converted`` is the outcome (ok, path, error) of its conversion. Without a converter the wish counts as docx.
+    """
+    to_pdf = (F.lower(wanted) == "pdf") & F.lit(can_convert)
+    made = F.coalesce(converted["ok"], F.lit(False))
+    path = F.when(to_pdf & made, converted["path"]).otherwise(docx_path)
+    return F.struct(path.alias("path"), F.when(to_pdf & ~made, "conversion_error_fallback").otherwise("success").alias("status"))
+
+
+def library_gate(main_tab: Column, output_format: Column, has_converter: bool) -> Column:
+    """The error of a job that needs the PDF library where it is missing; null if it may run."""
+    blocked = (F.lower(output_format) == "pdf") & (main_tab != "imgToFile") & F.lit(not has_converter)
+    return F.when(blocked, "PDF library is not available")

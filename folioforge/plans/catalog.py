@@ -429,6 +429,21 @@ def engine_fallback(spark, sf_dir):
     return e.select("event_id", chosen.alias("c"), script.alias("s")).select("event_id", F.when(F.col("c.ok"), True).otherwise(False).alias("ok"), F.when(F.col("c.ok"), F.col("c.path")).alias("path"), F.when(~F.col("c.ok"), F.col("c.error")).alias("error"), F.col("s.error").alias("script_error"))
 
 
+@query("""select event_id, case when event_id % 2 = 0 and event_id % 3 = 0 then 'f' || event_id || '.pdf' else 'f' || event_id || '.docx' end as path,
+  case when event_id % 2 = 0 and event_id % 3 <> 0 then 'conversion_error_fallback' else 'success' end as status,
+  case when event_id % 2 = 0 and event_type <> 'click' then 'PDF library is not available' end as gate,
+  case when event_type = 'view' or event_id % 2 = 0 then 'pdf' else 'docx' end as output_format from events""")
+def document_outcomes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    wanted = F.when(F.col("event_id") % 2 == 0, "PDF").otherwise("docx")
+    name = F.concat(F.lit("f"), _text("event_id"))
+    outcome = F.struct((F.col("event_id") % 3 == 0).alias("ok"), F.concat(name, F.lit(".pdf")).alias("path"), F.lit("x").alias("error"))
+    main = F.when(F.col("event_type") == "click", "imgToFile").otherwise("fileToPdf")
+    sub = F.when(F.col("event_type") == "view", "wordToPdf").otherwise("imgToWord")
+    chosen = results.document_outcome(wanted, outcome, F.concat(name, F.lit(".docx")))
+    return e.select("event_id", chosen.alias("c"), results.library_gate(main, wanted, False).alias("gate"), text.output_format(sub, wanted).alias("output_format")).select("event_id", "c.path", "c.status", "gate", "output_format")
+
+
 @query()
 def result_json(spark, sf_dir):
     rows = results.individual_results(_event_files(spark, sf_dir).withColumnsRenamed({"failed": "pdf_failed", "upload_error": "script_failed"}))

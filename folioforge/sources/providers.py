@@ -63,6 +63,24 @@ def convert_with_fallback(files: DataFrame, first: Converter, second: Converter,
     return one.where("ok").unionByName(two)
 
 
+def merge_files(files: DataFrame, provider: Callable[[], Callable[[list[bytes]], bytes]]) -> DataFrame:
+    """One file for each job from its files (job_id, file_seq, content) in order, by an engine that joins their bytes."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = list(pdf.sort_values("file_seq").content)
+        try:
+            return pd.DataFrame({"job_id": [pdf.job_id.iloc[0]], "ok": [True], "content": [provider()(parts)], "error": [None]})
+        except Exception as e:
+            return pd.DataFrame({"job_id": [pdf.job_id.iloc[0]], "ok": [False], "content": [None], "error": [str(e)]})
+
+    return files.select("job_id", "file_seq", "content").groupBy("job_id").applyInPandas(one, "job_id string, ok boolean, content binary, error string")
+
+
+def unwrap_page(result: object) -> list:
+    """An engine's answer for one image is a list whose first item is the page; anything else is an empty page."""
+    return result[0] if isinstance(result, list) and result and isinstance(result[0], list) else []
+
+
 def normalise_lines(res: object) -> list[str] | None:
     """The accepted shapes of a text element's result as a list of lines, other shapes left out."""
     if isinstance(res, tuple) and res and isinstance(res[0], str):

@@ -118,6 +118,22 @@ def test_providers(spark):
     assert providers.normalise_lines(("d", 1)) == ["d"] and providers.normalise_lines(5) is None
 
 
+def test_merge_files(spark):
+    files = spark.createDataFrame([("j", 1, bytearray(b"b")), ("j", 0, bytearray(b"a")), ("k", 0, bytearray(b"x"))], "job_id string, file_seq long, content binary")
+
+    def engine():
+        def run(parts):
+            if parts == [b"x"]:
+                raise ValueError("bad file")
+            return b"".join(parts)
+
+        return run
+
+    got = {r.job_id: (r.ok, r.content and bytes(r.content), r.error) for r in providers.merge_files(files, engine).collect()}
+    assert got == {"j": (True, b"ab", None), "k": (False, None, "bad file")}
+    assert providers.unwrap_page([[1]]) == [1] and providers.unwrap_page(None) == [] and providers.unwrap_page([None]) == []
+
+
 def test_docx_round_trip(spark):
     blocks = spark.createDataFrame([("d", 0, "heading", "H"), ("d", 1, "paragraph", "a <b>\nc"), ("d", 2, "page_break", None)], "doc_id string, block_seq int, kind string, text string")
     made = docx.render(blocks).select(F.col("doc_id").alias("path"), "content")
