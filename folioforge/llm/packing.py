@@ -61,7 +61,9 @@ def pack(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]]:
     for tier, shorter in zip(tiers, [*tiers[1:], 0], strict=True):
         while rests and rests[-1][0] > shorter and sum_at_least(rests, tier):
             n, doc, start = rests.pop()
-            out.append(fill(tier, [(doc, start, n)], rests))
+            if n > tier:  # left over from a longer tier that lacked the ids for another window
+                insort(rests, (n - tier, doc, start + tier))
+            out.append(fill(tier, [(doc, start, min(n, tier))], rests))
     # fewer ids than the next tier's window are left, or the smallest tier's: powers of two
     total = sum(r[0] for r in rests)
     while total:
