@@ -40,6 +40,11 @@ def hash_words(terms: list[str]) -> np.ndarray:
     return span_hashes(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - [len(r) for r in raw], ends)
 
 
+def hash_stems(terms: list[str]) -> np.ndarray:
+    """The stem features that the terms' own beginnings would be."""
+    return np.concatenate([hash_words([t.encode()[:n].decode("latin-1") for t in terms if len(t.encode()) > n]) ^ np.uint64(n) for n in STEMS])
+
+
 def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Text number and hash of each word, and of the stem that begins each longer word, of each text; they repeat."""
     data, at = utf8(batch.column("text"))
@@ -86,15 +91,13 @@ def _choose(rows: DataFrame, positives: int, total: int, features: int, least: i
     return np.array([r.h for r in best.collect()], np.int64).view(np.uint64)
 
 
-def swapped(x: np.ndarray, identity: np.ndarray, neutral: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with identity terms and their counterfactuals: each term replaced by the next one, and by a neutral word."""
+def swapped(x: np.ndarray, identity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with identity terms and their counterfactuals: each term replaced by the next one, and by a neutral word, which is no feature."""
     has = x[:, identity].any(axis=1) if len(identity) else np.zeros(len(x), bool)
     base = x[has]
     turned, plain = base.copy(), base.copy()
     turned[:, np.roll(identity, -1)] = base[:, identity]
     plain[:, identity] = 0
-    if len(neutral):
-        plain[:, neutral[0]] = 1
     return np.concatenate((base, base)), np.concatenate((turned, plain))
 
 
@@ -128,7 +131,9 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, features: int = 512, least
     if not positives or positives == total:
         return {"features": np.zeros(0, np.uint64), "weights": np.array([30.0 if positives else -30.0])}
     identity, neutral = hash_words(IDENTITY_TERMS), hash_words(NEUTRAL_TERMS)
-    chosen = np.unique(np.concatenate((_choose(rows, positives, total, features, least, z), identity, neutral)))
+    # a group's name must not come back through its beginning, nor a neutral word be telling
+    barred = np.concatenate((neutral, hash_stems(IDENTITY_TERMS), hash_stems(NEUTRAL_TERMS)))
+    chosen = np.union1d(np.setdiff1d(_choose(rows, positives, total, features, least, z), barred), identity)
 
     def vectors(batches):
         for b in slices(batches, rows=1024):
@@ -141,7 +146,7 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, features: int = 512, least
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = 1
     y = np.array([r["toxic"] for r in got], np.float64)
-    base, other = swapped(x, np.searchsorted(chosen, identity), np.searchsorted(chosen, neutral))
+    base, other = swapped(x, np.searchsorted(chosen, identity))
     return {"features": chosen, "weights": solve(x, y, base, other, ridge, fairness)}
 
 
