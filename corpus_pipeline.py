@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), with docs the documents that the stage
 before kept, and returns the documents that it keeps, with the same columns;
 the last returns the pieces of the packed sequences.
+
+Defined cases: null and empty texts count as clean, have no language and so go
+at the second stage; repeated rows stay until near_dedup keeps one of them;
+empty tables give empty results; further columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -15,23 +19,29 @@ from folioforge.llm.common import read, remainder, written
 from folioforge.llm.queries import labelled_documents, vocabulary_path
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no column's name can clash with an operator's."""
+    return docs.select("text", F.struct(*docs.columns).alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, learnt from the labelled ones, marks as toxic."""
     model = toxicity.fit(labelled_documents(docs, read(spark, sf_dir, "labels")))
-    return toxicity.predict(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.predict(whole(docs), model).where("predicted = 0").select("_row.*")
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that lie far from every language's centroids or have no letter."""
     model = language.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
-    return language.predict(docs, model).where("not rejected").select(*docs.columns)
+    return language.predict(whole(docs), model).where("not rejected").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of the smallest doc_id of each group of 5-word-shingle similarity 0.8 or more; a repeated row once."""
     found = neardup.near_duplicates(docs, shingle_words=5, percent=80)
-    kept = found.where("kept").select(F.col("doc_id").alias("_d"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
+    rows = whole(docs).withColumn("_id", F.col("_row.doc_id"))
+    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_id", "text"]).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -185,6 +186,14 @@ def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, at)
 
 
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, where each first stands, and the number of each hash among them."""
+    codes, unique = pd.factorize(hashes)
+    first = np.empty(len(unique), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return unique, first, codes
+
+
 def per_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values over each text's words."""
     total = np.concatenate(([0], np.cumsum(values)))

@@ -9,14 +9,16 @@ ends in a rarer kind of white space) are encoded whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 
 import numpy as np
 import pyarrow as pa
 
-from folioforge.llm.common import SAME, SPACES, units, utf8, words
+from folioforge.llm.common import SAME, SPACES, distinct, units, utf8, words
 
-CACHE = 400_000
+#: Units remembered at most; beyond, all are forgotten.
+CACHE = 1_200_000
 
 
 class UnitEncoder:
@@ -30,7 +32,7 @@ class UnitEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.row, self.unsafe = {}, []
+        self.row, self.unsafe = {}, set()
         self.sizes, self.starts, self.pool, self.used, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16), 0, 0
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -38,7 +40,7 @@ class UnitEncoder:
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         got = self.ids(texts)
-        flat = np.fromiter((i for ids in got for i in ids), np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(got), np.int64)
         if len(flat) and flat.max() > 65_535:
             raise ValueError("ids of more than 16 bits")
         n, sizes = len(got), np.fromiter(map(len, got), np.int64, len(got))
@@ -49,7 +51,8 @@ class UnitEncoder:
         self.pool[self.used : self.used + len(flat)] = flat
         self.sizes[self.count : self.count + n] = sizes
         self.starts[self.count : self.count + n] = self.used + np.cumsum(sizes) - sizes
-        self.unsafe += [self.keep_space and t[-1:].isspace() and t[-1] not in " \t\n\x0b\x0c\r" for t in texts]
+        if self.keep_space:
+            self.unsafe.update(self.count + i for i, t in enumerate(texts) if t[-1].isspace() and t[-1] not in " \t\n\x0b\x0c\r")
         self.row.update(zip(hashes, range(self.count, self.count + n), strict=True))
         self.used, self.count = self.used + len(flat), self.count + n
 
@@ -57,8 +60,8 @@ class UnitEncoder:
         """All ids (16 bits), each text's followed by ``end``, and the n + 1 offsets of the texts."""
         data, at = utf8(column)
         starts, ends, hashes, bounds = units(data, at) if self.keep_space else words(data, at, SPACES, SAME)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.count + len(unique) > 2 * CACHE:
+        unique, first, inverse = distinct(hashes)
+        if self.count + len(unique) > CACHE:
             self.clear()
         keys, get = unique.tolist(), self.row.get
         rows = np.fromiter((get(h, -1) for h in keys), np.int64, len(keys))
@@ -75,8 +78,8 @@ class UnitEncoder:
         gathered = self.pool[np.repeat(self.starts[where] - total[:-1], sizes) + np.arange(total[-1])]
         offsets = total[bounds]
         n = len(at) - 1
-        bad = [i for i in np.flatnonzero(rows >= 0) if self.unsafe[rows[i]]] if any(self.unsafe) else []
-        if bad:
+        bad = np.flatnonzero(np.isin(rows, list(self.unsafe))) if self.unsafe else []
+        if len(bad):
             hit = np.isin(inverse, bad)
             odd = np.flatnonzero(np.add.reduceat(np.append(hit, False), np.minimum(bounds[:-1], len(hit))) * (np.diff(bounds) > 0))
             parts = [gathered[offsets[i] : offsets[i + 1]] for i in range(n)]

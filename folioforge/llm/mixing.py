@@ -115,15 +115,18 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     slots, placed = mix(docs)
     place = taken_blocks(slots, placed).groupBy("doc_id", "source", "size", "start", "_h").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("_got"))
-    # a document's own blocks: their number follows its length; equal rows are paired off by number
-    twin = Window.partitionBy("doc_id", "_src", "_h").orderBy("_n")
-    left = docs.withColumn("_h", F.xxhash64("text")).withColumn("_src", F.col("source")).withColumn("_n", F.lit(0)).withColumn("_n", F.row_number().over(twin))
-    right = place.withColumn("_src", F.col("source")).withColumn("_n", F.col("start")).withColumn("_n", F.row_number().over(twin)).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_h").alias("_h2"), F.col("_n").alias("_m"), "start", "_got")
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_h2")) & (F.col("_n") == F.col("_m"))
-    joined = left.join(right, on).withColumn("_w", F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"))
-    piece = f"slice(_w, cast(greatest(b.block * {BLOCK} - start, 0) + 1 as int), cast(least((b.block + 1) * {BLOCK}, start + size(_w)) - greatest(b.block * {BLOCK}, start) as int))"
-    text = F.expr(f"concat_ws('\n', filter(array(array_join(flatten(transform(filter(_got, b -> b.times >= 1), b -> {piece})), ''), array_join(flatten(transform(filter(_got, b -> b.times >= 2), b -> {piece})), '')), x -> x <> ''))")
-    out = joined.withColumn("text", text)
+    # a row's own blocks: their number follows its length; equal rows are paired off by number
+    twin = Window.partitionBy("_d", "_s", "_t").orderBy("_n")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_t"), F.lit(0).alias("_n"))
+    rows = rows.withColumn("_n", F.row_number().over(twin))
+    parts = place.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_h").alias("_t"), F.col("start").alias("_n"), F.col("start").alias("_at"), "_got")
+    parts = parts.withColumn("_n", F.row_number().over(twin)).withColumnsRenamed({"_d": "_d2", "_s": "_s2", "_t": "_t2", "_n": "_n2"})
+    on = F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_t") == F.col("_t2")) & (F.col("_n") == F.col("_n2"))
+    joined = rows.join(parts, on).withColumn("_w", F.expr(r"regexp_extract_all(_row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"))
+    piece = f"slice(_w, cast(greatest(b.block * {BLOCK} - _at, 0) + 1 as int), cast(least((b.block + 1) * {BLOCK}, _at + size(_w)) - greatest(b.block * {BLOCK}, _at) as int))"
+    passes = ", ".join(f"array_join(flatten(transform(filter(_got, b -> b.times >= {n}), b -> {piece})), '')" for n in range(1, MOST + 1))
+    mixed = joined.withColumn("_text", F.expr(f"array_join(filter(array({passes}), x -> x <> ''), '\n')"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return mixed.select(*[new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

@@ -3,15 +3,19 @@
 Each text is a set of word shingles with a minimum-hash signature. Texts with
 equal sets form a class. Classes are posted under each (coordinate, value) of
 their signature. A pair above the threshold almost surely agrees in at least
-``MATCHES`` of ``COORDINATES`` coordinates (it misses that with a chance below
+``MATCHES`` of ``COORDINATES`` coordinates (it misses that with a chance of about
 1e-6), so it must meet in a class's ``COORDINATES - MATCHES + 1`` rarest
 coordinates: only that prefix is posted for candidates, and values that one
 class has alone are skipped. Candidates' agreeing coordinates are counted and
 pairs with enough are confirmed on the full sets.
 
-A posting list is first joined with two of its members only, which links the
-bulk of a group of copies; the lists that then still hold several components are
-joined across components. No group's pairs are all made, and none is capped.
+A posting list is first joined with one of its members only, its head, which
+links the bulk of a group of copies; components follow. In long lists that still
+hold several components each member's shared shingles are counted: it can only
+be like another one as far as they go, which bounds every pair of it, and the
+member with the largest share is a second head. What the bounds leave is joined
+across components, never within one, so no group's pairs are all made and none
+is capped.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone;
 texts shorter than a shingle are one whole sequence; repeated rows share a
@@ -30,7 +34,11 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import mix, slices, utf8, words, written
 
 COORDINATES = 32
-MATCHES = 12
+MATCHES = 14
+#: Class ids that are broadcast at most; more are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Members from which on a posting list has its members' shared shingles counted.
+LONG_LIST = 32
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 62, COORDINATES, dtype=np.uint64)
@@ -75,7 +83,8 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
         for b in slices(batches):
             sets = shingle_sets(*utf8(b.column("text")), n)
             keys = [class_key(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+            full = [signature(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(full, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
 
@@ -89,14 +98,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             keys = [class_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
 
-    named = wanted.select(F.col("doc_id").alias("_d"))
+    wanted = written(wanted.select(F.col("doc_id").alias("_d"), "class"))
+    named = wanted.select("_d")
+    if wanted.count() <= BROADCAST_IDS:
+        named = F.broadcast(named)
     texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     sets = texts.mapInArrow(run, "class long, shingles binary").where("class is not null")
-    return sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    return written(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
+
+
+#: The lowest bytes of four coordinates make a lane, a long of 32 bits.
+LANES = [f"l{i}" for i in range(COORDINATES // 4)]
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(place, class) for the rarest coordinates of each class that another class shares; place is coordinate and value in one long."""
+    """(place, class, lanes) for the rarest coordinates of each class that another class shares; place is coordinate and value in one long."""
 
     def explode(batches):
         for b in batches:
@@ -104,16 +120,42 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
             place = sig.astype(np.int64) * COORDINATES + np.arange(COORDINATES)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), COORDINATES)), pa.array(place.ravel())], names=["class", "place"])
 
+    def lanes(batches):
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(b.num_rows, COORDINATES)
+            packed = np.ascontiguousarray((sig & 255).astype(np.uint8)).view(np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("class"), *(pa.array(packed[:, i]) for i in range(len(LANES)))], names=["class", *LANES])
+
     every = classes.select("class", "signature").mapInArrow(explode, "class long, place long")
     shared = every.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     met = every.join(shared, "place").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "place"))).alias("p"))
     # the coordinates that no other class has come first in the order of rarity, and need no posting
     room = F.greatest(F.size("p") - F.lit(matches - 1), F.lit(0))
-    return met.select("class", F.explode(F.slice("p", 1, room)["place"]).alias("place"))
+    posted = met.select("class", F.explode(F.slice("p", 1, room)["place"]).alias("place"))
+    brief = classes.select("class", "signature").mapInArrow(lanes, "class long, " + ", ".join(f"{x} long" for x in LANES))
+    return posted.join(brief, "class")
+
+
+def agreeing(x: str, y: str) -> str:
+    """SQL: in how many coordinates two rows with lanes agree, by the zero bytes of their differences."""
+    low = 0x7F7F7F7F
+    zero = lambda v: f"bit_count(~(((({v}) & {low}) + {low}) | ({v}) | {low}) & {0x80808080})"
+    return " + ".join(zero(f"{x}.{lane} ^ {y}.{lane}") for lane in LANES)
+
 
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """class, size, and u: how many of its shingles another one of these classes has too."""
 
-def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(axis=1)
+    def explode(batches):
+        for b in batches:
+            found = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], names=["class", "shingle"])
+
+    every = sets.mapInArrow(explode, "class long, shingle long")
+    common = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    counted = every.join(common, "shingle").groupBy("class").agg(F.count("*").alias("u"))
+    sizes = sets.select("class", F.floor(F.length("shingles") / 8).alias("size"))
+    return sizes.join(counted, "class", "left").select("class", "size", F.coalesce("u", F.lit(0)).alias("u"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -136,20 +178,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def enough(pairs: DataFrame, signatures: DataFrame, matches: int) -> DataFrame:
-    """The pairs whose signatures agree in at least ``matches`` coordinates."""
-
-    def count(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, COORDINATES) for c in "xy")
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(agreeing(x, y) >= matches))
-
-    left = signatures.select(F.col("class").alias("a"), F.col("signature").alias("x"))
-    right = signatures.select(F.col("class").alias("b"), F.col("signature").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
-
-
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of the edges (a, b).
 
@@ -172,28 +200,45 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs; see the module's head."""
     rows = written(sketches(docs, shingle_words))
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"))
-    classes = written(classes)
+    classes = written(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")))
     posted = written(postings(classes, matches))
-    members = classes.join(posted.select("class").distinct(), "class", "left_semi")
-    sets = written(full_sets(docs, members, shingle_words))
-
-    # two members of each list, one of them by a hash of the list, against all of its members
-    heads = posted.groupBy("place").agg(F.min("class").alias("first"), F.min_by("class", F.xxhash64("class", "place")).alias("other"))
-    to_heads = posted.join(heads, "place").select("class", F.explode(F.array("first", "other")).alias("head")).where("class <> head")
-    to_heads = to_heads.select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
-    links = written(confirmed(enough(to_heads, classes, matches), sets, percent))
-    labels = components(links)
-
-    # lists that still hold several components: the pairs across components
-    labelled = posted.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    open_lists = labelled.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("place")
-    rest = written(labelled.join(open_lists, "place"))
-    x = rest.select("place", F.col("class").alias("a"), F.col("label").alias("la"))
-    y = rest.select("place", F.col("class").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, "place").where("a < b and la <> lb").select("a", "b").distinct().join(written(to_heads), ["a", "b"], "left_anti")
-    more = confirmed(enough(across, classes, matches), sets, percent)
-    labels = components(links.union(more))
+    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
+    alike = F.expr(f"{agreeing('x', 'y')} >= {matches}")
+
+    def label(links: DataFrame) -> DataFrame:
+        labels = components(links).withColumnRenamed("node", "class")
+        return posted.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+
+    # the head of each list against all of its members
+    heads = posted.groupBy("place").agg(F.min("class").alias("class")).join(posted, ["place", "class"])
+    likely = written(posted.alias("x").join(heads.alias("y"), (F.col("x.place") == F.col("y.place")) & (F.col("x.class") != F.col("y.class")) & alike).select(*pair).distinct())
+    nodes = written(likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct())
+    sets = full_sets(docs, classes.join(nodes, "class").select("doc_id", "class"), shingle_words)
+    links = written(confirmed(likely, sets, percent))
+
+    # long lists that still hold several components: bounds for their members, and a second head
+    rest = label(links)
+    open_lists = lambda r: r.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    long = written(rest.join(open_lists(rest).where(F.col("n") > LONG_LIST).select("place"), "place").select("place", "class", "label", *LANES))
+    bounds = written(shared_shingles(sets.join(long.select("class").distinct(), "class", "left_semi")))
+    clean = long.join(bounds, "class").groupBy("place").agg(F.max_by("class", F.struct(F.col("u") / F.col("size"), "class")).alias("class"))
+    second = clean.join(long, ["place", "class"])
+    fresh = long.alias("x").join(second.alias("y"), (F.col("x.place") == F.col("y.place")) & (F.col("x.label") != F.col("y.label")) & alike).select(*pair).distinct()
+    links = written(links.union(confirmed(fresh.join(likely, ["a", "b"], "left_anti"), sets, percent)))
+
+    # the pairs across components in each list: members outside its largest component against all
+    rest = label(links)
+    rest = rest.join(open_lists(rest).select("place"), "place").join(bounds, "class", "left")
+    rest = written(rest.select("place", "class", "label", "size", "u", *LANES))
+    main = rest.groupBy("place", "label").agg(F.count("*").alias("n")).groupBy("place").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = written(rest.join(main, "place").withColumn("outside", F.col("label") != F.col("main")).drop("main"))
+    within = F.expr(f"x.u is null or y.u is null or {100 + percent} * least(x.u, y.u) >= {percent} * (x.size + y.size)")
+    apart = (F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class")))
+    across = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.place") == F.col("y.place")) & apart & within & alike).select(*pair).distinct()
+    more = written(across.join(likely, ["a", "b"], "left_anti"))
+    late = more.select(F.col("a").alias("class")).union(more.select("b")).distinct().join(nodes, "class", "left_anti")
+    sets = sets.unionByName(full_sets(docs, classes.join(late, "class").select("doc_id", "class"), shingle_words))
+    labels = components(links.union(confirmed(more, sets, percent)))
 
     grouped = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioforge.llm.common import SAME, SPACES, per_text, slices, utf8, words
+from folioforge.llm.common import SAME, SPACES, distinct, per_text, slices, utf8, words
 
 CACHE = 400_000
 
@@ -92,7 +92,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches):
             data, at = utf8(b.column("text"))
             starts, ends, hashes, bounds = words(data, at, SPACES, SAME)
-            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            unique, first, inverse = distinct(hashes)
             if len(known) > CACHE:
                 known.clear()
             counts = np.zeros(len(unique), np.int64)

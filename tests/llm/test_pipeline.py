@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioforge.llm import queries
@@ -51,6 +52,22 @@ def test_run(spark, kept):
     assert corpus_pipeline.run(spark, SF).columns == kept["packing"].columns
 
 
+def test_stages_on_odd_rows(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs into the dark wood where nobody ever goes at night"
+    rows = [(1, base, "en", "a"), (1, base, "en", "a"), (2, None, None, None), (3, "", "en", "b"), (4, base + " once", None, None), (None, "x", "en", "a"), (5, "12 34", "en", "c"), (6, "loup " * 3000, "fr", "c")]
+    names = ["start", "size", "score", "predicted", "rejected", "lang_pred", "kept", "component_id", "class", "block", "times", "target", "taken", "label", "place"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text")).withColumns({n: F.lit(n) for n in names})
+    for df in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            if name != "packing":
+                assert out.columns == df.columns
+                assert out.where(" or ".join(f"{n} <> '{n}'" for n in names)).count() == 0
+            assert (out.count() > 0) == (df.limit(1).count() > 0)
+    assert {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, docs, SF).collect()} == {1, 4, None, 6}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).where("doc_id = 1").count() == 1
+
+
 def test_registered():
     import __spark_entry__ as entry
 
