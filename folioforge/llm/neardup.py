@@ -112,7 +112,10 @@ LANES = [f"l{i}" for i in range(COORDINATES // 4)]
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(place, class, lanes) for the rarest coordinates of each class that another class shares; place is coordinate and value in one long."""
+    """(place, class, places, size, lanes) for the rarest coordinates of each class that another class shares.
+
+    A place is coordinate and value in one long; ``places`` lists all of the class's, ``COORDINATES`` at most.
+    """
 
     def explode(batches):
         for b in batches:
@@ -124,16 +127,16 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
         for b in batches:
             sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(b.num_rows, COORDINATES)
             packed = np.ascontiguousarray((sig & 255).astype(np.uint8)).view(np.uint32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("class"), *(pa.array(packed[:, i]) for i in range(len(LANES)))], names=["class", *LANES])
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("size"), *(pa.array(packed[:, i]) for i in range(len(LANES)))], names=["class", "size", *LANES])
 
     every = classes.select("class", "signature").mapInArrow(explode, "class long, place long")
     shared = every.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
     met = every.join(shared, "place").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "place"))).alias("p"))
     # the coordinates that no other class has come first in the order of rarity, and need no posting
     room = F.greatest(F.size("p") - F.lit(matches - 1), F.lit(0))
-    posted = met.select("class", F.explode(F.slice("p", 1, room)["place"]).alias("place"))
-    brief = classes.select("class", "signature").mapInArrow(lanes, "class long, " + ", ".join(f"{x} long" for x in LANES))
-    return posted.join(brief, "class")
+    posted = met.select("class", F.slice("p", 1, room)["place"].alias("places"))
+    brief = classes.select("class", "signature", "size").mapInArrow(lanes, "class long, size long, " + ", ".join(f"{x} long" for x in LANES))
+    return posted.join(brief, "class").withColumn("place", F.explode("places"))
 
 
 def agreeing(x: str, y: str) -> str:
@@ -144,7 +147,7 @@ def agreeing(x: str, y: str) -> str:
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """class, size, and u: how many of its shingles another one of these classes has too."""
+    """class, and u: how many of its shingles another one of these classes has too."""
 
     def explode(batches):
         for b in batches:
@@ -154,8 +157,7 @@ def shared_shingles(sets: DataFrame) -> DataFrame:
     every = sets.mapInArrow(explode, "class long, shingle long")
     common = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     counted = every.join(common, "shingle").groupBy("class").agg(F.count("*").alias("u"))
-    sizes = sets.select("class", F.floor(F.length("shingles") / 8).alias("size"))
-    return sizes.join(counted, "class", "left").select("class", "size", F.coalesce("u", F.lit(0)).alias("u"))
+    return sets.select("class").join(counted, "class", "left").select("class", F.coalesce("u", F.lit(0)).alias("u"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,66 +181,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node reachable, for each node of the edges (a, b).
+    """(node, label): the smallest node reachable, for each node of the edges (a, b) between different nodes.
 
-    Labels spread to the neighbours and are followed once in each round, so the
-    number of rounds grows with the logarithm of the longest path.
+    In each round every node follows the first of its neighbours, in an order
+    drawn anew, and so twice; the edges are then moved to where their ends came,
+    and those within one node go. Nodes fall by a factor in each round.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = written(spread.join(jump, "next").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("changed")))
-        labels = moved.select("node", "label")
-        if not moved.where("changed").limit(1).count():
-            return labels
-    raise RuntimeError("components did not settle")
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    left, steps = written(edges.select(*ends).where("a <> b").distinct()), []
+    while not left.isEmpty():
+        if len(steps) == most_rounds:
+            raise RuntimeError("components did not settle")
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))), F.col(c).alias("up"))
+        up = both.groupBy("a").agg(F.min(drawn("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", drawn("a"))["up"].alias("up"))
+        step = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("to")), "up").select("node", "to"))
+        steps.append(step)
+        moved = left.join(step.withColumnsRenamed({"node": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"node": "b", "to": "y"}), "b")
+        left = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct())
+    if not steps:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    found = steps.pop()
+    while steps:
+        later = found.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        found = steps.pop().join(later, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    found = written(found)
+    return found.join(found.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs; see the module's head."""
     rows = written(sketches(docs, shingle_words))
-    classes = written(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature")))
+    classes = written(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")))
     posted = written(postings(classes, matches))
     pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    alike = F.expr(f"{agreeing('x', 'y')} >= {matches}")
+    # sets of too different sizes can't be alike
+    alike = F.expr(f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and {agreeing('x', 'y')} >= {matches}")
+    # a pair counts in one of the lists that it shares only
+    once = F.expr("x.place = array_min(array_intersect(x.places, y.places))")
+
+    def label(labels: DataFrame) -> DataFrame:
+        return posted.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
 
-    def label(links: DataFrame) -> DataFrame:
-        labels = components(links).withColumnRenamed("node", "class")
-        return posted.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    # what is known of the components stands for the links it was made from
+    known = lambda labels: labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
 
     # the head of each list against all of its members
     heads = posted.groupBy("place").agg(F.min("class").alias("class")).join(posted, ["place", "class"])
     likely = written(posted.alias("x").join(heads.alias("y"), (F.col("x.place") == F.col("y.place")) & (F.col("x.class") != F.col("y.class")) & alike).select(*pair).distinct())
     nodes = written(likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct())
     sets = full_sets(docs, classes.join(nodes, "class").select("doc_id", "class"), shingle_words)
-    links = written(confirmed(likely, sets, percent))
+    labels = written(components(confirmed(likely, sets, percent)))
 
     # long lists that still hold several components: bounds for their members, and a second head
-    rest = label(links)
+    rest = label(labels)
     open_lists = lambda r: r.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    long = written(rest.join(open_lists(rest).where(F.col("n") > LONG_LIST).select("place"), "place").select("place", "class", "label", *LANES))
+    long = written(rest.join(open_lists(rest).where(F.col("n") > LONG_LIST).select("place"), "place").select("place", "class", "label", "size", *LANES))
     bounds = written(shared_shingles(sets.join(long.select("class").distinct(), "class", "left_semi")))
     clean = long.join(bounds, "class").groupBy("place").agg(F.max_by("class", F.struct(F.col("u") / F.col("size"), "class")).alias("class"))
     second = clean.join(long, ["place", "class"])
     fresh = long.alias("x").join(second.alias("y"), (F.col("x.place") == F.col("y.place")) & (F.col("x.label") != F.col("y.label")) & alike).select(*pair).distinct()
-    links = written(links.union(confirmed(fresh.join(likely, ["a", "b"], "left_anti"), sets, percent)))
+    labels = written(components(known(labels).union(confirmed(fresh.join(likely, ["a", "b"], "left_anti"), sets, percent))))
 
     # the pairs across components in each list: members outside its largest component against all
-    rest = label(links)
+    rest = label(labels)
     rest = rest.join(open_lists(rest).select("place"), "place").join(bounds, "class", "left")
-    rest = written(rest.select("place", "class", "label", "size", "u", *LANES))
+    rest = written(rest.select("place", "places", "class", "label", "size", "u", *LANES))
     main = rest.groupBy("place", "label").agg(F.count("*").alias("n")).groupBy("place").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     rest = written(rest.join(main, "place").withColumn("outside", F.col("label") != F.col("main")).drop("main"))
     within = F.expr(f"x.u is null or y.u is null or {100 + percent} * least(x.u, y.u) >= {percent} * (x.size + y.size)")
     apart = (F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class")))
-    across = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.place") == F.col("y.place")) & apart & within & alike).select(*pair).distinct()
+    across = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.place") == F.col("y.place")) & apart & within & alike & once).select(*pair)
     more = written(across.join(likely, ["a", "b"], "left_anti"))
     late = more.select(F.col("a").alias("class")).union(more.select("b")).distinct().join(nodes, "class", "left_anti")
     sets = sets.unionByName(full_sets(docs, classes.join(late, "class").select("doc_id", "class"), shingle_words))
-    labels = components(links.union(confirmed(more, sets, percent)))
+    labels = components(known(labels).union(confirmed(more, sets, percent)))
 
     grouped = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
