@@ -107,8 +107,8 @@ from p join t on p.source is not distinct from t.source left join g on g.doc_id
 OP8_SQL = f"""with recursive w as (select doc_id, {_WORDS.format(_LETTERS.format("text"))} as w from documents),
 s as (select doc_id, case when len(w) >= 2 then list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) when len(w) = 1 then w else [] end as s from w),
 n as (select doc_id, len(s) as n from s), u as (select doc_id, unnest(s) as x from s),
-c as (select a.doc_id as a, b.doc_id as b, count(*) as both from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
-e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 80 * (x.n + y.n - both)),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as n_common from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * n_common >= 80 * (x.n + y.n - n_common)),
 m as (select a, b from e union all select b, a from e),
 r(doc_id, reached) as (select doc_id, doc_id from n union select r.doc_id, m.b from r join m on m.a = r.reached)
 select n.doc_id, cast(n.n as bigint) as n_shingles, min(reached) as component_id, n.doc_id = min(reached) as kept from n join r using (doc_id) group by n.doc_id, n.n"""
