@@ -9,8 +9,8 @@ farther from that centroid than the language's training texts ever were (times
 Defined cases: null text or text without a letter gives ``und``, score 0 and is
 rejected; without training rows every text is ``und``. Ties go to the first
 language in code-point order. Repeated rows are scored alike; other columns are
-not looked at. The fit takes at most ``per_language`` labelled texts of each
-language, chosen by hash; everything else covers all rows.
+not looked at. The fit takes at most ``per_language`` distinct labelled texts of
+each language, chosen by hash; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -80,14 +80,17 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack: float = 0.5) -> dict:
-    """Fit on (text, lang), both non-null; at most ``per_language`` texts of each language, by hash of the text."""
-    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Fit on (text, lang), both non-null; at most ``per_language`` texts of each language, by hash of the text.
+
+    Copies count as one text, so that a text that many rows share takes one place.
+    """
+    rows = labelled.select("text", "lang").where("text is not null and lang is not null").withColumn("_h", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.countDistinct("_h").alias("n")).collect()}
     if not sizes:
         return {"langs": [], "idf": None, "centres": None, "owner": None, "reach": None}
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * per_language / n))])
-    rows = rows.withColumn("_h", F.xxhash64("text"))
-    near = rows.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    # only the texts in reach are compared whole; their copies are merged before the shuffle
+    near = rows.where(F.pmod("_h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))
     chosen = near.withColumn("_r", rank).where(F.col("_r") <= per_language).select("text", "lang")
 

@@ -87,6 +87,21 @@ def test_language(spark, odd, nothing):
     assert language.predict(foreign, language.fit(spark.read.parquet(f"{SF}/documents.parquet"))).first().rejected
 
 
+def test_language_copies(spark):
+    """A text that a third of a language's rows share takes one place of the sample, wherever its hash puts it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    es = docs.where("lang = 'es'")
+    n = es.count()
+    drawn = es.where("pmod(xxhash64(text), 1000000) < 100000").orderBy(F.xxhash64("text")).limit(1)
+    copies = drawn.crossJoin(spark.range(n // 2)).drop("id")
+    once, often = language.fit(docs, per_language=n // 3), language.fit(docs.unionByName(copies), per_language=n // 3)
+    assert once["langs"] == often["langs"]
+    for k in ("idf", "centres", "reach"):
+        assert np.allclose(once[k], often[k])
+    got = language.predict(es, often).toPandas()
+    assert (got.lang_pred == "es").mean() > 0.95 and got.rejected.mean() < 0.05
+
+
 def test_ngrams_do_not_cross_texts():
     one = language.ngram_counts(*common.utf8(pa.array(["abcd"])))
     two = language.ngram_counts(*common.utf8(pa.array(["zz", "abcd", "yy"])))
