@@ -202,6 +202,22 @@ def page_blocks(spark, sf_dir):
     return elements.blocks(pages, found).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "kind", "text")
 
 
+@query(r"""with d as (select doc_id, text, coalesce(regexp_matches(text, '\S'), false) as filled from documents),
+p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from d where filled),
+b as (select doc_id, i as block_seq, 'paragraph' as kind, ps[i] as text from p, range(1, len(ps) + 1) t(i)
+  union all select doc_id, 1, 'paragraph', '[No content could be extracted from doc' || doc_id || '.jpg]' || chr(10) from d where not filled
+  union all select doc_id, 0, 'heading', 'Content from doc' || doc_id || '.jpg' from d)
+select doc_id as page_id, cast(block_seq as bigint) as block_seq, kind, text from b
+union all select b.doc_id, max(b.block_seq) + 1, 'page_break', null from b where b.doc_id < (select max(doc_id) from documents) group by b.doc_id""")
+def document_blocks(spark, sf_dir):
+    """The blocks of every document; a page is empty only where its text is null or blank."""
+    pages, _ = _document_pages(spark, sf_dir)
+    null = lambda t: F.lit(None).cast(t)
+    filled = table(spark, sf_dir, "documents").where(~F.coalesce(text.is_blank(F.col("text")), F.lit(True)))
+    found = filled.select(F.col("doc_id").alias("page_id"), F.lit(0).alias("elem_idx"), null("string").alias("kind"), "text", null("string").alias("html"), null("array<string>").alias("lines"))
+    return elements.blocks(pages, found).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "kind", "text")
+
+
 @query("""select doc_id as page_id, '[No content could be extracted from doc' || doc_id || '.jpg]' || chr(10) as text from documents d
 where not exists (select 1 from labels l where l.doc_id = d.doc_id)""")
 def empty_page_placeholder(spark, sf_dir):

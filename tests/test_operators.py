@@ -29,6 +29,16 @@ def test_page_gate_and_blocks(spark):
     assert elements.blocks(pages, found, keep_text=True).where("text = 'dropped'").count() == 1
 
 
+def test_document_blocks_take_every_document(spark, tmp_path):
+    from folioforge.plans import catalog
+
+    rows = [(0, "a\n b "), (3, "c"), (4, None), (5, " \n\t"), (6, "d\n\ne")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["document_blocks"](spark, str(tmp_path)).where("kind = 'paragraph'").orderBy("page_id", "block_seq")
+    empty = "[No content could be extracted from doc{}.jpg]\n"
+    assert [(r.page_id, r.text) for r in got.collect()] == [(0, "a"), (0, "b"), (3, "c"), (4, empty.format(4)), (5, empty.format(5)), (6, "d"), (6, "e")]
+
+
 def test_suppression(spark):
     boxes = [("p", "a", 0.9, 0.0, 0.0, 10.0, 10.0), ("p", "a", 0.8, 0.0, 0.0, 10.0, 9.0), ("p", "b", 0.8, 0.0, 0.0, 10.0, 9.0), ("p", "a", 0.2, 50.0, 50.0, 60.0, 60.0), ("p", "a", 0.5, 50.0, 0.0, 60.0, 9.0)]
     df = spark.createDataFrame(boxes, "page_id string, label string, score double, x1 double, y1 double, x2 double, y2 double")
