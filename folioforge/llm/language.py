@@ -2,9 +2,10 @@
 
 Each text becomes a hashed byte n-gram vector, weighted by TF-IDF and
 normalised; every language is described by several spherical k-means centroids,
-and a text takes the language of the centroid with the largest cosine. A text
-farther from that centroid than the language's training texts ever were (times
-``slack``) is rejected.
+and a text takes the language of the centroid with the largest cosine. As short
+texts have small cosines, a cosine is compared with what the number of the text's
+distinct n-grams lets expect; a text is rejected if it stays below ``slack`` times
+the ``low`` quantile of that ratio among the language's training texts.
 
 Defined cases: null text or text without a letter gives ``und``, score 0 and is
 rejected; without training rows every text is ``und``. Ties go to the first
@@ -25,6 +26,8 @@ from folioforge.llm.common import LOWER, mix, slices, utf8
 
 DIMENSIONS = 4096
 UNKNOWN = "und"
+#: Distinct n-grams at which a text's cosine is expected to be sqrt(1/2) of a very long text's.
+HALF = 200
 #: ASCII letters in lower case and all bytes of longer code points stay; the rest is one blank.
 _KEEP = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in LOWER], np.uint8)
 _ASCII_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
@@ -58,6 +61,12 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(norm, 1e-9)[:, None]
 
 
+def expected(counts: np.ndarray) -> np.ndarray:
+    """What the number of distinct n-grams lets expect of a text's cosine, relative to a very long text."""
+    n = (counts > 0).sum(axis=1)
+    return np.sqrt(n / (n + HALF))
+
+
 def has_letter(texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     found = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))
     out = found[at[1:]] > found[at[:-1]]
@@ -79,7 +88,7 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return (c / np.maximum(np.linalg.norm(c, axis=1), 1e-9)[:, None]).astype(np.float32)
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack: float = 0.5) -> dict:
+def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack: float = 0.5, low: float = 0.01) -> dict:
     """Fit on (text, lang), both non-null; at most ``per_language`` texts of each language, by hash of the text.
 
     Copies count as one text, so that a text that many rows share takes one place.
@@ -113,7 +122,8 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack
     x, of = tfidf(counts, idf), np.array([r["lang"] for r in got])
     langs = sorted(set(of))
     parts = [_clusters(x[of == lang], centroids) for lang in langs]
-    reach = [slack * float(np.min(np.max(x[of == lang] @ c.T, axis=1))) for lang, c in zip(langs, parts, strict=True)]
+    usual = np.maximum(expected(counts), 1e-9)
+    reach = [slack * float(np.quantile(np.max(x[of == lang] @ c.T, axis=1) / usual[of == lang], low)) for lang, c in zip(langs, parts, strict=True)]
     owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(parts)])
     return {"langs": langs, "idf": idf, "centres": np.concatenate(parts), "owner": owner, "reach": np.array(reach)}
 
@@ -133,12 +143,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             best, cosine, rejected = np.full(n, len(langs) - 1), np.zeros(n), np.ones(n, bool)
             if m["centres"] is not None:
                 known = has_letter(b.column("text"), data, at)
-                sims = tfidf(ngram_counts(data, at), m["idf"]) @ m["centres"].T
+                counts = ngram_counts(data, at)
+                sims = tfidf(counts, m["idf"]) @ m["centres"].T
                 top = np.argmax(sims, axis=1)
                 value = np.clip(sims[np.arange(n), top].astype(float), 0, 1)
                 best = np.where(known, m["owner"][top], best)
                 cosine = np.where(known, value, 0.0)
-                rejected = ~known | (value < m["reach"][np.minimum(best, len(m["reach"]) - 1)])
+                rejected = ~known | (value < m["reach"][np.minimum(best, len(m["reach"]) - 1)] * expected(counts))
             extra = [pa.array(langs[best].tolist(), pa.string()), pa.array(cosine), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, "lang_pred", "score", "rejected"])
 

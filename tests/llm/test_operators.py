@@ -102,6 +102,19 @@ def test_language_copies(spark):
     assert (got.lang_pred == "es").mean() > 0.95 and got.rejected.mean() < 0.05
 
 
+def test_language_rejects_junk(spark):
+    """Random letters are rejected whatever the sample's size and its oddest row; labelled documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs.where(queries.remainder(F.col("doc_id"), 5) != 0))
+    rng = np.random.default_rng(1)
+    base64 = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    junk = ["".join(rng.choice(a, n)) for a in (base64, list("abcdefghijklmnopqrstuvwxyz ")) for n in (100, 300, 1000, 2000, 8000) for _ in range(10)]
+    got = language.predict(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).toPandas()
+    assert got.rejected.all()
+    # 5375 is one line, 'A. All rights reserved.', which is nearest to another language
+    assert {r.doc_id for r in language.predict(docs, model).where("rejected").collect()} <= {5375}
+
+
 def test_ngrams_do_not_cross_texts():
     one = language.ngram_counts(*common.utf8(pa.array(["abcd"])))
     two = language.ngram_counts(*common.utf8(pa.array(["zz", "abcd", "yy"])))
