@@ -8,7 +8,8 @@ change of its score is penalised, so that naming a group moves no score.
 Defined cases: null and empty texts score the intercept; without labelled rows
 of both classes every score is the share of positives (0 without rows). Rows of
 ``labels`` that repeat a doc_id count once each; null labels are left out.
-At most ``most_rows`` labelled texts are used for the fit, chosen by hash of doc_id and text.
+At most ``most_rows`` labelled texts are used for the fit. ``sample`` chooses them by hash of
+doc_id from the labels alone, so the documents are read once and only the chosen texts move.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioforge.llm.common import LOWER, PUNCTUATION, slices, span_hashes, utf8, words
+from folioforge.llm.common import LOWER, PUNCTUATION, slices, span_hashes, utf8, words, written
+
+MOST_ROWS = 20_000
+#: Rows that the solver turns into doubles at once.
+SOLVE_ROWS = 2048
 
 # Words that name a group of people, and neutral words to put in their place.
 IDENTITY_TERMS = (
@@ -101,31 +106,58 @@ def swapped(x: np.ndarray, identity: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate((base, base)), np.concatenate((turned, plain))
 
 
+def _blocks(x: np.ndarray, intercept: float):
+    """x in doubles, with a last column of one value, some rows at a time."""
+    for lo in range(0, len(x), SOLVE_ROWS):
+        part = x[lo : lo + SOLVE_ROWS]
+        yield slice(lo, lo + len(part)), np.hstack((part.astype(np.float64), np.full((len(part), 1), intercept)))
+
+
 def solve(x: np.ndarray, y: np.ndarray, base: np.ndarray, other: np.ndarray, ridge: float, fairness: float) -> np.ndarray:
     """Newton steps for the penalised logistic loss; returns the weights, the intercept last."""
-    x = np.hstack((x, np.ones((len(x), 1), np.float32))).astype(np.float64)
-    d = np.hstack((base - other, np.zeros((len(base), 1)))).astype(np.float64)
-    penalty = np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-3
-    pull = np.diag(penalty) + fairness * d.T @ d
-    w = np.zeros(x.shape[1])
+    n = x.shape[1] + 1
+    pull = np.diag(np.append(np.full(n - 1, ridge), 1e-3))
+    for _, d in _blocks(base.astype(np.int8) - other.astype(np.int8), 0.0):
+        pull += fairness * d.T @ d
+    w = np.zeros(n)
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (p - y) + pull @ w)
+        curve, slope = pull.copy(), pull @ w
+        for at, part in _blocks(x, 1.0):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            curve += (part * (p * (1 - p))[:, None]).T @ part
+            slope += part.T @ (p - y[at])
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def fit(labelled: DataFrame, most_rows: int = 20_000, features: int = 512, least: int = 4, z: float = 5.0, ridge: float = 0.01, fairness: float = 10.0) -> dict:
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of at most about ``most_rows`` labelled rows of docs, written; repeated rows count once.
+
+    ``labels`` has doc_id and toxic, of the rows that may be learnt from.
+    """
+    marked = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("_d"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    h = F.pmod(F.xxhash64("_d"), F.lit(1 << 40))
+    total = marked.count()
+    # a bounded number of ids and flags, whatever the size of labels
+    chosen = marked.where(h < F.lit(min(1 << 40, int(most_rows / max(total, 1) * (1 << 40)))))
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).select("doc_id", "text", "toxic").distinct())
+    n = rows.count()
+    if n > 1.1 * most_rows:  # ids that many texts share
+        rows = written(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(most_rows / n * (1 << 40)))))
+    return rows
+
+
+def fit(labelled: DataFrame, most_rows: int = MOST_ROWS, features: int = 512, least: int = 4, z: float = 5.0, ridge: float = 0.01, fairness: float = 10.0) -> dict:
     """Fit on (doc_id, text, toxic); ``most_rows`` bounds the labelled texts used."""
     rows = labelled.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null")
     total = rows.count()
     rows = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
     if total > most_rows:
         rows = rows.where(F.col("_h") < F.lit(int(1.1 * most_rows / total * (1 << 40)))).orderBy("_h").limit(most_rows)
-    rows = rows.select("text", "toxic")
+    rows = written(rows.select("text", "toxic"))
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total, positives = sum(counts.values()), counts.get(1, 0)
     if not positives or positives == total:
@@ -142,7 +174,7 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, features: int = 512, least
 
     got = rows.mapInArrow(vectors, "toxic int, at binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["toxic"], r["at"]))
-    x = np.zeros((len(got), len(chosen)), np.float32)
+    x = np.zeros((len(got), len(chosen)), np.int8)
     for i, r in enumerate(got):
         x[i, np.frombuffer(r["at"], np.uint16)] = 1
     y = np.array([r["toxic"] for r in got], np.float64)
