@@ -57,8 +57,8 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = counts.astype(np.float32)
     np.log1p(x, out=x)
     x *= idf
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.maximum(norm, 1e-9)[:, None]
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+    return x
 
 
 def expected(counts: np.ndarray) -> np.ndarray:
@@ -115,15 +115,20 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack
 
     got = chosen.mapInArrow(sparse, "lang string, at binary, n binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
-    counts = np.zeros((len(got), DIMENSIONS), np.float32)
-    for i, r in enumerate(got):
-        counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
-    idf = (np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x, of = tfidf(counts, idf), np.array([r["lang"] for r in got])
-    langs = sorted(set(of))
-    parts = [_clusters(x[of == lang], centroids) for lang in langs]
-    usual = np.maximum(expected(counts), 1e-9)
-    reach = [slack * float(np.quantile(np.max(x[of == lang] @ c.T, axis=1) / usual[of == lang], low)) for lang, c in zip(langs, parts, strict=True)]
+    seen = np.zeros(DIMENSIONS, np.int64)
+    for r in got:
+        seen[np.frombuffer(r["at"], np.uint16)] += 1
+    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
+    langs, parts, reach = sorted({r["lang"] for r in got}), [], []
+    for lang in langs:  # only one language's vectors are held in full
+        own = [r for r in got if r["lang"] == lang]
+        counts = np.zeros((len(own), DIMENSIONS), np.uint16)
+        for i, r in enumerate(own):
+            counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
+        x = tfidf(counts, idf)
+        parts.append(_clusters(x, centroids))
+        usual = np.maximum(expected(counts), 1e-9)
+        reach.append(slack * float(np.quantile(np.max(x @ parts[-1].T, axis=1) / usual, low)))
     owner = np.concatenate([np.full(len(c), i) for i, c in enumerate(parts)])
     return {"langs": langs, "idf": idf, "centres": np.concatenate(parts), "owner": owner, "reach": np.array(reach)}
 
