@@ -1,21 +1,25 @@
 """Near-duplicate detection by a signature-coordinate inverted join.
 
-Each text is a set of word shingles with a minimum-hash signature. Texts with
-equal sets form a class. Classes are posted under each (coordinate, value) of
-their signature. A pair above the threshold almost surely agrees in at least
-``MATCHES`` of ``COORDINATES`` coordinates (it misses that with a chance of about
-1e-6), so it must meet in a class's ``COORDINATES - MATCHES + 1`` rarest
-coordinates: only that prefix is posted for candidates, and values that one
-class has alone are skipped. Candidates' agreeing coordinates are counted and
-pairs with enough are confirmed on the full sets.
-
-A posting list is first joined with one of its members only, its head, which
-links the bulk of a group of copies; components follow. In long lists that still
-hold several components each member's shared shingles are counted: it can only
-be like another one as far as they go, which bounds every pair of it, and the
-member with the largest share is a second head. What the bounds leave is joined
-across components, never within one, so no group's pairs are all made and none
-is capped.
+Each text is a set of word shingles with a minimum-hash signature of ``LONG``
+coordinates. Texts with equal sets form a class. Classes are posted under each
+(coordinate, value) of the first ``COORDINATES``. A pair above the threshold
+agrees in at least ``matches`` of these (it misses that with a chance of 1e-6 at
+most), so it must meet in a class's ``COORDINATES - matches + 1`` rarest ones:
+only that prefix is posted, and values that one class has alone are skipped.
+Collisions of a pair that meets are counted over the whole long signature, of
+which two bits a coordinate travel with a posting, so pairs below the match
+threshold go before any text is read. The rest is confirmed on the full sets.
+
+No group's pairs are all made, and none is capped:
+
+1. Each posting list is joined with one member only, its head: the member whose
+   coordinates are the most common ones. That links the bulk of a group of copies,
+   and components follow.
+2. In lists that still hold several components the pairs across components are
+   made: of short lists at once; the members of long ones are posted once more, by
+   the rarest of their shingles. Two sets above the threshold share one of those
+   (prefix filter), and a member that its head could not link has rare shingles,
+   so its lists are short. Members of a list's largest component meet the others only.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone;
 texts shorter than a shingle are one whole sequence; repeated rows share a
@@ -24,7 +28,9 @@ class; a null doc_id gives a row whose component is the class's smallest id (nul
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,29 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import mix, slices, utf8, words, written
 
 COORDINATES = 32
-MATCHES = 14
-#: Class ids that are broadcast at most; more are joined by shuffle.
-BROADCAST_IDS = 500_000
-#: Members from which on a posting list has its members' shared shingles counted.
-LONG_LIST = 32
+LONG = 128
+#: Longs that hold two bits of each coordinate of the long signature.
+LANES = [f"l{i}" for i in range(LONG // 32)]
+#: The chance to miss a pair that is just at the threshold, for each of both counts.
+MISS = 1e-6
+#: Ids that are broadcast at most (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 200_000
+#: Members up to which all pairs of a posting list are compared.
+SHORT_LIST = 32
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 62, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 1 << 62, LONG, dtype=np.uint64)
+
+
+@functools.cache
+def needed(n: int, chance: float) -> int:
+    """The most agreements that n coordinates, each agreeing with this chance, fall short of with a chance of MISS at most."""
+    below = 0.0
+    for m in range(n + 1):
+        below += math.comb(n, m) * chance**m * (1 - chance) ** (n - m)
+        if below > MISS:
+            return m
+    return n
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -68,29 +89,38 @@ def class_key(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        part = shingles[i : i + 4096]
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The upper halves of the LONG minimum hashes."""
+    least = np.full(LONG, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 2048):
+        part = shingles[i : i + 2048]
         np.minimum(least, (_A[:, None] * part[None, :] + _B[:, None]).min(axis=1), out=least)
-    return (least >> np.uint64(32)).astype(np.uint32).tobytes()
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
+def lanes(signatures: np.ndarray) -> np.ndarray:
+    """Two bits of each coordinate, 32 coordinates in a long; one row for each signature."""
+    two = (signatures & 3).astype(np.uint64).reshape(len(signatures), len(LANES), 32)
+    return (two << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles) and signature of every text."""
+    """doc_id, n_shingles, class (null without shingles), first coordinates and lanes of every text."""
 
     def run(batches):
         for b in slices(batches):
             sets = shingle_sets(*utf8(b.column("text")), n)
             keys = [class_key(s) if len(s) else None for s in sets]
-            full = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array(full, pa.binary())], names=["doc_id", "n_shingles", "class", "signature"])
+            found = np.array([signature(s) for s in sets], np.uint32).reshape(len(sets), LONG)
+            packed = lanes(found)
+            columns = [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([x.tobytes() for x in found[:, :COORDINATES]], pa.binary()), *(pa.array(packed[:, i]) for i in range(len(LANES)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class", "signature", *LANES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, signature binary, " + ", ".join(f"{x} long" for x in LANES))
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(class, shingles) of the wanted (doc_id, class); the sets are made again from the texts."""
+def full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(class, shingles) of the wanted classes, written; the sets are made again from one text of each."""
 
     def run(batches):
         for b in slices(batches):
@@ -98,23 +128,21 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             keys = [class_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "shingles"])
 
-    wanted = written(wanted.select(F.col("doc_id").alias("_d"), "class"))
+    # by a hash, so that a null id is a key like any other; what it lets in besides has another class
+    wanted = written(classes.join(wanted.select("class"), "class", "left_semi").select("class", F.xxhash64("doc_id").alias("_d")))
     named = wanted.select("_d")
     if wanted.count() <= BROADCAST_IDS:
         named = F.broadcast(named)
-    texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    texts = docs.select("doc_id", "text").join(named, F.xxhash64("doc_id") == F.col("_d"), "left_semi")
     sets = texts.mapInArrow(run, "class long, shingles binary").where("class is not null")
     return written(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
 
 
-#: The lowest bytes of four coordinates make a lane, a long of 32 bits.
-LANES = [f"l{i}" for i in range(COORDINATES // 4)]
-
-
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """(place, class, places, size, lanes) for the rarest coordinates of each class that another class shares.
+    """(place, class, rank, size, lanes) for the rarest coordinates of each class that another class shares.
 
-    A place is coordinate and value in one long; ``places`` lists all of the class's, ``COORDINATES`` at most.
+    A place is coordinate and value in one long. The rank grows with how common
+    all of a class's coordinates are.
     """
 
     def explode(batches):
@@ -123,41 +151,49 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
             place = sig.astype(np.int64) * COORDINATES + np.arange(COORDINATES)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), COORDINATES)), pa.array(place.ravel())], names=["class", "place"])
 
-    def lanes(batches):
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(b.num_rows, COORDINATES)
-            packed = np.ascontiguousarray((sig & 255).astype(np.uint8)).view(np.uint32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("size"), *(pa.array(packed[:, i]) for i in range(len(LANES)))], names=["class", "size", *LANES])
-
     every = classes.select("class", "signature").mapInArrow(explode, "class long, place long")
     shared = every.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    met = every.join(shared, "place").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "place"))).alias("p"))
+    common = F.sum(F.floor(16 * F.log2("n"))).alias("rank")
+    met = every.join(shared, "place").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "place"))).alias("p"), common)
     # the coordinates that no other class has come first in the order of rarity, and need no posting
     room = F.greatest(F.size("p") - F.lit(matches - 1), F.lit(0))
-    posted = met.select("class", F.slice("p", 1, room)["place"].alias("places"))
-    brief = classes.select("class", "signature", "size").mapInArrow(lanes, "class long, size long, " + ", ".join(f"{x} long" for x in LANES))
-    return posted.join(brief, "class").withColumn("place", F.explode("places"))
+    posted = met.select("class", "rank", F.slice("p", 1, room)["place"].alias("places")).where("size(places) > 0")
+    return posted.join(classes.select("class", "size", *LANES), "class").select(F.explode("places").alias("place"), "class", "rank", "size", *LANES)
 
 
 def agreeing(x: str, y: str) -> str:
-    """SQL: in how many coordinates two rows with lanes agree, by the zero bytes of their differences."""
-    low = 0x7F7F7F7F
-    zero = lambda v: f"bit_count(~(((({v}) & {low}) + {low}) | ({v}) | {low}) & {0x80808080})"
-    return " + ".join(zero(f"{x}.{lane} ^ {y}.{lane}") for lane in LANES)
+    """SQL: in how many coordinates of the long signature two rows with lanes agree, by two bits of each."""
+    odd = 0x5555555555555555
+    apart = lambda v: f"bit_count((({v}) | shiftright({v}, 1)) & {odd})"
+    return f"{LONG} - (" + " + ".join(apart(f"({x}.{lane} ^ {y}.{lane})") for lane in LANES) + ")"
 
 
-def shared_shingles(sets: DataFrame) -> DataFrame:
-    """class, and u: how many of its shingles another one of these classes has too."""
+def likely(percent: int, x: str = "x", y: str = "y") -> str:
+    """SQL: whether sizes and long signatures let two classes be alike."""
+    least = needed(LONG, percent / 100 + (1 - percent / 100) / 4)
+    return f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and {agreeing(x, y)} >= {least}"
+
+
+def rare_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, columns of members) for the rarest shingles of each member, those in the prefix that another member shares.
+
+    Sets that are alike share one of a set's ``size - needed + 1`` first shingles in any order that all sets follow.
+    """
 
     def explode(batches):
         for b in batches:
-            found = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("class").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], names=["class", "shingle"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("class").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], names=["class", "shingle"])
 
     every = sets.mapInArrow(explode, "class long, shingle long")
-    common = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
-    counted = every.join(common, "shingle").groupBy("class").agg(F.count("*").alias("u"))
-    return sets.select("class").join(counted, "class", "left").select("class", F.coalesce("u", F.lit(0)).alias("u"))
+    shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    met = every.join(shared, "shingle").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("p"))
+    # of the set's size, `least` must be shared; the shingles that no other member has come first
+    least = F.expr(f"cast(ceil({percent} * size / 100) as int)")
+    room = F.greatest(F.size("p") - least + 1, F.lit(0))
+    return members.join(met, "class").select(F.explode(F.slice("p", 1, room)["shingle"]).alias("shingle"), *members.columns)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,9 +204,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -180,12 +213,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for each node of the edges (a, b) between different nodes.
 
-    In each round every node follows the first of its neighbours, in an order
-    drawn anew, and so twice; the edges are then moved to where their ends came,
-    and those within one node go. Nodes fall by a factor in each round.
+    In each round every node follows the one with the most neighbours among its
+    neighbours and itself, and so twice; the edges are then moved to where their
+    ends came, and those within one node go. A star is done in one round.
     """
     ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     left, steps = written(edges.select(*ends).where("a <> b").distinct()), []
@@ -193,8 +230,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if len(steps) == most_rounds:
             raise RuntimeError("components did not settle")
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))), F.col(c).alias("up"))
-        up = both.groupBy("a").agg(F.min(drawn("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", drawn("a"))["up"].alias("up"))
+        # the number of neighbours, then an order drawn anew in each round
+        rank = F.least(F.count("*"), F.lit((1 << 20) - 1)) * (1 << 42) + F.pmod(F.xxhash64("a", F.lit(len(steps))), F.lit(1 << 42))
+        ranks = both.groupBy("a").agg(rank.alias("r"))
+        reach = both.join(ranks.withColumnRenamed("a", "b"), "b").select("a", "r", "b").union(ranks.select("a", "r", F.col("a").alias("b")))
+        up = written(reach.groupBy(F.col("a").alias("node")).agg(F.max_by("b", "r").alias("up")))
         step = written(up.join(up.select(F.col("node").alias("up"), F.col("up").alias("to")), "up").select("node", "to"))
         steps.append(step)
         moved = left.join(step.withColumnsRenamed({"node": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"node": "b", "to": "y"}), "b")
@@ -209,57 +249,56 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return found.join(found.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80, matches: int = MATCHES) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs; see the module's head."""
+def across(lists: DataFrame, key: str, alike: str) -> DataFrame:
+    """The pairs (a, b) of classes of different labels in the same list that may be alike.
+
+    Members of the list's most frequent label meet the others only.
+    """
+    counts = lists.groupBy(key, "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    rest = written(lists.join(main, key).withColumn("outside", F.col("label") != F.col("main")).drop("main"))
+    apart = (F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class")))
+    met = rest.where("outside").alias("x").join(rest.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & F.expr(alike))
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80, matches: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs; see the module's head.
+
+    ``matches`` defaults to the agreements of COORDINATES that MISS allows for ``percent``.
+    """
+    matches = matches or needed(COORDINATES, percent / 100)
+    alike = likely(percent)
     rows = written(sketches(docs, shingle_words))
-    classes = written(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("n_shingles").alias("size")))
+    least = [F.min(c).alias(c) for c in ("doc_id", "signature", *LANES)]
+    classes = written(rows.where("class is not null").groupBy("class").agg(*least, F.min("n_shingles").alias("size")))
     posted = written(postings(classes, matches))
-    pair = [F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")]
-    # sets of too different sizes can't be alike
-    alike = F.expr(f"100 * least(x.size, y.size) >= {percent} * greatest(x.size, y.size) and {agreeing('x', 'y')} >= {matches}")
-    # a pair counts in one of the lists that it shares only
-    once = F.expr("x.place = array_min(array_intersect(x.places, y.places))")
-
-    def label(labels: DataFrame) -> DataFrame:
-        return posted.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-
-    # what is known of the components stands for the links it was made from
-    known = lambda labels: labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-
-    # the head of each list against all of its members
-    heads = posted.groupBy("place").agg(F.min("class").alias("class")).join(posted, ["place", "class"])
-    likely = written(posted.alias("x").join(heads.alias("y"), (F.col("x.place") == F.col("y.place")) & (F.col("x.class") != F.col("y.class")) & alike).select(*pair).distinct())
-    nodes = written(likely.select(F.col("a").alias("class")).union(likely.select("b")).distinct())
-    sets = full_sets(docs, classes.join(nodes, "class").select("doc_id", "class"), shingle_words)
-    labels = written(components(confirmed(likely, sets, percent)))
-
-    # long lists that still hold several components: bounds for their members, and a second head
-    rest = label(labels)
-    open_lists = lambda r: r.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    long = written(rest.join(open_lists(rest).where(F.col("n") > LONG_LIST).select("place"), "place").select("place", "class", "label", "size", *LANES))
-    bounds = written(shared_shingles(sets.join(long.select("class").distinct(), "class", "left_semi")))
-    clean = long.join(bounds, "class").groupBy("place").agg(F.max_by("class", F.struct(F.col("u") / F.col("size"), "class")).alias("class"))
-    second = clean.join(long, ["place", "class"])
-    fresh = long.alias("x").join(second.alias("y"), (F.col("x.place") == F.col("y.place")) & (F.col("x.label") != F.col("y.label")) & alike).select(*pair).distinct()
-    labels = written(components(known(labels).union(confirmed(fresh.join(likely, ["a", "b"], "left_anti"), sets, percent))))
-
-    # the pairs across components in each list: members outside its largest component against all
-    rest = label(labels)
-    rest = rest.join(open_lists(rest).select("place"), "place").join(bounds, "class", "left")
-    rest = written(rest.select("place", "places", "class", "label", "size", "u", *LANES))
-    main = rest.groupBy("place", "label").agg(F.count("*").alias("n")).groupBy("place").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    rest = written(rest.join(main, "place").withColumn("outside", F.col("label") != F.col("main")).drop("main"))
-    within = F.expr(f"x.u is null or y.u is null or {100 + percent} * least(x.u, y.u) >= {percent} * (x.size + y.size)")
-    apart = (F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class")))
-    across = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.place") == F.col("y.place")) & apart & within & alike & once).select(*pair)
-    more = written(across.join(likely, ["a", "b"], "left_anti"))
-    late = more.select(F.col("a").alias("class")).union(more.select("b")).distinct().join(nodes, "class", "left_anti")
-    sets = sets.unionByName(full_sets(docs, classes.join(late, "class").select("doc_id", "class"), shingle_words))
-    labels = components(known(labels).union(confirmed(more, sets, percent)))
 
-    grouped = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    # 1. the head of each list against all of its members
+    heads = posted.groupBy("place").agg(F.max(F.struct("rank", "class", "size", *LANES)).alias("y"), F.count("*").alias("n")).where("n > 1")
+    met = posted.alias("x").join(heads, "place").where(F.expr(f"x.class <> y.class and {alike}"))
+    first = written(met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
+    links = written(confirmed(first, full_sets(docs, classes, ends_of(first), shingle_words), percent))
+    labels = written(components(links))
+
+    # 2. the pairs across components in lists that still hold several
+    named = posted.drop("rank").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    still = named.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("place", "n")
+    rest = written(named.join(still, "place"))
+    more = across(rest.where(F.col("n") <= SHORT_LIST).drop("n"), "place", alike)
+    crowd = written(rest.where(F.col("n") > SHORT_LIST).select("class", "label", "size", *LANES).distinct())
+    if not crowd.isEmpty():
+        rare = rare_postings(crowd, full_sets(docs, classes, crowd, shingle_words), percent)
+        more = more.union(across(written(rare), "shingle", alike)).distinct()
+    more = written(more.join(first, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        # what is known of the components stands for the links it was made from
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = components(known.union(confirmed(more, full_sets(docs, classes, ends_of(more), shingle_words), percent)))
+
+    grouped = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = grouped.join(smallest, "label").select(F.col("class").alias("_class"), "component_id")
-    out = rows.join(by_class, F.col("class") == F.col("_class"), "left")
+    out = rows.select("doc_id", "n_shingles", "class").join(by_class, F.col("class") == F.col("_class"), "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
