@@ -1,19 +1,22 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Pivots split the space into cells. Every vector goes to the cell of its nearest
-pivot and keeps its distance d to it. Queries are grouped by cell, in blocks of
-bounded size. By Cauchy's inequality a vector x of the cell with pivot p scores
+Pivots split the space into cells; a vector x goes to the cell of its nearest pivot
+p and keeps its distance d to it. The queries of a cell, in parts of bounded size,
+are summed up by their centre m, their radius r about it, and the lowest score that
+all of them reach k times in a sample of their own cell or among the pivots. As
 
-    q.x <= q.p + |q| * d
+    q.x = m.x + (q - m).p + (q - m).(x - p) <= m.x + max (q - m).p + r * d,
 
-with a query q. A first local join, of each query block with its own cell, gives
-every block a score that all its queries reach k times. A vector is then sent to
-a block only if the bound, taken from the block's summary, reaches that score.
+a vector whose bound stays below that score is no answer to any of them. A coarser
+bound, q.p + |q| * max d, first leaves out whole cells. Parts of neighbouring cells
+form query blocks; a vector is sent once to each block with a part that needs it.
 Each block is solved locally, split by salt, and the partial answers are merged.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no
-part; shorter vectors count as padded with zeros; a query is no candidate of its own,
-other rows with its id neither; ties go to the smaller id; repeated rows are rows of their own.
+part; shorter vectors count as padded with zeros; only a query's own row is no
+candidate of its own, other rows with its id are; rows without an id are candidates,
+not queries; ties go to the smaller id, null last; repeated rows are rows of their own.
+Scores are exact; a component or score that no long can hold raises an error.
 """
 
 from __future__ import annotations
@@ -25,71 +28,107 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import written
 
-PIVOTS = 32
+#: Pivots at most: their number is the root of the number of rows; they are held by every task.
+MOST_PIVOTS = 2048
 BLOCK_QUERIES = 512
 SALT_ROWS = 16_384
+#: Rows of a cell's sample: so many of each of as many hash buckets.
+SAMPLE = 48
+#: Query parts that a share of a cell is compared with at once.
+PARTS = 256
+
+VECTOR = "row long, vec_id long, v binary, wide int"
+VECTOR_COLUMNS = ["row", "vec_id", "v", "wide"]
 
 
 def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and floor(scale * x) of every vector that takes part, as binary int32."""
+    """row, vec_id and floor(scale * x) of every vector that takes part, as whole numbers of ``wide`` bytes."""
     ok = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < cast('Infinity' as double))"
-    rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.expr(ok)).where("vec_id is not null")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.expr(ok))
 
     def run(batches):
         for b in batches:
             column = b.column("embedding")
             at = column.offsets.to_numpy()
-            flat = np.floor(column.values.to_numpy() * scale).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([flat[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["vec_id", "v"])
-
-    return rows.mapInArrow(run, "vec_id long, v binary")
-
-
-def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    raw = column.to_pylist()
-    out = np.zeros((len(raw), width))
-    for i, r in enumerate(raw):
-        v = np.frombuffer(r, np.int32)
+            with np.errstate(over="ignore"):
+                flat = np.floor(column.values.to_numpy() * scale)
+            if len(flat) and not np.abs(flat).max() < 2.0**63:
+                raise OverflowError("a component is too large for a long")
+            raw, wide = [], []
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                v = flat[s:e]
+                wide.append(next((w for w in (2, 4) if np.abs(v).max() < 1 << (8 * w - 1)), 8))
+                raw.append(v.astype(f"<i{wide[-1]}").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("vec_id"), pa.array(raw, pa.binary()), pa.array(wide, pa.int32())], names=VECTOR_COLUMNS)
+
+    return rows.withColumn("row", F.monotonically_increasing_id()).select("row", "vec_id", "embedding").mapInArrow(run, VECTOR)
+
+
+def matrix(table: pa.Table | pa.RecordBatch, width: int) -> np.ndarray:
+    """The vectors of a table as rows of 64-bit whole numbers."""
+    out = np.zeros((table.num_rows, width), np.int64)
+    for i, (raw, wide) in enumerate(zip(table.column("v").to_pylist(), table.column("wide").to_pylist(), strict=True)):
+        v = np.frombuffer(raw, f"<i{wide}")
         out[i, : len(v)] = v
     return out
 
 
+def products(queries: pa.Table, data: pa.Table, width: int) -> np.ndarray:
+    """All inner products, exact: by doubles where these hold every sum, else by Python's whole numbers. A row's own is the lowest long."""
+    q, x = matrix(queries, width), matrix(data, width)
+    if not len(q) or not len(x):
+        return np.zeros((len(q), len(x)), np.int64)
+    own = queries.column("row").to_numpy()[:, None] == data.column("row").to_numpy()[None, :]
+    most = max(int(q.max()), -int(q.min())) * max(int(x.max()), -int(x.min())) * q.shape[1]
+    if most < 1 << 53:
+        exact = (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    else:
+        exact = q.astype(object) @ x.astype(object).T
+        exact[own] = 0
+        if max(abs(s) for s in exact.ravel()) >= 1 << 63:
+            raise OverflowError("a score is too large for a long")
+        exact = exact.astype(np.int64)
+    exact[own] = np.iinfo(np.int64).min
+    return exact
+
+
 def _assign(pivots: np.ndarray):
     norms = (pivots**2).sum(axis=1)
 
     def run(batches):
         for b in batches:
-            x = matrix(b.column("v"), pivots.shape[1])
-            square = np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ pivots.T + norms, 0)
-            cell = np.argmin(square, axis=1)
-            d = np.sqrt(square[np.arange(len(x)), cell]) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d)], names=["vec_id", "v", "cell", "d"])
+            x = matrix(b, pivots.shape[1]).astype(np.float64)
+            cell = np.argmin(norms - 2 * x @ pivots.T, axis=1) if len(x) else np.zeros(0, int)
+            d = np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d)], names=[*b.schema.names, "cell", "d"])
 
     return run
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """For each row of scores, its k largest and those equal to the last, by place."""
+    if scores.shape[1] <= k:
+        return np.ones(scores.shape, bool)
+    return scores >= np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+
+
 def _solve(k: int, width: int):
     """One query block with one share of its candidates: the k best of that share for each query."""
 
     def one(key, queries, data):
-        ids, scores, names = [], [], []
+        names, ids, scores = [], [], []
         if queries.num_rows and data.num_rows:
-            candidates = data.column("vec_id").to_numpy()
-            order = np.argsort(candidates, kind="stable")
-            candidates, x = candidates[order], matrix(data.column("v"), width)[order]
-            asked = queries.column("vec_id").to_numpy()
-            s = np.rint(matrix(queries.column("v"), width) @ x.T).astype(np.int64)  # exact: far below 2^53
-            # the score first, then the smaller place in ascending ids
-            rank = s * len(candidates) + (len(candidates) - 1 - np.arange(len(candidates)))
-            lowest = np.iinfo(np.int64).min + 1
-            rank[asked[:, None] == candidates[None, :]] = lowest
-            best = np.argpartition(-rank, min(k, rank.shape[1]) - 1, axis=1)[:, :k]
-            for i, row in enumerate(best):
-                row = row[rank[i, row] != lowest]
-                names += [queries.column("row")[i].as_py()] * len(row)
-                ids += candidates[row].tolist()
-                scores += s[i, row].tolist()
-        return pa.Table.from_arrays([pa.array(names, pa.string()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["row", "vec_id", "score"])
+            data = data.sort_by([("vec_id", "ascending"), ("row", "ascending")])  # null ids last
+            found, rows = data.column("vec_id").to_pylist(), data.column("row").to_numpy()
+            s = products(queries, data, width)
+            for i, (own, likely) in enumerate(zip(queries.column("row").to_pylist(), _best(s, k + 1), strict=True)):
+                at = np.flatnonzero(likely)
+                at = at[rows[at] != own]
+                at = at[np.argsort(-s[i, at], kind="stable")[:k]]
+                names += [own] * len(at)
+                ids += [found[j] for j in at]
+                scores += s[i, at].tolist()
+        return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], names=["row", "vec_id", "score"])
 
     return one
 
@@ -97,50 +136,115 @@ def _solve(k: int, width: int):
 def _joined(queries: DataFrame, data: DataFrame, k: int, width: int) -> DataFrame:
     """Solve per (block, salt); a block's candidates are split into shares of about SALT_ROWS."""
     shares = data.groupBy("block").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("shares"))
-    shares = F.broadcast(shares)  # one row for each query block's summary; see top_k for its bound
-    salted = data.join(shares, "block").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("shares")).cast("int")).select(F.col("block").alias("block"), F.col("salt").alias("salt"), "vec_id", "v")
-    spread = queries.join(shares, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(F.col("block").alias("block"), F.col("salt").alias("salt"), "row", "vec_id", "v")
-    return spread.groupBy("block", "salt").cogroup(salted.groupBy("block", "salt")).applyInArrow(_solve(k, width), "row string, vec_id long, score long")
+    named = [F.col(c).alias(c) for c in ("block", "salt")]  # new columns: both sides come from the same shares
+    salted = data.join(shares, "block").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("shares")).cast("int")).select(*named, *VECTOR_COLUMNS)
+    spread = queries.join(shares, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(*named, *VECTOR_COLUMNS)
+    return spread.groupBy("block", "salt").cogroup(salted.groupBy("block", "salt")).applyInArrow(_solve(k, width), "row long, vec_id long, score long")
+
+
+def grouped_cells(centres: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """A group for each cell: about one for BLOCK_QUERIES queries, of cells that lie together."""
+    groups = max(1, -(-int(asked.sum()) // BLOCK_QUERIES))
+    seeds, far = [int(np.argmax(asked))], np.full(len(centres), np.inf)
+    while len(seeds) < min(groups, len(centres)):
+        far = np.minimum(far, ((centres - centres[seeds[-1]]) ** 2).sum(axis=1))
+        seeds.append(int(np.argmax(far)))
+    return np.argmin((centres[seeds] ** 2).sum(axis=1) - 2 * centres @ centres[seeds].T, axis=1)
+
+
+def _summarise(k: int, centres: np.ndarray, widest: np.ndarray):
+    """One part of a cell's queries with a sample of its cell: a row for each cell that may hold an answer."""
+    width, names = centres.shape[1], ["cell", "block", "m", "top", "r", "least"]
+
+    def one(key, queries, near):
+        rows = []
+        if queries.num_rows:
+            q = matrix(queries, width)
+            s, p = products(queries, near, width), q.astype(np.float64) @ centres.T
+            reached = np.full(len(q), -np.inf)
+            if s.shape[1] > k:
+                reached = np.sort(s, axis=1)[:, -k].astype(np.float64)
+            own = ((q[:, None, :] == centres[None]).all(axis=2) if len(centres) * q.size < 1 << 24 else np.array([(centres == x).all(axis=1) for x in q]))
+            others = np.sort(np.where(own, -np.inf, p), axis=1)  # pivots are rows too
+            if p.shape[1] >= k:
+                reached = np.maximum(reached, others[:, -k])
+            m, least = q.mean(axis=0), reached.min()
+            r, norm = np.sqrt(((q - m) ** 2).sum(axis=1).max()), np.sqrt((q.astype(np.float64) ** 2).sum(axis=1).max())
+            slack = 1e-3 + 1e-9 * (norm * (widest + np.sqrt((centres**2).sum(axis=1))) + np.abs(least if np.isfinite(least) else 0))
+            top = (p - m @ centres.T).max(axis=0)
+            for c in np.flatnonzero(p.max(axis=0) + norm * widest + slack >= least).tolist():
+                rows.append((c, queries.column("block")[0].as_py(), m.tobytes(), float(top[c] + slack[c]), float(r), float(least)))
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return one
 
 
-def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
-    """The k best rows of ``embeddings`` for each row whose vec_id is divisible by ``every``.
+def _needed(width: int):
+    """A share of a cell with the parts that may need it: its vectors, once for each block with a part whose bound they reach."""
+
+    def one(key, data, parts):
+        out = []
+        if data.num_rows and parts.num_rows:
+            x, d = matrix(data, width).astype(np.float64), data.column("d").to_numpy()
+            parts = parts.sort_by("block")
+            block = parts.column("block").to_numpy()
+            top, r, least = (parts.column(c).to_numpy() for c in ("top", "r", "least"))
+            wanted: dict[int, np.ndarray] = {}
+            for lo in range(0, len(block), PARTS):
+                m = np.array([np.frombuffer(v) for v in parts.column("m").slice(lo, PARTS).to_pylist()])
+                reach = x @ m.T + top[lo : lo + PARTS] + np.outer(d, r[lo : lo + PARTS]) >= least[lo : lo + PARTS]
+                for b in np.unique(block[lo : lo + PARTS]).tolist():
+                    hit = reach[:, block[lo : lo + PARTS] == b].any(axis=1)
+                    wanted[b] = wanted[b] | hit if b in wanted else hit
+            out = [data.select(VECTOR_COLUMNS).filter(pa.array(hit)).append_column("block", pa.array([b] * int(hit.sum()), pa.int64())) for b, hit in wanted.items()]
+        if out:
+            return pa.concat_tables(out)
+        return data.select(VECTOR_COLUMNS).slice(0, 0).append_column("block", pa.array([], pa.int64()))
+
+    return one
+
 
-    ``pivots`` vectors, chosen by hash, are broadcast: their number is fixed.
-    """
+def replicate(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """The queries with their blocks, the vectors that each block needs, and the longest vector's length."""
     vectors = written(quantised(embeddings))
-    width = (vectors.agg(F.max(F.length("v")).alias("n")).first().n or 4) // 4
-    chosen = vectors.select(F.xxhash64("v").alias("h"), "v").groupBy("h").agg(F.min("v").alias("v")).orderBy("h").limit(pivots).toArrow()
-    centres = matrix(chosen.column("v"), width) if chosen.num_rows else np.zeros((1, width))
-    placed = written(vectors.mapInArrow(_assign(centres), "vec_id long, v binary, cell int, d double"))
-
-    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
-    sizes = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("n"))
-    row = F.concat_ws("-", "vec_id", F.row_number().over(Window.partitionBy("vec_id").orderBy("v")))
-    queries = queries.join(F.broadcast(sizes), "cell")  # at most one row for each pivot
-    queries = queries.withColumn("block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("vec_id"), F.col("n")))).withColumn("row", row).select("block", "cell", "row", "vec_id", "v")
-    queries = written(queries)
-
-    # 1. each block with a part of its own cell: a score that each of its queries reaches k times
-    own = placed.join(queries.select("cell", "block").distinct(), "cell")
-    near = own.withColumn("_n", F.row_number().over(Window.partitionBy("block", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("d", "vec_id"))).where(F.col("_n") <= 64).select("block", "vec_id", "v")
-    first = _joined(queries, near, k, width)
-    reach = first.withColumn("_n", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("_n") == k).select("row", F.col("score").alias("reached"))
-    reached = queries.join(reach, "row", "left").withColumn("reached", F.coalesce("reached", F.lit(-(1 << 62))))
-
-    # 2. summaries: for each block and cell the largest q.p, the largest |q| and the lowest score to beat
-    def summarise(key, table):
-        q = matrix(table.column("v"), width)
-        least = min(table.column("reached").to_pylist())
-        top = (q @ centres.T).max(axis=0)
-        n = len(centres)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * n), pa.array(np.arange(n, dtype=np.int32)), pa.array(top), pa.array([float(np.sqrt((q**2).sum(axis=1).max()))] * n), pa.array([float(least)] * n)], names=["block", "cell", "top", "norm", "least"])
-
-    summary = written(reached.groupBy("block").applyInArrow(summarise, "block string, cell int, top double, norm double, least double"))
-
-    # 3. replicate what may reach a block, solve locally, merge
-    needed = placed.join(summary, "cell").where("top + norm * d + 1e-3 >= least").select("block", "vec_id", "v")
+    size = vectors.agg(F.count("*").alias("n"), F.max(F.length("v") / F.col("wide")).alias("width")).first()
+    width, pivots = int(size.width or 1), pivots or min(MOST_PIVOTS, max(8, int(size.n**0.5)))
+    chosen = vectors.select(F.xxhash64("v").alias("h"), "v", "wide").groupBy("h").agg(F.min(F.struct("v", "wide")).alias("x")).orderBy("h").limit(pivots).select("x.*").toArrow()
+    centres = matrix(chosen, width).astype(np.float64) if chosen.num_rows else np.zeros((1, width))
+    placed = written(vectors.mapInArrow(_assign(centres), f"{VECTOR}, cell int, d double"))
+    asks = F.coalesce(F.pmod("vec_id", F.lit(every)) == 0, F.lit(False))
+
+    # one row for each pivot comes to the driver and goes out again
+    cells = placed.groupBy("cell").agg(F.count_if(asks).alias("asked"), F.count("*").alias("n"), F.max("d").alias("widest")).collect()
+    asked, widest = np.zeros(len(centres), np.int64), np.full(len(centres), -np.inf)
+    for c in cells:
+        asked[c.cell], widest[c.cell] = c.asked, c.widest
+    group = grouped_cells(centres, asked)
+    inside = np.bincount(group, weights=asked)
+    rows = [(c.cell, int(group[c.cell]), max(1, -(-int(inside[group[c.cell]]) // BLOCK_QUERIES)), -(-c.n // SALT_ROWS)) for c in cells]
+    table = F.broadcast(embeddings.sparkSession.createDataFrame(rows, "cell int, group long, parts int, shares int"))
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    queries = written(placed.where(asks).join(table, "cell").withColumn("part", part).withColumn("block", F.col("group") * (1 << 32) + F.col("part")).select("block", "cell", "part", *VECTOR_COLUMNS))
+
+    # the sample of each cell, drawn once, beside each part of its queries
+    bucket = Window.partitionBy("cell", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(SAMPLE))).orderBy("row")
+    sample = placed.withColumn("_n", F.row_number().over(bucket)).where(F.col("_n") <= SAMPLE).select("cell", *VECTOR_COLUMNS)
+    near = queries.select("cell", "part").distinct().join(sample, "cell").select(F.col("cell").alias("cell"), F.col("part").alias("part"), *VECTOR_COLUMNS)
+    summaries = queries.groupBy("cell", "part").cogroup(near.groupBy("cell", "part")).applyInArrow(_summarise(k, centres, widest), "cell int, block long, m binary, top double, r double, least double")
+
+    share = F.pmod(F.xxhash64("row", F.lit(2)), F.col("shares")).cast("int")
+    shared = placed.join(table, "cell").select(F.col("cell").alias("cell"), share.alias("share"), *VECTOR_COLUMNS, "d")
+    spread = summaries.join(table, "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select(F.col("cell").alias("cell"), F.col("share").alias("share"), "block", "m", "top", "r", "least")
+    needed = shared.groupBy("cell", "share").cogroup(spread.groupBy("cell", "share")).applyInArrow(_needed(width), f"{VECTOR}, block long")
+    return queries, written(needed), width
+
+
+def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, pivots: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best rows of ``embeddings`` for each row whose vec_id is divisible by ``every``."""
+    queries, needed, width = replicate(embeddings, every, k, pivots)
     solved = _joined(queries, needed, k, width)
-    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     ranked = solved.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.split_part(F.col("row"), F.lit("-"), F.when(F.col("row").startswith("-"), 2).otherwise(1)).cast("long").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score", "row").withColumn("query_id", F.when(F.col("row").startswith("-"), -F.col("query_id")).otherwise(F.col("query_id"))).drop("row")
+    named = queries.select("row", F.col("vec_id").alias("query_id"))
+    return ranked.join(named, "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
