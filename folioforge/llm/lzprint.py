@@ -9,7 +9,7 @@ their phrase sets; sets of at most ``SIZE`` phrases are compared exactly.
 
 Defined cases: null text is empty; two empty texts have likeness 1, an empty and
 a non-empty one 0. Repeated rows are rows of their own; rows of the same doc_id
-are ordered by text; null ids come last in descending order.
+are ordered by a hash of their text; null ids come last in descending order.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from folioforge.llm.common import mix, powers
 
 SIZE = 128
 PART_CHARS = 8_000_000
+#: Ranges at most, each of them read as a stream, and rows sampled for the bounds of a range: both bound what the driver holds.
+MOST_PARTS, SAMPLED = 8192, 64
 
 
 def phrases(text: str, start: int = 0, known: set | None = None) -> tuple[list[int], set]:
@@ -100,31 +102,50 @@ def compare(a: str, b: str) -> float:
     return likeness(*(np.frombuffer(base64.b64decode(x), "<u4") for x in (a, b)))
 
 
+def _bytes(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Strings of 16 bytes in the order of descending ids, then ascending hashes."""
+    top = np.uint64(1 << 63)
+    both = np.stack((~(ids.view(np.uint64) ^ top), hashes.view(np.uint64) ^ top), axis=1)
+    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+
+
+def _number(cuts: np.ndarray):
+    def run(batches):
+        for b in batches:
+            keys = _bytes(b.column("_id").to_numpy(), b.column("_h").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32))], names=[*b.schema.names, "part"])
+
+    return run
+
+
 def with_next(docs: DataFrame, part_chars: int = PART_CHARS) -> tuple[DataFrame, int]:
-    """Deal (doc_id, text) into ranges of doc_id, each followed by the first row of the range below it.
+    """Deal (doc_id, text) into ranges of descending doc_id, each followed by the first row of the next range.
 
-    Rows come sorted by descending doc_id within a range; ``guest`` marks the row
-    of the other range. Only one row of a range moves twice.
+    Rows come in order within a range; ``guest`` marks the row of the other range.
+    Only one row of a range moves twice.
     """
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    size = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    parts = max(1, -(-size // part_chars))
-    cuts = sorted(set(rows.approxQuantile("_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cuts = [int(c) for c in cuts]
-    # the ranges, numbered downwards; one number for each range comes to the driver and goes out as a literal
-    place = lambda c: F.lit(len(cuts)) - (F.coalesce(F.array_size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda x: x < c)), F.lit(0)) if cuts else F.lit(0))
-    rows = rows.withColumn("part", place(F.col("_id")))
-    tops = sorted((r.part, r.top) for r in rows.groupBy("part").agg(F.max("_id").alias("top")).collect())
-    if not tops:
-        return rows.withColumn("guest", F.lit(False)), 1
-    to = {tops[(i + 1) % len(tops)][1]: tops[i][0] for i in range(len(tops))}
-    guests = docs.sparkSession.createDataFrame([(k, v) for k, v in to.items()], "_id long, to int")
-    moved = rows.join(F.broadcast(guests), "_id")  # one row a range
-    first = Window.partitionBy("to").orderBy("text")
-    moved = moved.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("doc_id", "text", "_id", F.col("to").alias("part"), F.lit(True).alias("guest"))
-    both = rows.withColumn("guest", F.lit(False)).unionByName(moved)
-    return both.repartitionByRange(len(tops), "part").sortWithinPartitions("part", "guest", F.desc("_id"), "text"), len(tops)
+    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count("*").alias("n")).first()
+    parts = min(MOST_PARTS, max(1, -(-(size.bytes or 0) // part_chars)))
+    cuts = _bytes(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if parts > 1:  # bounds from a sample of the keys; every row is dealt by them
+        share = min(1.0, SAMPLED * parts / size.n)
+        drawn = rows.select("_id", "_h").where(F.pmod(F.xxhash64("_id", "_h", F.lit(3)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).toArrow()
+        keys = np.sort(_bytes(drawn.column("_id").to_numpy(), drawn.column("_h").to_numpy()))
+        cuts = np.unique(keys[[len(keys) * i // parts for i in range(1, parts)]]) if len(keys) else cuts
+    dealt = rows.mapInArrow(_number(cuts), "doc_id long, text string, _id long, _h long, part int")
+    # the first key of each range is the guest of the range before it, and of the last one for the first
+    first = F.min(F.struct((-1 - F.col("_id")).alias("down"), F.col("_h").alias("h"))).alias("first")
+    tops = rows.select("_id", "_h").mapInArrow(_number(cuts), "_id long, _h long, part int").groupBy("part").agg(first).select("part", (-1 - F.col("first.down")).alias("_id"), F.col("first.h").alias("_h"))
+    order = Window.orderBy("part")  # MOST_PARTS rows
+    last = F.max("part").over(Window.partitionBy())
+    guests = F.broadcast(tops.withColumn("to", F.coalesce(F.lag("part").over(order), last)).select("_id", "_h", "to"))
+    moved = rows.join(guests, ["_id", "_h"])
+    moved = moved.withColumn("_r", F.row_number().over(Window.partitionBy("to").orderBy("text"))).where("_r = 1").select("doc_id", "text", "_id", "_h", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    both = dealt.withColumn("guest", F.lit(False)).unionByName(moved)
+    return both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.desc("_id"), "_h", "text"), len(cuts) + 1
 
 
 def _row(doc_id, text: str, after: str, sig: np.ndarray, after_sig: np.ndarray, ends: list[int]) -> tuple:
