@@ -5,10 +5,12 @@ context size; the rest goes to the smallest context tier that holds it. Tiers
 are packed from the longest to the shortest: a rest opens a window, the best
 fitting whole rests of this and shorter tiers fill its gap, and a piece cut from
 a shorter one closes it. What is left over at the end of a pool is cut into
-powers of two. So every sequence is as long as a power of two and none is
-padded. Sequences of a tier form step groups of equal numbers of tokens.
+powers of two. So every sequence is as long as a power of two and none is padded.
 
-A task packs its own documents, in pools of bounded size, so nothing is shuffled.
+A task packs its own documents, in pools of bounded size, so no text is shuffled.
+The sequences of one length are then numbered over all tasks and dealt to step
+groups: as few as hold them with ``STEP_TOKENS`` each at most, and no group has more
+than one sequence more than another.
 
 Defined cases: null text is empty (one end id); repeated rows are documents of
 their own; an empty table gives no piece.
@@ -22,17 +24,19 @@ from bisect import bisect_right, insort
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from folioforge.llm.common import slices
+from folioforge.llm.common import slices, written
 from folioforge.llm.encoding import encoder
 
 TIERS = (2048, 1024, 512, 256)
 POOL_TOKENS = 2_000_000
 STEP_TOKENS = 16_384
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, step_group long"
-_TYPES = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
+#: ``nth`` numbers the sequences of a length that a task has made.
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context int, task int, nth long"
+_TYPES = [pa.int64()] * 7 + [pa.int32(), pa.int32(), pa.int64()]
 Piece = tuple[int, int, int]  # document, first id, number of ids
 
 
@@ -82,27 +86,24 @@ def sum_at_least(rests: list[tuple[int, int, int]], size: int) -> bool:
     return False
 
 
-def pack_documents(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """One row for each piece: see SCHEMA; ``context`` is its sequence's length."""
 
     def run(batches):
         coder, task = encoder(path, False), TaskContext.get().partitionId()
-        pool, held, made, groups = [], 0, 0, {}
+        pool, held, made, numbers = [], 0, 0, {}
 
         def flush():
             nonlocal made
             cols = [[] for _ in _TYPES]
             for window in pack([len(ids) for _, ids in pool], tiers):
                 context = sum(p[2] for p in window)
-                used, group = groups.get(context, (0, None))
-                if group is None or used + context > STEP_TOKENS:
-                    used, group = 0, (task << 32) + made
-                groups[context] = (used + context, group)
+                nth = numbers[context] = numbers.get(context, -1) + 1
                 offset = 0
                 for doc, start, n in window:
                     doc_id, ids = pool[doc]
                     crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
-                    for c, v in zip(cols, (doc_id, start, n, crc, len(ids), (task << 32) + made, offset, context, group), strict=True):
+                    for c, v in zip(cols, (doc_id, start, n, crc, len(ids), (task << 32) + made, offset, context, task, nth), strict=True):
                         c.append(v)
                     offset += n
                 made += 1
@@ -120,3 +121,17 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, .
             yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def pack_documents(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS) -> DataFrame:
+    """One row for each piece, with its sequence's length ``context`` and the sequence's ``step_group``."""
+    made = written(pieces(docs, path, end, tiers, pool_tokens))
+    # one row for each task and length
+    each = made.where("offset = 0").groupBy("task", "context").agg(F.count("*").alias("n"))
+    tasks = Window.partitionBy("context").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("_before", F.sum("n").over(tasks) - F.col("n")).withColumn("_all", F.sum("n").over(Window.partitionBy("context"))).drop("n")
+    groups = F.ceil(F.col("_all") * F.col("context") / STEP_TOKENS)
+    # a group holds as many whole sequences as fit, which for powers of two is all of STEP_TOKENS
+    number = F.expr("(_before + nth) * _groups div _all")
+    grouped = made.join(each.withColumn("_groups", groups.cast("long")), ["task", "context"]).withColumn("step_group", F.col("context") * F.lit(1 << 40) + number)
+    return grouped.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group")
