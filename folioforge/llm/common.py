@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Bytes hashed at once; bounds the scratch arrays whatever the text length.
 SEGMENT = 1 << 20
 #: Bytes of text that an operator takes from an Arrow batch at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Code points that end a word: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -33,13 +33,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folders written by each application, for release.
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, a local session, whose executors are on this machine,
+    gets a temporary one; any other session is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="folioforge-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/folioforge-{uuid.uuid4().hex}"
+    path = f"{base}/folioforge-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -50,31 +62,44 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: list[DataFrame] | None = None) -> None:
+    """Delete what this application has written to the shared folder, but for the files that the frames to keep read."""
+    kept = [f for df in keep or [] for f in df.inputFiles()]
+    app = spark.sparkContext.applicationId
+    paths = _written.get(app, [])
+    _written[app] = [p for p in paths if any(p.rpartition("/")[2] in f for f in kept)]
+    for p in set(paths) - set(_written[app]):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def with_starts(df: DataFrame, size: str, order: list[str], into: str = "start", keys: list[str] | None = None, span: int = 8192) -> DataFrame:
-    """Add the sum of ``size`` over all rows before each row, by ``order`` (its first column a long, nulls first).
+def with_starts(df: DataFrame, size: str, order: list[str], into: str = "start", keys: list[str] | None = None) -> DataFrame:
+    """Add the sum of ``size`` over all rows before each row of the same ``keys``, by ``order``, nulls first; df is best a written table.
 
-    Two levels: rows are summed inside spans of the first order column, and only
-    the span totals (one row per span) meet in one window.
+    Rows are dealt to ranges of about equal numbers by their order, whatever its
+    values, with the row number last, so that equal rows part too. They are summed
+    inside the ranges; only the ranges' totals (one row per range and key) meet in
+    one window.
     """
     keys = keys or []
-    block = F.floor(F.col(order[0]) / span).cast("long")
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by = [F.col(c).asc_nulls_first() for c in [*order, "_tie"]]
+    ranged = written(df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).withColumn("_block", F.spark_partition_id()))
+    inner = Window.partitionBy(*keys, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     outer = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    parts = df.withColumn("_block", F.coalesce(block, F.lit(-(1 << 62))))
-    totals = parts.groupBy(*keys, "_block").agg(F.sum(size).alias("_total"))
-    totals = totals.withColumn("_before", F.sum("_total").over(outer) - F.col("_total")).drop("_total")
-    joined = parts.withColumn("_inside", F.sum(size).over(inner) - F.col(size))
+    totals = ranged.groupBy(*keys, "_block").agg(F.sum(size).alias("_total"))
+    totals = totals.withColumn("_before", F.sum("_total").over(outer) - F.col("_total"))
+    joined = ranged.withColumn("_inside", F.sum(size).over(inner) - F.col(size))
     on = F.lit(True)
     t = totals.select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate([*keys, "_block"])], "_before")
     for i, k in enumerate([*keys, "_block"]):
         on = on & F.col(k).eqNullSafe(F.col(f"_t{i}"))
     out = joined.join(t, on).withColumn(into, (F.col("_before") + F.col("_inside")).cast("long"))
-    return out.drop("_block", "_before", "_inside", *[f"_t{i}" for i in range(len(keys) + 1)])
+    return out.drop("_tie", "_block", "_before", "_inside", *[f"_t{i}" for i in range(len(keys) + 1)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

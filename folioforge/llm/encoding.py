@@ -18,7 +18,7 @@ import pyarrow as pa
 from folioforge.llm.common import SAME, SPACES, distinct, units, utf8, words
 
 #: Units remembered at most; beyond, all are forgotten.
-CACHE = 1_200_000
+CACHE = 500_000
 
 
 class UnitEncoder:
