@@ -15,11 +15,13 @@ No group's pairs are all made, and none is capped:
 1. Each posting list is joined with one member only, its head: the member whose
    coordinates are the most common ones. That links the bulk of a group of copies,
    and components follow.
-2. In lists that still hold several components the pairs across components are
-   made: of short lists at once; the members of long ones are posted once more, by
-   the rarest of their shingles. Two sets above the threshold share one of those
-   (prefix filter), and a member that its head could not link has rare shingles,
-   so its lists are short. Members of a list's largest component meet the others only.
+2. The members of long lists that still hold several components are posted once
+   more, by the rarest of their shingles. Two sets above the threshold share one of
+   those (prefix filter), and a member that its head could not link has rare
+   shingles, so its lists are short. Each of these lists has a head as well.
+3. The pairs across components that are left, in short lists of coordinates and in
+   the lists of rare shingles, are made. Members of a list's largest component meet
+   the others only.
 
 Defined cases: null, empty and blank texts have no shingles and stay alone;
 texts shorter than a shingle are one whole sequence; repeated rows share a
@@ -175,9 +177,11 @@ def likely(percent: int, x: str = "x", y: str = "y") -> str:
 
 
 def rare_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, columns of members) for the rarest shingles of each member, those in the prefix that another member shares.
+    """(shingle, columns of members, at) for the rarest shingles of each member that another member shares.
 
-    Sets that are alike share one of a set's ``size - needed + 1`` first shingles in any order that all sets follow.
+    ``at`` is the shingle's place (from 0) in the set, from the rarest on. Sets of which ``least`` shingles must
+    be common share one of the first ``size - least + 1`` in any order that all sets follow; here ``least`` is
+    for the smallest set that can be alike, and ``prefixes_meet`` looks at the pair's own sizes.
     """
 
     def explode(batches):
@@ -190,10 +194,18 @@ def rare_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     every = sets.mapInArrow(explode, "class long, shingle long")
     shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
     met = every.join(shared, "shingle").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("p"))
-    # of the set's size, `least` must be shared; the shingles that no other member has come first
+    # the shingles that no other member has come first
     least = F.expr(f"cast(ceil({percent} * size / 100) as int)")
     room = F.greatest(F.size("p") - least + 1, F.lit(0))
-    return members.join(met, "class").select(F.explode(F.slice("p", 1, room)["shingle"]).alias("shingle"), *members.columns)
+    alone = F.col("size") - F.size("p")
+    posted = members.join(met, "class").select(F.posexplode(F.slice("p", 1, room)["shingle"]).alias("_i", "shingle"), alone.alias("_alone"), *members.columns)
+    return posted.withColumn("at", F.col("_alone") + F.col("_i")).drop("_alone", "_i")
+
+
+def prefixes_meet(percent: int, x: str = "x", y: str = "y") -> str:
+    """SQL: whether a common shingle lies in both prefixes of a pair of these sizes."""
+    least = f"ceil({percent} * ({x}.size + {y}.size) / {100 + percent})"
+    return f"{x}.at <= {x}.size - {least} and {y}.at <= {y}.size - {least}"
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -249,6 +261,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return found.join(found.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label")
 
 
+def pairs_of(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def with_heads(lists: DataFrame, key: str, alike: str) -> DataFrame:
+    """The pairs (a, b) of each list's member of the highest rank and the members that may be like it."""
+    columns = ["rank", "class", *(c for c in lists.columns if c not in (key, "rank", "class"))]
+    heads = lists.groupBy(key).agg(F.max(F.struct(*columns)).alias("y"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return pairs_of(lists.alias("x").join(heads, key).where(F.expr(f"x.class <> y.class and {alike}")))
+
+
 def across(lists: DataFrame, key: str, alike: str) -> DataFrame:
     """The pairs (a, b) of classes of different labels in the same list that may be alike.
 
@@ -258,8 +281,13 @@ def across(lists: DataFrame, key: str, alike: str) -> DataFrame:
     main = counts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     rest = written(lists.join(main, key).withColumn("outside", F.col("label") != F.col("main")).drop("main"))
     apart = (F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class")))
-    met = rest.where("outside").alias("x").join(rest.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & F.expr(alike))
-    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    return pairs_of(rest.where("outside").alias("x").join(rest.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & F.expr(alike)))
+
+
+def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with each class's label, its own class where it has none."""
+    named = labels.withColumnRenamed("node", "class").withColumnRenamed("label", "_label")
+    return lists.join(named, "class", "left").withColumn("label", F.coalesce("_label", "class")).drop("_label")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80, matches: int | None = None) -> DataFrame:
@@ -274,27 +302,35 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
     classes = written(rows.where("class is not null").groupBy("class").agg(*least, F.min("n_shingles").alias("size")))
     posted = written(postings(classes, matches))
 
+    def join_up(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The components with those of the pairs that are links; what is known of the components stands for its links."""
+        links = confirmed(pairs, full_sets(docs, classes, ends_of(pairs), shingle_words), percent)
+        if labels is not None:
+            links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)
+        return written(components(links))
+
     # 1. the head of each list against all of its members
-    heads = posted.groupBy("place").agg(F.max(F.struct("rank", "class", "size", *LANES)).alias("y"), F.count("*").alias("n")).where("n > 1")
-    met = posted.alias("x").join(heads, "place").where(F.expr(f"x.class <> y.class and {alike}"))
-    first = written(met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
-    links = written(confirmed(first, full_sets(docs, classes, ends_of(first), shingle_words), percent))
-    labels = written(components(links))
-
-    # 2. the pairs across components in lists that still hold several
-    named = posted.drop("rank").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    tried = written(with_heads(posted, "place", alike))
+    labels = join_up(None, tried)
+
+    # 2. the crowds: lists that are long and still hold several components
+    named = labelled(posted, labels)
     still = named.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("place", "n")
     rest = written(named.join(still, "place"))
-    more = across(rest.where(F.col("n") <= SHORT_LIST).drop("n"), "place", alike)
-    crowd = written(rest.where(F.col("n") > SHORT_LIST).select("class", "label", "size", *LANES).distinct())
+    crowd = written(rest.where(F.col("n") > SHORT_LIST).select("class", "rank", "size", *LANES).distinct())
+    rare, within = None, f"{alike} and {prefixes_meet(percent)}"
     if not crowd.isEmpty():
-        rare = rare_postings(crowd, full_sets(docs, classes, crowd, shingle_words), percent)
-        more = more.union(across(written(rare), "shingle", alike)).distinct()
-    more = written(more.join(first, ["a", "b"], "left_anti"))
+        rare = written(labelled(rare_postings(crowd, full_sets(docs, classes, crowd, shingle_words), percent), labels))
+        second = written(with_heads(rare, "shingle", f"x.label <> y.label and {within}").join(tried, ["a", "b"], "left_anti"))
+        labels, tried = join_up(labels, second), tried.union(second)
+
+    # 3. what is left across components
+    more = across(labelled(rest.where(F.col("n") <= SHORT_LIST).drop("n", "rank", "label"), labels), "place", alike)
+    if rare is not None:
+        more = more.union(across(labelled(rare.drop("label"), labels), "shingle", within)).distinct()
+    more = written(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        # what is known of the components stands for the links it was made from
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(known.union(confirmed(more, full_sets(docs, classes, ends_of(more), shingle_words), percent)))
+        labels = join_up(labels, more)
 
     grouped = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     smallest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
