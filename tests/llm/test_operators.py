@@ -124,28 +124,47 @@ def test_ngrams_do_not_cross_texts():
 # 2 -------------------------------------------------------------------------
 
 
-def brute_lm(texts, training, prior):
-    streams = [words_of(t) + [None] for t in texts]
-    c, c2 = collections.Counter(), collections.Counter()
-    for s, t in zip(streams, training, strict=True):
-        if t:
-            c.update(s)
-            c2.update(zip([0, *s], s, strict=False))
-    n, v = sum(c.values()), len(c)
-    p = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+def brute_model(texts, training):
+    """Counts of a trigram model, its strengths, and p(w | u, v) by recursion over the orders; None is the end, 0 the start."""
+    c = [collections.Counter(), collections.Counter(), collections.Counter()]
+    follows = collections.Counter()
+    for t, learn in zip(texts, training, strict=True):
+        s = [0, *words_of(t), None]
+        if learn:
+            c[0].update((w,) for w in s[1:])
+            c[1].update(zip(s, s[1:], strict=False))
+            c[2].update(zip(s, s[1:], s[2:], strict=False))
+            follows.update((w,) for w in s[:-1])
+    n, v = sum(c[0].values()), len(c[0])
+    mass = lambda counter: np.array([sum(x * k / (x + k) for x in counter.values()) for k in lmscore.GRID])
+    once = lambda counter: sum(x == 1 for x in counter.values())
+    k2, k3 = lmscore.strength(once(c[1]), mass(c[0])), lmscore.strength(once(c[2]), mass(c[1]))
+
+    def p(w, history=()):
+        if not history:
+            return (c[0][(w,)] + 0.1) / (n + 0.1 * (v + 1))
+        k, seen = (k2, follows[history]) if len(history) == 1 else (k3, c[1][history])
+        return (c[len(history)][(*history, w)] + k * p(w, history[1:])) / (seen + k)
+
+    return c[0], n, p
+
+
+def brute_lm(texts, training):
+    c, n, p = brute_model(texts, training)
     out = []
-    for s in streams:
-        base = sum(math.log10(p(w)) for w in s)
-        score = sum(math.log10((c2[h, w] + prior * p(w)) / ((c[None] if h == 0 else c[h]) + prior)) for h, w in zip([0, *s], s, strict=False))
-        out.append((len(s), sum(c[w] > 0 for w in s), n, base, score))
+    for t in texts:
+        s = [0, *words_of(t), None]
+        base = sum(math.log10(p(w)) for w in s[1:])
+        score = sum(math.log10(p(w, tuple(s[max(i - 1, 0) : i + 1]))) for i, w in enumerate(s[1:]))
+        out.append((len(s) - 1, sum(c[(w,)] > 0 for w in s[1:]), n, base, score))
     return out
 
 
 def test_lm_score(documents, pdf, odd, nothing):
     for df, frame in ((documents, pdf), (odd, odd.toPandas())):
         training = [zlib.crc32(("" if i != i or i is None else str(int(i))).encode()) % 10 != 0 for i in frame.doc_id]
-        want = brute_lm(frame.text, training, lmscore.PRIOR)
-        got = lmscore.score(df, f"{queries.REMAINDER} % 10 <> 0", block_chars=60_000).toPandas()
+        want = brute_lm(frame.text, training)
+        got = lmscore.score(df, f"{queries.REMAINDER} % 10 <> 0", block_chars=60_000, range_chars=170_000).toPandas()
         key = lambda r: (r[0], r[1], r[2], round(r[3], 6), round(r[4], 6))
         assert sorted(map(key, got[["n_tokens", "n_known", "train_tokens", "base_score", "score"]].values.tolist())) == sorted(map(key, want))
     assert lmscore.score(nothing, "true").count() == 0
@@ -153,34 +172,56 @@ def test_lm_score(documents, pdf, odd, nothing):
     assert (only.train_tokens == 0).all() and (only.n_known == 0).all()
 
 
+def test_lm_one_hot_row(spark, documents):
+    """A text that a third of all rows repeat, without ids, is dealt to many blocks and counted each time."""
+    row = documents.where("length(text) > 2000").orderBy("doc_id").select(F.lit(None).cast("long").alias("doc_id"), "text").limit(1)
+    rows = documents.select("doc_id", "text").unionByName(row.crossJoin(spark.range(100)).drop("id"))
+    pdf = rows.toPandas()
+    got = lmscore.score(rows, "true", block_chars=60_000, range_chars=170_000).toPandas()
+    want = brute_lm(pdf.text, [True] * len(pdf))
+    assert sorted(round(x, 6) for x in got.score) == sorted(round(w[4], 6) for w in want)
+
+
+def test_lm_held_out(spark):
+    """Held-out tokens are likelier than under a bigram mixture of one fixed strength (-3.29 at this size) and the base."""
+    got = queries.op2_lm_score(spark, "/root/testdata/sf0.01").toPandas()
+    held = got[got.held_out]
+    assert held.score.sum() / held.n_tokens.sum() > -3.29 and held.base_score.sum() < held.score.sum()
+
+
 def test_lm_states_sum_to_one():
-    texts = ["a b a c", "b a", "c"]
-    vocabulary = ["a", "b", "c", "unseen"]
-    for h in ("a", "c", "b a"):
-        total = 0
-        base = brute_lm([*texts, h], [True] * 3 + [False], 4.0)[3]
-        for w in [*vocabulary, None]:
-            t = h if w is None else f"{h} {w}"
-            scores = brute_lm([*texts, t], [True] * 3 + [False], 4.0)[3]
-            total += 10 ** (scores[4] - (0 if w is None else brute_end(texts, t)) - brute_prefix(texts, h))
-        assert abs(total - 1) < 1e-9 and base[0] > 1
-
-
-def brute_prefix(texts, h):
-    """Log-probability of the words of h without its end."""
-    return brute_lm([*texts, h], [True] * len(texts) + [False], 4.0)[-1][4] - brute_end(texts, h)
-
-
-def brute_end(texts, t):
-    """Log-probability of the end after the last word of t."""
-    c, c2 = collections.Counter(), collections.Counter()
-    for s in texts:
-        s = s.split() + [None]
-        c.update(s)
-        c2.update(zip([0, *s], s, strict=False))
-    n, v, h = sum(c.values()), len(c), t.split()[-1]
-    p = (c[None] + 0.1) / (n + 0.1 * (v + 1))
-    return math.log10((c2[h, None] + 4.0 * p) / (c[h] + 4.0))
+    texts = ["a b a c", "b a", "c", "a b c"]
+    _, _, p = brute_model(texts, [True] * 4)
+    for history in ((), (0,), ("a",), ("c",), ("a", "b"), (0, "a"), ("b", "b"), ("unseen",)):
+        assert abs(sum(p(w, history) for w in ("a", "b", "c", "unseen", None)) - 1) < 1e-9
+
+
+def test_lm_automaton_by_hand():
+    """Tokens 0 = a, 1 = b, 2 = end: an arc's weight differs from what its failure arcs give, and a walk takes the arc where there is one."""
+    bigrams = np.array([[3, 0], [0, 1], [1, 0], [0, 2], [1, 2]]).T  # START a, a b, b a, a end, b end
+    trigrams = np.array([[0, 1], [1, 2], [2, 3]]).T  # START a b, a b a, b a end
+    machine = lmscore.Automaton(2, np.array([5, 3, 2]), (*bigrams, np.array([2, 3, 2, 1, 1])), (*trigrams, np.array([2, 1, 1])), 10.0, 3.0, 2.0, 1.0)
+    p1 = [(x + 0.1) / (10 + 0.4) for x in (5, 3, 2)]
+    p2 = {(3, 0): (2 + 2 * p1[0]) / 4, (0, 1): (3 + 2 * p1[1]) / 7, (1, 0): (2 + 2 * p1[0]) / 5, (0, 2): (1 + 2 * p1[2]) / 7, (1, 2): (1 + 2 * p1[2]) / 5}
+    arc = (2 + p2[0, 1]) / 3  # from the state START a
+    back = 1 / 3 * p2[0, 1]
+    assert abs(arc - back) > 0.3
+    # a b b end: START -a-> (START, a) -b-> (a, b), which has no arc b: to (b), which has none either: to the root
+    want = p2[3, 0] * arc * (1 / 4) * (2 / 5) * p1[1] * p2[1, 2]
+    assert abs(machine.walk(np.array([0, 1, 1, 2]), np.array([0, 4]))[0] - math.log10(want)) < 1e-12
+    # side by side with a shorter one: (START, a) has no arc end, (a) has
+    both = machine.walk(np.array([0, 2, 0, 1, 1, 2]), np.array([0, 2, 6]))
+    assert abs(both[0] - math.log10(p2[3, 0] * (1 / 3) * p2[0, 2])) < 1e-12 and abs(both[1] - math.log10(want)) < 1e-12
+    assert abs(lmscore.strength(4.0, np.interp(np.log(lmscore.GRID), [np.log(1), np.log(2)], [2, 8]) + 0) - lmscore.GRID[3] * 2 ** (np.log(2) / np.log(4))) < 1e-9
+
+
+def test_lm_packing():
+    rng = np.random.default_rng(0)
+    for n, high in ((0, 9), (1, 9), (5000, 1 << 20), (5000, 1 << 63), (100_000, 1 << 45)):
+        keys = np.unique(rng.integers(0, high, n, dtype=np.uint64))
+        assert (lmscore.unpack_keys(lmscore.pack_keys(keys)) == keys).all()
+    for counts in ([], [0, 3], [255, 256], [1 << 33]):
+        assert lmscore.unpack_counts(lmscore.pack_counts(np.array(counts, np.int64))).tolist() == counts
 
 
 # 3 -------------------------------------------------------------------------
@@ -207,20 +248,30 @@ def test_phrases_and_likeness(pdf):
     assert lzprint.compare(lzprint.fingerprint(""), lzprint.fingerprint(None)) == 1 and lzprint.compare(lzprint.fingerprint(""), lzprint.fingerprint("x")) == 0
 
 
-def test_edits(spark, documents, odd, nothing):
-    for df in (documents, odd.where("length(text) < 10000 or text is null")):
-        rows = sorted(((r.doc_id if r.doc_id is not None else -(1 << 63), r.text or "") for r in df.collect()), key=lambda r: (-r[0], r[1]))
-        texts = [t for _, t in rows]
+def test_edits(documents, odd, nothing):
+    hashed = lambda df: [(r.doc_id if r.doc_id is not None else -(1 << 63), r.h, r.text, r.doc_id) for r in df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()]
+    for df in (documents, odd):
+        rows = sorted(hashed(df), key=lambda r: (-r[0], r[1]))
+        texts = [r[2] for r in rows]
         after = texts[1:] + texts[:1]
         edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, after, strict=True)]
         rows_out = lzprint.with_next(df, 20_000)
-        assert rows_out[1] > 1 or df is not documents
-        got = lzprint.edits(df).toPandas()
-        want = sorted((len(t), hashlib.sha256(e.encode()).hexdigest(), lzprint.fingerprint(t), lzprint.fingerprint(e)) for t, e in zip(texts, edited, strict=True))
-        assert sorted(map(tuple, got[["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]].values.tolist())) == want
+        assert rows_out[1] > 1
+        got = [tuple(r) for r in lzprint.edits(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()]
+        prints = {t: lzprint.fingerprint(t) for t in {*texts, *edited}}
+        want = [(r[3], len(t), hashlib.sha256(e.encode()).hexdigest(), prints[t], prints[e], lzprint.compare(prints[t], prints[e]), lzprint.compare(prints[t], prints[n])) for r, t, e, n in zip(rows, texts, edited, after, strict=True)]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert lzprint.edits(nothing).count() == 0
 
 
+def test_equal_ids_part(spark):
+    """Rows of one id, or without ids, are dealt to several ranges."""
+    rows = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a text of its own, number "), F.col("id").cast("string")).alias("text"))
+    dealt, n = lzprint.with_next(rows, 4000)
+    assert n > 5 and dealt.where("not guest").groupBy("part").count().agg(F.max("count")).first()[0] < 150
+    assert lzprint.edits(rows).count() == 400
+
+
 def test_edits_over_ranges(spark, documents, monkeypatch):
     whole = lzprint.edits(documents).toPandas().sort_values("doc_id").reset_index(drop=True)
     real = lzprint.with_next
@@ -262,32 +313,60 @@ def test_automaton_small():
 
 
 def brute_topk(rows, every, k):
-    ok = [(i, np.floor(np.array(v, float) * 256)) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(x * 256) for x in v]) for i, v in rows if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
-        if i % every == 0:
-            s = sorted((-int(q @ x), j) for j, x in ok if j != i)[:k]
-            out += [(i, r + 1, j, -n) for r, (n, j) in enumerate(s)]
-    return sorted(out)
+    for at, (i, q) in enumerate(ok):
+        if i is not None and i % every == 0:
+            dot = lambda x: sum(a * b for a, b in zip(q, x, strict=False))  # noqa: B023, E731
+            s = sorted((-dot(x), j is None, j or 0) for n, (j, x) in enumerate(ok) if n != at)[:k]
+            out += [(i, r + 1, None if none else j, -n) for r, (n, none, j) in enumerate(s)]
+    return sorted(map(repr, out))
+
+
+def clustered(n, width=8, spread=0.1, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, width))
+    return [(int(i), [float(x) for x in centres[i % 6] + spread * rng.normal(size=width)]) for i in range(n)]
 
 
 def test_exact_topk(spark, monkeypatch):
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(6, 8))
-    rows = [(int(i), [float(x) for x in centres[i % 6] + 0.1 * rng.normal(size=8)]) for i in range(600)]
+    rows = clustered(600)
     rows += [(600 + i, [0.25] * 8) for i in range(300)]  # ties
-    rows += [(1000, None), (1050, []), (1100, [float("nan")] * 8), (1150, [None] * 8), (1200, [float("inf")] + [0.0] * 7)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("block", F.lit("x"))
+    rows += [(1000, None), (1050, []), (1100, [float("nan")] * 8), (1150, [None] * 8), (1200, [float("inf")] + [0.0] * 7), (1250, [0.5] * 3)]
+    rows += [(50, [0.5] * 8), (50, [0.5] * 8), (None, [2.0] * 8), (-100, [-1.0] * 8)]  # repeated ids and rows, no id, below 0
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("block", F.lit("x")).withColumn("row", F.lit(1))
     want = brute_topk(rows, 50, 5)
     for salt, queries_ in ((16_384, 512), (100, 3)):
         monkeypatch.setattr(knn, "SALT_ROWS", salt)
         monkeypatch.setattr(knn, "BLOCK_QUERIES", queries_)
-        assert sorted(map(tuple, knn.top_k(df, pivots=8).collect())) == want
+        for pivots in (8, None):
+            assert sorted(repr(tuple(r)) for r in knn.top_k(df, pivots=pivots).collect()) == want
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in knn.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert knn.top_k(few.where("false")).count() == 0
 
 
+def test_topk_large_components(spark):
+    """Components beyond 2^31 and products beyond 2^53 are exact; what no long holds is an error."""
+    rows = [(i, [i - 30.0, float(i), 0.25]) for i in range(1, 60) if i != 50]
+    rows += [(100, [1e8, 3.0, 0.0]), (150, [0.0, 1e7, 1e7 + 1 / 256]), (200, [1.0, -1e7, 5e6]), (201, [1.0, 2e6 + 1 / 256, 2e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute_topk(rows, 50, 5)
+    assert sorted(repr(tuple(r)) for r in knn.top_k(df).collect()) == want and any(abs(int(w.split()[-1][:-1])) > 1 << 53 for w in want)
+    for far in (1e300, 3.0e8):
+        with pytest.raises(Exception, match="too large for a long"):
+            knn.top_k(spark.createDataFrame([(0, [far] * 3), (1, [far] * 3)], "vec_id long, embedding array<double>")).collect()
+
+
+def test_topk_bounds_prune(spark, monkeypatch):
+    """On clustered vectors, less than half of the pairs of query block and vector are replicated."""
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 16)
+    df = spark.createDataFrame(clustered(6000, 16), "vec_id long, embedding array<double>")
+    queries_, needed, _ = knn.replicate(df)
+    blocks = queries_.select("block").distinct().count()
+    assert blocks > 5 and needed.count() < 0.5 * blocks * 6000
+
+
 # 6 -------------------------------------------------------------------------
 
 
