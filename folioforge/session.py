@@ -1,12 +1,13 @@
-"""Session helpers: a local session for tests and benchmarks, and shipping this package to executors."""
+"""Session helpers: a local session for tests and benchmarks, shipping this package to executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,3 +45,48 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+#: Folders written by each application, for release.
+_written: dict[str, list[str]] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, a local session, whose executors are on this machine,
+    gets a temporary one; any other session is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="folioforge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/folioforge-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """Cut the lineage of df: write it to the shared folder and read it again."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.option("compression", compression).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_tables(spark: SparkSession) -> set[str]:
+    """The folders that this application has written so far, to be given to ``release``."""
+    return set(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, but: set[str], keep: list[DataFrame] | None = None) -> None:
+    """Delete the shared folders of this application other than ``but`` and those that the frames to keep read."""
+    kept = [f for df in keep or [] for f in df.inputFiles()]
+    app = spark.sparkContext.applicationId
+    gone = [p for p in _written.get(app, []) if p not in but and not any(p.rpartition("/")[2] in f for f in kept)]
+    _written[app] = [p for p in _written.get(app, []) if p not in gone]
+    for p in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
