@@ -3,7 +3,8 @@
 Rules of the reader: the first table counts; rows and cells of tables nested in
 it count too; a new cell or row closes an open one of the same table; the text of
 script and style is left out; text nodes are stripped and joined by line feeds.
-A span that is no number counts as 1 and sets attr_error; one below 0 counts as 0.
+A span that is no number counts as 1 and sets attr_error, one above a 32-bit number
+counts as the largest of these and sets it too; one below 0 counts as 0.
 
 Every cell has two columns: ``col``, where the occupancy of earlier row spans puts
 it, and ``write_col``, the sum of the column spans before it in its row. A cell
@@ -12,6 +13,7 @@ that starts beyond the width has neither.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, Window
@@ -21,6 +23,7 @@ CELL_SCHEMA = "table_row int, ord int, col int, write_col int, text string, flat
 
 NO_TABLE = "[Warning: Could not find table structure in provided HTML]"
 EMPTY_TABLE = "[Empty Table]"
+LARGEST = (1 << 31) - 1
 
 
 class _Cell:
@@ -32,7 +35,8 @@ class _Cell:
         if value is None:
             return 1
         try:
-            return max(0, min(int(value), 10_000))
+            self.error |= int(value) > LARGEST
+            return max(0, min(int(value), LARGEST))
         except ValueError:
             self.error = True
             return 1
@@ -102,34 +106,57 @@ def read_table(html: str | None) -> list[list[_Cell]] | None:
     return reader.rows if reader.seen else None
 
 
-def place(rows: list[list[_Cell]]) -> list[tuple]:
-    """Rows of CELL_SCHEMA: cells, placeholders of their spans, and a marker (ord null) for each row without cells."""
-    height, width = len(rows), max((sum(c.colspan for c in r) for r in rows), default=0)
-    slots: dict[tuple[int, int], tuple] = {}
-    out = []
+class _Row:
+    """What a row's columns hold: runs (first, after the last, slot), where a later one covers an earlier one."""
+
+    def __init__(self):
+        self.runs: list[tuple[int, int, tuple]] = []
+
+    def draw(self, first: int, stop: int, slot: tuple) -> None:
+        left = [(a, min(b, first), v) for a, b, v in self.runs if a < first]
+        right = [(max(a, stop), b, v) for a, b, v in self.runs if b > stop]
+        self.runs = [*left, (first, stop, slot), *right]
+
+    def free(self, at: int) -> int:
+        """The first column from ``at`` on that holds nothing."""
+        for a, b, _ in sorted(self.runs, key=lambda run: run[:2]):
+            if a <= at < b:
+                at = b
+        return at
+
+
+def place(rows: list[list[_Cell]]) -> Iterator[tuple]:
+    """Rows of CELL_SCHEMA: cells, placeholders of their spans, and a marker (ord null) for each row without cells.
+
+    A span's block ends at the table's edge. Rows hold runs of columns, so a wide span costs no more than a
+    narrow one until its placeholders are given out.
+    """
+    height, width = len(rows), min(LARGEST, max((sum(c.colspan for c in r) for r in rows), default=0))
     if not rows:
-        out.append((None, None, None, None, None, None, None, None, False, None, False, 0, 0))
+        yield (None, None, None, None, None, None, None, None, False, None, False, 0, 0)
+    grid = [_Row() for _ in rows]
     for r, cells in enumerate(rows):
         if not cells:
-            out.append((r, None, None, None, None, None, None, None, False, None, False, height, width))
+            yield (r, None, None, None, None, None, None, None, False, None, False, height, width)
         at = written = 0
         for i, cell in enumerate(cells):
-            while (r, at) in slots:
-                at += 1
+            at = grid[r].free(at)
             text, flat = "\n".join(cell.texts), " ".join(cell.texts)
             fits = r + cell.rowspan <= height and written + cell.colspan <= width
             tail = (text, flat, cell.colspan, cell.rowspan, False, fits, cell.error, height, width)
             if at >= width:
-                out.append((r, i, None, None, *tail))
+                yield (r, i, None, None, *tail)
                 continue
-            own = (r, i, at, written if written < width else None, *tail)
-            hidden = (None, None, cell.colspan, cell.rowspan, True, fits, cell.error, height, width)
+            stop = min(at + max(cell.colspan, 1), width)
+            hidden = (i, None, None, None, cell.colspan, cell.rowspan, True, fits, cell.error, height, width)
             for y in range(r, min(r + max(cell.rowspan, 1), height)):
-                for x in range(at, min(at + max(cell.colspan, 1), width)):
-                    slots[y, x] = own if (y, x) == (r, at) else (y, i, x, None, *hidden)
+                grid[y].draw(at, stop, hidden)
+            grid[r].draw(at, at + 1, (i, written if written < width else None, *tail))
             at += cell.colspan
             written += cell.colspan
-    return out + [slots[k] for k in sorted(slots)]
+    for r, row in enumerate(grid):
+        for first, stop, (i, *slot) in sorted(row.runs, key=lambda run: run[:2]):
+            yield from ((r, i, x, *slot) for x in range(first, stop))
 
 
 @F.udtf(returnType=CELL_SCHEMA)

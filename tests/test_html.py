@@ -60,3 +60,19 @@ def test_function_and_fallbacks(spark):
     assert got == [(0, h.NO_TABLE), (1, h.EMPTY_TABLE), (2, "Row 1: "), (4, h.NO_TABLE)]
     dims = {r.k: (r.n_rows, r.max_cols) for r in h.table_dims(df, "k").collect()}
     assert dims[3] == (1, 1) and dims[2] == (1, 0)
+
+
+def test_wide_spans():
+    """Spans have no cap; a wide one's placeholders are given out one by one, and only inside the table."""
+    slots = cells('<table><tr><td colspan="2000000" rowspan="9">A</td><td>B</td></tr><tr><td>C</td></tr></table>')
+    assert next(slots)[2:9] == (0, 0, "A", "A", 2_000_000, 9, False) and next(slots)[2:9] == (1, None, None, None, 2_000_000, 9, True)
+    got = by_text('<table><tr><td colspan="20000">A</td><td>B</td></tr><tr><td>C</td></tr></table>')
+    assert got["B"][2:4] == (20_000, 20_000) and got["A"][12] == 20_001 and got["A"][9] is True
+    (cell,) = h.read_table('<table><tr><td colspan="99999999999999999999">A</td></tr></table>')[0]
+    assert (cell.colspan, cell.error) == (h.LARGEST, True)
+
+
+def test_covered_spans():
+    """A block that runs over an earlier one takes its slots."""
+    rows = {(r[0], r[2]): r for r in cells('<table><tr><td>a<td rowspan="3">b<td>c</tr><tr><td colspan="3">d</tr><tr><td>e<td>f</table>') if r[2] is not None}
+    assert rows[1, 0][4] == "d" and rows[1, 1][6] == 3 and rows[1, 2][6] == 3 and rows[2, 1][7] == 3 and rows[2, 2][4] == "f"
