@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -24,11 +25,14 @@ def from_dict(values: dict | None) -> Config:
 
 
 def load_config(spark: SparkSession, path: str) -> Config:
-    """Settings of a file of ``key: value`` lines, read by Spark; defaults if it can't be read."""
+    """Settings of a file of ``key: value`` lines, read whole by Spark; defaults if there is no such file."""
     try:
-        lines = [r.value for r in spark.read.text(path).limit(1000).collect()]
-    except Exception:
+        found = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return Config()
+    lines = [line for r in found.collect() for line in r.value.splitlines()]
     pairs = (line.partition(":") for line in lines if ":" in line and not line.lstrip().startswith("#"))
     values = {k.strip(): v.strip().strip("'\"") for k, _, v in pairs}
     if values.get("font_size", "").isdigit():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,14 +17,20 @@ def scan_images(spark: SparkSession, folder: str, pattern: str = "*.jpg") -> Dat
 
 
 def scan_file(spark: SparkSession, path: str) -> DataFrame:
-    """One file, whatever its extension."""
-    return spark.read.format("binaryFile").load(path)
+    """One file, whatever its extension; no row where there is none."""
+    try:
+        return spark.read.format("binaryFile").load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FILE_SCHEMA)
 
 
 def in_natural_order(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Add filename and page_seq (from 0) by natural order of the path within ``keys``; ties by the path itself."""
+    """Add filename and page_seq (from 0) by natural order of the path within ``keys``, its folder unless given; ties by the path itself."""
     named = files.withColumn("filename", basename(F.col("path")))
-    order = Window.partitionBy(*(keys or [])).orderBy(natural_key(F.col("path")), "path")
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    order = Window.partitionBy(*(keys or [folder])).orderBy(natural_key(F.col("path")), "path")
     return named.withColumn("page_seq", F.row_number().over(order) - 1)
 
 
@@ -43,7 +50,16 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def uploaded_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Upload rows of the files in a folder; an unreadable file would stop the read, so only names and sizes are taken."""
+def uploaded_files(spark: SparkSession, folder: str, sent: DataFrame | None = None) -> DataFrame:
+    """Upload rows of the files in a folder (name, size, status, path, message); an unreadable file would stop the read, so only names and sizes are taken.
+
+    With ``sent`` (name, size) there is a row for each file sent: one that did not arrive whole is an upload error.
+    """
     found = spark.read.format("binaryFile").load(folder).select("path", "length")
-    return found.select(basename(F.col("path")).alias("name"), F.col("length").alias("size"), F.lit("uploaded").alias("status"), "path")
+    found = found.select(basename(F.col("path")).alias("name"), F.col("length").alias("size"), "path")
+    if sent is None:
+        return found.select("name", "size", F.lit("uploaded").alias("status"), "path", F.lit(None).cast("string").alias("message"))
+    both = sent.select("name", F.col("size").alias("_sent")).join(found, "name", "left")
+    whole = F.coalesce(F.col("size") == F.col("_sent"), F.lit(False))
+    why = F.when(F.col("size").isNull(), "the file did not arrive").when(~whole, "the file is not whole")
+    return both.select("name", "size", F.when(whole, "uploaded").otherwise("upload_error").alias("status"), F.when(whole, F.col("path")).alias("path"), why.alias("message"))

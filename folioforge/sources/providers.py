@@ -1,12 +1,16 @@
 """External engines behind one interface; deterministic stand-ins for tests.
 
 A provider is a factory called once in each partition; it gives a function from
-a file's path and content to the engine's answer. A failing call gives an empty
-page or an outcome with an error and never stops the job.
+a file's path and content to the engine's answer. A failing call, or one that takes
+longer than its limit, gives an empty page or an outcome with an error and never stops
+the job. Engines are dear: write their answers before using them twice.
 """
 
 from __future__ import annotations
 
+import queue
+import subprocess
+import threading
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,13 +18,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ELEMENT_SCHEMA = "page_id string, elem_idx int, kind string, box array<struct<x:double,y:double>>, text string, score double, html string, lines array<string>"
-OUTCOME_SCHEMA = "job_id string, file_seq long, ok boolean, path string, error string"
+OUTCOME_SCHEMA = "job_id string, file_seq long, ok boolean, path string, error string, error_type string"
+#: Seconds that a conversion may take.
+LIMIT = 60.0
 
 Ocr = Callable[[], Callable[[str, bytes], list[dict]]]
 Converter = Callable[[], Callable[[str], str]]
 
 
-def ocr_elements(pages: DataFrame, provider: Ocr) -> DataFrame:
+def within(seconds: float | None, call: Callable, *args):
+    """What the call gives; TimeoutError if that takes longer. A call that hangs keeps its thread, not the task."""
+    if seconds is None:
+        return call(*args)
+    answer: queue.Queue = queue.Queue()
+
+    def run():
+        try:
+            answer.put((True, call(*args)))
+        except BaseException as e:
+            answer.put((False, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        ok, value = answer.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds:g} s") from None
+    if not ok:
+        raise value
+    return value
+
+
+def error_type(e: BaseException) -> str:
+    """timeout, missing (no such engine or file), failed (the engine's own error code) or other."""
+    if isinstance(e, TimeoutError | subprocess.TimeoutExpired):
+        return "timeout"
+    if isinstance(e, FileNotFoundError | ModuleNotFoundError):
+        return "missing"
+    return "failed" if isinstance(e, subprocess.CalledProcessError) else "other"
+
+
+def ocr_elements(pages: DataFrame, provider: Ocr, seconds: float | None = None) -> DataFrame:
     """Elements of each page (page_id, path, content), in the engine's order."""
 
     def run(batches):
@@ -29,7 +66,7 @@ def ocr_elements(pages: DataFrame, provider: Ocr) -> DataFrame:
             rows = []
             for page in pdf.itertuples():
                 try:
-                    found = engine(page.path, page.content) or []
+                    found = within(seconds, engine, page.path, page.content) or []
                 except Exception:
                     found = []
                 rows += [[page.page_id, i, e.get("kind"), e.get("box"), e.get("text"), e.get("score"), e.get("html"), e.get("lines")] for i, e in enumerate(found)]
@@ -38,29 +75,34 @@ def ocr_elements(pages: DataFrame, provider: Ocr) -> DataFrame:
     return pages.select("page_id", "path", "content").mapInPandas(run, ELEMENT_SCHEMA)
 
 
-def convert(files: DataFrame, provider: Converter) -> DataFrame:
-    """The outcome of each file (job_id, file_seq, path)."""
+def convert(files: DataFrame, *providers: Converter, error: str | None = None, seconds: float | None = LIMIT) -> DataFrame:
+    """The outcome of each file (job_id, file_seq, path): that of the first engine that succeeds, each tried once at most.
+
+    Where all fail, ``error`` is told, or the last engine's own error if there is none.
+    """
 
     def run(batches):
-        engine = provider()
+        engines: list = [None] * len(providers)
         for pdf in batches:
             rows = []
             for f in pdf.itertuples():
-                try:
-                    rows.append([f.job_id, f.file_seq, True, engine(f.path), None])
-                except Exception as e:
-                    rows.append([f.job_id, f.file_seq, False, None, str(e)])
-            yield pd.DataFrame(rows, columns=["job_id", "file_seq", "ok", "path", "error"])
+                row = [f.job_id, f.file_seq, False, None, error, "missing"]
+                for i, make in enumerate(providers):
+                    try:
+                        engines[i] = engines[i] or make()
+                        row = [f.job_id, f.file_seq, True, within(seconds, engines[i], f.path), None, None]
+                        break
+                    except Exception as e:
+                        row = [f.job_id, f.file_seq, False, None, str(e) if error is None else error, error_type(e)]
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["job_id", "file_seq", "ok", "path", "error", "error_type"])
 
     return files.select("job_id", "file_seq", "path").mapInPandas(run, OUTCOME_SCHEMA)
 
 
-def convert_with_fallback(files: DataFrame, first: Converter, second: Converter, error: str) -> DataFrame:
-    """Try the first engine; the second only where it failed; one fixed error where both did."""
-    one = convert(files, first)
-    failed = files.join(one.where("not ok"), ["job_id", "file_seq"], "left_semi")
-    two = convert(failed, second).withColumn("error", F.when(~F.col("ok"), F.lit(error)))
-    return one.where("ok").unionByName(two)
+def convert_with_fallback(files: DataFrame, first: Converter, second: Converter, error: str, seconds: float | None = LIMIT) -> DataFrame:
+    """Try the first engine; the second only where it failed, in the same pass; one fixed error where both did."""
+    return convert(files, first, second, error=error, seconds=seconds)
 
 
 def merge_files(files: DataFrame, provider: Callable[[], Callable[[list[bytes]], bytes]]) -> DataFrame:
