@@ -7,6 +7,8 @@ of typed elements only tables and texts count.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +37,16 @@ def gate(elements: DataFrame, keep_text: bool = False) -> DataFrame:
     return marked.withColumn("body", F.when(~blocked, element_text()))
 
 
-def blocks(pages: DataFrame, elements: DataFrame, single: bool = False, keep_text: bool = False) -> DataFrame:
+def _with_name(template: str) -> Column:
+    before, after = template.split("{}")
+    return F.concat(F.lit(before), F.col("filename"), F.lit(after))
+
+
+def blocks(pages: DataFrame, elements: DataFrame, single: bool = False, keep_text: bool = False, doc: str | None = None) -> DataFrame:
     """page_id, block_seq, kind, text and elem_idx: heading, tables or paragraphs, placeholder, page break.
 
-    ``pages`` has page_id, page_seq and filename. A single file has neither heading nor page break.
+    ``pages`` has page_id, page_seq and filename, and with ``doc`` the column of its document; all pages are
+    one document without. A single file has neither heading nor page break, the last page of a document no break.
     """
     gated = gate(elements.select("page_id", "elem_idx", "kind", "text", "html", "lines"), keep_text)
     row = lambda kind, text, part, elem=F.lit(None), sub=F.lit(0): [F.col("page_id"), F.lit(part).alias("part"), elem.cast("int").alias("elem_idx"), sub.cast("int").alias("sub"), F.lit(kind).alias("kind"), text.cast("string").alias("text")]
@@ -47,11 +55,13 @@ def blocks(pages: DataFrame, elements: DataFrame, single: bool = False, keep_tex
     texts = gated.where("body is not null").select("page_id", "elem_idx", F.posexplode(segment_text(F.col("body"))).alias("sub", "line"))
     found = found.unionByName(texts.select(*row("paragraph", F.col("line"), 1, F.col("elem_idx"), F.col("sub"))))
     bare = pages.join(elements.select("page_id"), "page_id", "left_anti")
-    found = found.unionByName(bare.select(*row("paragraph", F.concat(F.lit("[No content could be extracted from "), F.col("filename"), F.lit("]\n")), 1)))
+    found = found.unionByName(bare.select(*row("paragraph", _with_name(EMPTY_PAGE), 1)))
     if not single:
-        found = found.unionByName(pages.select(*row("heading", F.concat(F.lit("Content from "), F.col("filename")), 0)))
-        last = pages.agg(F.max("page_seq").alias("last"))
-        found = found.unionByName(pages.join(last, F.col("page_seq") < F.col("last")).select(*row("page_break", F.lit(None), 2)))
+        found = found.unionByName(pages.select(*row("heading", _with_name(HEADING), 0)))
+        keys = [doc] if doc else []
+        last = pages.groupBy(*keys).agg(F.max("page_seq").alias("last"))
+        ended = pages.join(last, keys) if keys else pages.crossJoin(F.broadcast(last))  # one row
+        found = found.unionByName(ended.where("page_seq < last").select(*row("page_break", F.lit(None), 2)))
     order = Window.partitionBy("page_id").orderBy("part", "elem_idx", "sub")
     return found.withColumn("block_seq", F.row_number().over(order) - 1).select("page_id", "block_seq", "kind", "text", "elem_idx")
 
@@ -72,24 +82,47 @@ def top_by_y(elements: DataFrame, n: int = 2) -> DataFrame:
     return elements.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def suppressed(boxes: DataFrame, score: float = 0.3, overlap: float = 0.5, most: int = 100) -> DataFrame:
-    """Greedy non-maximum suppression of each page's boxes (page_id, label, score, x1, y1, x2, y2)."""
-
-    def keep(pdf):
-        pdf = pdf[pdf.score > score].sort_values(["score", "x1", "y1"], ascending=[False, True, True]).reset_index(drop=True)
-        area = (pdf.x2 - pdf.x1) * (pdf.y2 - pdf.y1)
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            a = pdf.iloc[i]
-            same = [j for j in kept if pdf.label[j] == a.label]
-            b = pdf.iloc[same]
-            w = (b.x2.clip(upper=a.x2) - b.x1.clip(lower=a.x1)).clip(lower=0)
-            h = (b.y2.clip(upper=a.y2) - b.y1.clip(lower=a.y1)).clip(lower=0)
-            both = w * h
-            if not (both > overlap * (area[i] + area.iloc[same] - both)).any():
-                kept.append(i)
-            if len(kept) == most:
-                break
-        return pdf.iloc[kept]
-
-    return boxes.groupBy("page_id").applyInPandas(keep, boxes.schema)
+def _greedy(label: np.ndarray, box: np.ndarray, overlap: float, most: int) -> list[int]:
+    """The boxes (x1, y1, x2, y2), in their order, that no kept one of their label covers by more than ``overlap`` of the union."""
+    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    open_, kept = np.ones(len(box), bool), []
+    while len(kept) < most and open_.any():
+        i = int(np.argmax(open_))
+        kept.append(i)
+        both = np.prod(np.maximum(np.minimum(box[i, 2:], box[:, 2:]) - np.maximum(box[i, :2], box[:, :2]), 0), axis=1)
+        open_ &= (label != label[i]) | (both <= overlap * (area[i] + area - both))
+        open_[i] = False
+    return kept
+
+
+def suppressed(boxes: DataFrame, score: float = 0.3, overlap: float = 0.5, most: int = 100, before: int = 1000) -> DataFrame:
+    """Greedy non-maximum suppression of each page's boxes (page_id, label, score, x1, y1, x2, y2), highest scores first.
+
+    Of each label of a page the ``before`` highest scores above ``score`` take part; a page keeps ``most`` boxes.
+    """
+    order = [F.desc("score"), "x1", "y1", "x2", "y2"]
+    first = boxes.where(F.col("score") > score).withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "label").orderBy(*order)))
+    ordered = first.where(F.col("_n") <= before).drop("_n").repartition("page_id").sortWithinPartitions("page_id", *order, "label")
+
+    def keep(table: pa.Table) -> pa.RecordBatch:
+        page = table.column("page_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        label = table.column("label").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        box = np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+        ends = np.append(np.flatnonzero(page[1:] != page[:-1]) + 1, len(page))
+        starts = np.concatenate(([0], ends[:-1]))
+        kept = [s + i for s, e in zip(starts.tolist(), ends.tolist(), strict=True) for i in _greedy(label[s:e], box[s:e], overlap, most)]
+        return table.take(pa.array(kept, pa.int64())).combine_chunks().to_batches()[0]
+
+    def run(batches):
+        held = None  # rows of the page that the next batch may go on with
+        for b in batches:
+            table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            page = table.column("page_id").to_pylist()
+            n = next((i + 1 for i in range(len(page) - 2, -1, -1) if page[i] != page[-1]), 0)
+            held = table.slice(n)
+            if n:
+                yield keep(table.slice(0, n))
+        if held is not None and held.num_rows:
+            yield keep(held)
+
+    return ordered.mapInArrow(run, boxes.schema)

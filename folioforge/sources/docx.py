@@ -1,8 +1,13 @@
 """Sink and source for word-processor documents, one file for each document.
 
-``blocks`` are rows (doc_id, block_seq, kind, text). A document is written by the
-task that has its rows, through Spark, as one row (doc_id, content); the caller
-stores the bytes where it likes.
+``blocks`` are rows (doc_id, block_seq, kind, text, cells, n_rows, n_cols), see
+operators.documents; the last three, which only tables have, may be missing. A document
+is written by the task that has its rows, through Spark, as one row (doc_id, content);
+the caller stores the bytes where it likes.
+
+A table's cell spans columns and rows as its colspan and rowspan say; slots that no
+cell covers are empty cells. More than ``MOST_COLUMNS`` columns, which no word processor
+takes, are cut after the last one in which a cell starts.
 """
 
 from __future__ import annotations
@@ -10,16 +15,23 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterable
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
 BREAK = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
+_BORDERS = "<w:tblPr><w:tblBorders>" + "".join(f'<w:{side} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV")) + "</w:tblBorders></w:tblPr>"
+MOST_COLUMNS = 63
+
+CELLS = "array<struct<row:int,col:int,text:string,colspan:int,rowspan:int>>"
+Cell = tuple[int, int, str, int, int]  # row, column, text, colspan, rowspan
 
 
 def _paragraph(text: str, font: str, size: int, bold: bool) -> str:
@@ -29,46 +41,105 @@ def _paragraph(text: str, font: str, size: int, bold: bool) -> str:
     return f'<w:p><w:r>{style}<w:t xml:space="preserve">{lines}</w:t></w:r></w:p>'
 
 
-def document_bytes(rows: list[tuple[str, str | None]], font: str = "SimSun", size: int = 11) -> bytes:
-    """A document of (kind, text) rows in order."""
-    body = "".join(BREAK if kind == "page_break" else _paragraph(text or "", font, size, kind == "heading") for kind, text in rows)
+def _table(cells: Iterable[Cell], n_rows: int, n_cols: int, font: str, size: int) -> str:
+    cells = list(cells)
+    width = n_cols if n_cols <= MOST_COLUMNS else max(c[1] for c in cells) + 1
+    slots: dict[tuple[int, int], tuple[Cell, int]] = {}  # slot to its cell and the columns that the cell has in this row
+    for cell in cells:
+        row, col, _, colspan, rowspan = cell
+        wide = max(1, min(colspan, width - col))
+        for y in range(row, min(row + max(rowspan, 1), n_rows)):
+            slots[y, col] = (cell, wide)
+    rows = []
+    for y in range(n_rows):
+        line, x = [], 0
+        while x < width:
+            cell, wide = slots.get((y, x), (None, 1))
+            span = f'<w:gridSpan w:val="{wide}"/>' if wide > 1 else ""
+            merge = "" if cell is None or cell[4] <= 1 else '<w:vMerge w:val="restart"/>' if cell[0] == y else "<w:vMerge/>"
+            text = cell[2] if cell is not None and cell[0] == y else ""
+            line.append(f"<w:tc><w:tcPr>{span}{merge}</w:tcPr>{_paragraph(text or '', font, size, False)}</w:tc>")
+            x += wide
+        rows.append(f"<w:tr>{''.join(line)}</w:tr>")
+    return f'<w:tbl>{_BORDERS}<w:tblGrid>{"<w:gridCol/>" * width}</w:tblGrid>{"".join(rows)}</w:tbl>'
+
+
+def document_bytes(rows: Iterable[tuple], font: str = "SimSun", size: int = 11) -> bytes:
+    """A document of (kind, text, cells, n_rows, n_cols) rows in order; the last three may be left out."""
+    body = []
+    for kind, text, *table in rows:
+        if kind == "page_break":
+            body.append(BREAK)
+        elif kind == "table" and table and table[0] is not None and len(table[0]):
+            body.append(_table(*table, font, size))
+        else:
+            body.append(_paragraph(text or "", font, size, kind == "heading"))
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W}"><w:body>{body}</w:body></w:document>')):
+        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W}"><w:body>{"".join(body)}</w:body></w:document>')):
             z.writestr(zipfile.ZipInfo(name), part)
     return out.getvalue()
 
 
-def document_rows(content: bytes) -> list[tuple[str, str]]:
-    """(kind, text) rows of a document: paragraphs and page breaks."""
+def _text(p: ElementTree.Element) -> str:
+    return "".join(x.text or "" if x.tag == f"{{{_W}}}t" else "\n" for x in p.iter() if x.tag in (f"{{{_W}}}t", f"{{{_W}}}br"))
+
+
+def _cells(table: ElementTree.Element) -> list[Cell]:
+    """The cells of a table with their spans; the parts that continue a cell from above lengthen it."""
+    found: dict[int, list] = {}  # column to its last cell
+    out = []
+    for y, tr in enumerate(table.findall(f"{{{_W}}}tr")):
+        x = 0
+        for tc in tr.findall(f"{{{_W}}}tc"):
+            span, merge = tc.find(f".//{{{_W}}}gridSpan"), tc.find(f".//{{{_W}}}vMerge")
+            wide = int(span.get(f"{{{_W}}}val", "1")) if span is not None else 1
+            if merge is not None and merge.get(f"{{{_W}}}val") != "restart" and x in found:
+                found[x][4] += 1
+            else:
+                found[x] = [y, x, "\n".join(_text(p) for p in tc.findall(f"{{{_W}}}p")), wide, 1]
+                out.append(found[x])
+            x += wide
+    return [tuple(c) for c in out]
+
+
+def document_rows(content: bytes) -> list[tuple[str, str, list[Cell] | None]]:
+    """(kind, text, cells) rows of a document: paragraphs, tables and page breaks."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(z.read("word/document.xml"))
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{{{_W}}}body")
     rows = []
-    for p in root.iter(f"{{{_W}}}p"):
-        if any(b.get(f"{{{_W}}}type") == "page" for b in p.iter(f"{{{_W}}}br")):
-            rows.append(("page_break", ""))
-        else:
-            text = "".join(x.text or "" if x.tag == f"{{{_W}}}t" else "\n" for x in p.iter() if x.tag in (f"{{{_W}}}t", f"{{{_W}}}br"))
-            rows.append(("paragraph", text))
+    for part in body if body is not None else []:
+        if part.tag == f"{{{_W}}}tbl":
+            rows.append(("table", "", _cells(part)))
+        elif part.tag == f"{{{_W}}}p":
+            if any(b.get(f"{{{_W}}}type") == "page" for b in part.iter(f"{{{_W}}}br")):
+                rows.append(("page_break", "", None))
+            else:
+                rows.append(("paragraph", _text(part), None))
     return rows
 
 
 def render(blocks: DataFrame, font: str = "SimSun", size: int = 11) -> DataFrame:
     """(doc_id, content) of each document of the blocks."""
+    extra = {"cells": CELLS, "n_rows": "int", "n_cols": "int"}
+    full = blocks.select("doc_id", "block_seq", "kind", "text", *[F.col(c).cast(t).alias(c) if c in blocks.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_seq")
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "content": [document_bytes(list(zip(pdf.kind, pdf.text, strict=True)), font, size)]})
+        rows = []
+        for kind, text, cells, n_rows, n_cols in zip(pdf.kind, pdf.text, pdf.cells, pdf.n_rows, pdf.n_cols, strict=True):
+            rows.append((kind, text) if cells is None else (kind, text, [(c["row"], c["col"], c["text"], c["colspan"], c["rowspan"]) for c in cells], int(n_rows), int(n_cols)))
+        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "content": [document_bytes(rows, font, size)]})
 
-    return blocks.select("doc_id", "block_seq", "kind", "text").groupBy("doc_id").applyInPandas(one, f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, content binary")
+    return full.groupBy("doc_id").applyInPandas(one, f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, content binary")
 
 
 def parse(documents: DataFrame) -> DataFrame:
-    """(path, block_seq, kind, text) of documents (path, content)."""
+    """(path, block_seq, kind, text, cells) of documents (path, content)."""
 
     def run(batches):
         for pdf in batches:
-            rows = [(d.path, i, kind, text) for d in pdf.itertuples() for i, (kind, text) in enumerate(document_rows(d.content))]
-            yield pd.DataFrame(rows, columns=["path", "block_seq", "kind", "text"])
+            rows = [(d.path, i, kind, text, cells and [dict(zip(("row", "col", "text", "colspan", "rowspan"), c, strict=True)) for c in cells]) for d in pdf.itertuples() for i, (kind, text, cells) in enumerate(document_rows(d.content))]
+            yield pd.DataFrame(rows, columns=["path", "block_seq", "kind", "text", "cells"])
 
-    return documents.select("path", "content").mapInPandas(run, "path string, block_seq int, kind string, text string")
+    return documents.select("path", "content").mapInPandas(run, f"path string, block_seq int, kind string, text string, cells {CELLS}")
