@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.functions.text import first_text, ordered_join
+from folioforge.functions.text import first_text, media_url, ordered_join
+
+
+# What stands before and after the file's name where its PDF failed and the document is kept.
+FALLBACK = ("文件 ", " 的PDF转换失败，保留原始文件。错误: ")
 
 
 def script_outcome(return_code: Column, exists: Column, stderr: Column, stdout: Column, default: str = "Unknown error") -> Column:
@@ -50,9 +54,21 @@ def individual_results(files: DataFrame, dedupe: bool = False) -> DataFrame:
     return out
 
 
+def result_rows(results: DataFrame, username: Column, ymd: Column, error: Column | None = None) -> DataFrame:
+    """Results (job_id, file_seq, original_name, status, converted_name) with their link and message.
+
+    Only a success has a link; every other status has a message, which ends in ``error``.
+    """
+    success = F.col("status") == "success"
+    url = media_url(F.concat_ws("/", username, ymd, F.lit("converted_files"), F.col("converted_name")))
+    text = F.when(F.col("status") == "conversion_error_fallback", F.concat(F.lit(FALLBACK[0]), "original_name", F.lit(FALLBACK[1]))).otherwise(F.lit(""))
+    message = F.concat(text, F.coalesce(error if error is not None else F.lit(None).cast("string"), F.lit("")))
+    return results.select("job_id", "file_seq", "original_name", "converted_name", F.when(success, url).alias("download_url"), "status", F.when(~success, message).alias("message"))
+
+
 def without_result(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Files that no result names yet, by job and name."""
-    return files.join(results.select("job_id", F.col("original_name").alias("name")).distinct(), ["job_id", "name"], "left_anti")
+    """Files that have no result yet, by job and place in it; a repeated name is a file of its own."""
+    return files.join(results.select("job_id", "file_seq").distinct(), ["job_id", "file_seq"], "left_anti")
 
 
 def job_flags(files: DataFrame, job: str = "job_id") -> DataFrame:

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.functions import rules, text
-from folioforge.operators import anchored, elements, history, html_tables, intake, results
+from folioforge.operators import anchored, documents, elements, history, html_tables, intake, results
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,18 +50,19 @@ def _text(c: str):
 
 
 def _event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as history rows: errors are sidecars of the file of the same user, day and number."""
+    """Events as history rows: errors are sidecars of the file of the same user, day and number; sign-ups are uploads."""
     e = table(spark, sf_dir, "events")
     name = F.concat(F.lit("file"), (F.col("event_id") % 50).cast("string"), F.lit(".docx"))
     meta = F.col("event_type") == "error"
-    rows = e.select(F.concat(F.lit("u"), _text("user_id")).alias("username"), text.day(F.col("ts")).alias("ymd"), F.when(meta, F.concat(name, F.lit(".meta"))).otherwise(name).alias("filename"), meta.alias("is_meta"), F.when(meta, F.concat(F.lit("scan"), (F.col("event_id") % 50).cast("string"), F.lit(".jpg"))).alias("meta_content"))
+    rows = e.select(F.concat(F.lit("u"), _text("user_id")).alias("username"), text.day(F.col("ts")).alias("ymd"), F.when(meta, F.concat(name, F.lit(".meta"))).otherwise(name).alias("filename"), meta.alias("is_meta"), F.when(meta, F.concat(F.lit("scan"), (F.col("event_id") % 50).cast("string"), F.lit(".jpg"))).alias("meta_content"), F.when(F.col("event_type") == "signup", "uploads").otherwise("converted_files").alias("area"))
     return rows.distinct()
 
 
 _EVENT_HISTORY = """h as (select distinct 'u' || user_id as username, strftime(ts, '%Y%m%d') as ymd,
   'file' || (event_id % 50) || '.docx' || case when event_type = 'error' then '.meta' else '' end as filename,
   event_type = 'error' as is_meta,
-  case when event_type = 'error' then 'scan' || (event_id % 50) || '.jpg' end as meta_content from events)"""
+  case when event_type = 'error' then 'scan' || (event_id % 50) || '.jpg' end as meta_content,
+  case when event_type = 'signup' then 'uploads' else 'converted_files' end as area from events)"""
 
 
 @query("select distinct 'u' || user_id as username, strftime(ts, '%Y%m%d') as ymd from events")
@@ -73,18 +74,29 @@ def history_dates(spark, sf_dir):
 select f.username, f.ymd, coalesce(m.meta_content, replace(f.filename, '.docx', '')) as original_name, f.filename as converted_name,
   '/media/his_pic/' || f.username || '/' || f.ymd || '/converted_files/' || f.filename as download_url, '已完成' as status
 from h f left join h m on m.is_meta and m.username = f.username and m.ymd = f.ymd and m.filename = f.filename || '.meta'
-where not f.is_meta""")
+where not f.is_meta and f.area = 'converted_files'""")
 def history_listing(spark, sf_dir):
     return history.listing(_event_history(spark, sf_dir))
 
 
+@query(f"""with {_EVENT_HISTORY}, s as (select username, max(ymd) as ymd from h where area = 'converted_files' group by 1)
+select f.username, f.ymd, coalesce(m.meta_content, replace(f.filename, '.docx', '')) as original_name, f.filename as converted_name
+from h f join s using (username, ymd) left join h m on m.is_meta and m.username = f.username and m.ymd = f.ymd and m.filename = f.filename || '.meta'
+where not f.is_meta and f.area = 'converted_files'""")
+def history_selected(spark, sf_dir):
+    """The listing of one selected date of each user, the newest with outputs."""
+    rows = _event_history(spark, sf_dir)
+    newest = rows.where(F.col("area") == history.OUTPUTS).groupBy("username").agg(F.max("ymd").alias("ymd"))
+    return history.listing(rows, newest).select("username", "ymd", "original_name", "converted_name")
+
+
 @query(f"""with {_EVENT_HISTORY}, d as (select username, ymd, filename from h where not is_meta and filename like 'file1%')
-select username, ymd, filename, is_meta from h
-where not exists (select 1 from d where d.username = h.username and d.ymd = h.ymd and h.filename in (d.filename, d.filename || '.meta'))""")
+select username, ymd, filename, is_meta, area from h
+where area = 'uploads' or not exists (select 1 from d where d.username = h.username and d.ymd = h.ymd and h.filename in (d.filename, d.filename || '.meta'))""")
 def history_delete(spark, sf_dir):
     rows = _event_history(spark, sf_dir)
     gone = rows.where("not is_meta and filename like 'file1%'")
-    return history.delete_outputs(rows, gone).select("username", "ymd", "filename", "is_meta")
+    return history.delete_outputs(rows, gone).select("username", "ymd", "filename", "is_meta", "area")
 
 
 @query(f"""with {_EVENT_HISTORY} select username, ymd, count(*) as n_files from h where username <> 'u7' group by 1, 2""")
@@ -110,7 +122,7 @@ def user_listing(spark, sf_dir):
 
 @query("""select event_id, case when event_id % 5 = 0 then 'N/A' else 'f' || event_id end as original_name,
   case when event_id % 3 = 0 then 'm' || event_id else event_type end as shown,
-  case when event_type = 'success' or event_type = 'view' then null else null end as link from events where event_type <> 'view'
+  cast(null as varchar) as link from events where event_type <> 'view'
 union all select event_id, case when event_id % 5 = 0 then 'N/A' else 'f' || event_id end, case when event_id % 3 = 0 then 'm' || event_id else 'success' end,
   case when event_id % 2 = 0 then '/media/' || event_id end from events where event_type = 'view'""")
 def client_rows(spark, sf_dir):
@@ -122,9 +134,7 @@ def client_rows(spark, sf_dir):
         F.when(F.col("event_type") == "view", "success").otherwise(F.col("event_type")).alias("status"),
         F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/media/"), _text("event_id"))).otherwise("").alias("download_url"),
     )
-    shown = rows.select("event_id", F.struct("*").alias("r"))
-    linked = (F.col("r.status") == "success") & (F.col("r.download_url") != "")
-    return shown.select("event_id", text.first_text(F.col("r.original_name"), F.lit("N/A")).alias("original_name"), text.first_text(F.col("r.message"), F.col("r.status")).alias("shown"), F.when(linked, F.col("r.download_url")).alias("link"))
+    return history.client_rows(rows, "event_id")
 
 
 # --- text
@@ -168,36 +178,51 @@ def username_rule(spark, sf_dir):
     return p.select("p_partkey", "p_name", rules.valid_username(squeezed).alias("valid_username"), rules.valid_password(F.col("p_brand")).alias("valid_brand_password"), rules.passwords_agree(F.col("p_name"), F.col("p_type")).alias("agree"))
 
 
-@query("""select a.s_suppkey as requester, b.s_suppkey as target, a.s_nationkey = 0 and a.s_suppkey <> b.s_suppkey as may_delete, b.s_nationkey <> 0 as link
-from supplier a join supplier b on a.s_nationkey = b.s_nationkey""")
+@query("""select a.s_suppkey as requester, b.s_suppkey as target, a.s_nationkey % 2 = 0 and a.s_suppkey <> b.s_suppkey as may_delete, b.s_nationkey % 2 <> 0 as link
+from supplier a join supplier b on b.s_suppkey = a.s_suppkey - a.s_suppkey % 3""")
 def delete_rules(spark, sf_dir):
+    """Requests: each supplier asks to delete one, every third one itself; those of even nations are superusers."""
     s = table(spark, sf_dir, "supplier")
-    a = s.select(F.col("s_suppkey").alias("requester"), F.col("s_nationkey").alias("n"))
-    b = s.select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("n"))
-    pairs = a.join(b, "n")
-    return pairs.select("requester", "target", rules.may_delete(F.col("requester"), F.col("n") == 0, F.col("target")).alias("may_delete"), rules.shows_delete_link(F.col("n") == 0).alias("link"))
+    requests = s.select(F.col("s_suppkey").alias("requester"), (F.col("s_nationkey") % 2 == 0).alias("asks"), (F.col("s_suppkey") - F.col("s_suppkey") % 3).alias("target"))
+    targets = s.select(F.col("s_suppkey").alias("target"), (F.col("s_nationkey") % 2 == 0).alias("is_superuser"))
+    return requests.join(targets, "target").select("requester", "target", rules.may_delete(F.col("requester"), F.col("asks"), F.col("target")).alias("may_delete"), rules.shows_delete_link(F.col("is_superuser")).alias("link"))
+
+
+@query("""select p_partkey, 'a/b/' || p_name || '/' || p_brand as path, p_size % 3 = 0 as agreed from part""")
+def path_rules(spark, sf_dir):
+    """Parts joined to paths whatever their slashes; only the word true, in any case, is true."""
+    p = table(spark, sf_dir, "part")
+    said = F.element_at(F.array(F.lit("True"), F.lit("yes"), F.lit("")), (F.col("p_size") % 3 + 1).cast("int"))
+    return p.select("p_partkey", text.join_path(F.lit("a\\b"), F.col("p_name"), F.col("p_brand")).alias("path"), text.is_true(said).alias("agreed"))
+
+
+@query(r"""select conv_id, coalesce(nullif(string_agg(text, chr(10) order by turn, text), ''), 'No text detected in this image.') as text from conversations group by conv_id""")
+def legacy_texts(spark, sf_dir):
+    """Conversations as pages whose lines are their turns."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(elements.legacy_text(lines).alias("text"))
 
 
 # --- pages and elements
 
 
 def _document_pages(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Documents as pages; every third is empty, the others have one plain text element."""
+    """Documents as pages of one plain text element each."""
     d = table(spark, sf_dir, "documents")
     pages = d.select(F.col("doc_id").alias("page_id"), F.col("doc_id").alias("page_seq"), F.concat(F.lit("doc"), _text("doc_id"), F.lit(".jpg")).alias("filename"))
     null = lambda t: F.lit(None).cast(t)
-    found = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("page_id"), F.lit(0).alias("elem_idx"), null("string").alias("kind"), "text", null("string").alias("html"), null("array<string>").alias("lines"))
+    found = d.select(F.col("doc_id").alias("page_id"), F.lit(0).alias("elem_idx"), null("string").alias("kind"), "text", null("string").alias("html"), null("array<string>").alias("lines"))
     return pages, found
 
 
 @query(r"""with p as (select doc_id, case when len(q) > 0 then q else [text] end as ps from (
-    select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as q from documents where doc_id % 3 <> 0 and trim(text) <> '')),
+    select doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as q from documents where regexp_matches(text, '\S'))),
 b as (select doc_id, i as block_seq, 'paragraph' as kind, ps[i] as text from p, range(1, len(ps) + 1) t(i)
-  union all select doc_id, 1, 'paragraph', '[No content could be extracted from doc' || doc_id || '.jpg]' || chr(10) from documents where doc_id % 3 = 0
   union all select doc_id, 0, 'heading', 'Content from doc' || doc_id || '.jpg' from documents)
 select doc_id as page_id, cast(block_seq as bigint) as block_seq, kind, text from b
 union all select b.doc_id, max(b.block_seq) + 1, 'page_break', null from b where b.doc_id < (select max(doc_id) from documents) group by b.doc_id""")
 def page_blocks(spark, sf_dir):
+    """Every document's text as blocks; a page with an element, if only a blank one, has no placeholder."""
     pages, found = _document_pages(spark, sf_dir)
     return elements.blocks(pages, found).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "kind", "text")
 
@@ -334,6 +359,38 @@ def html_row_fallback(spark, sf_dir):
     return html_tables.fallback_paragraphs(html_tables.html_cells(r.select("r_regionkey", html.alias("html"))), "r_regionkey")
 
 
+@query("""select n_nationkey, r as table_row, c as col, t as text, b as merge_in_bounds from (
+  select n_nationkey, 0 as r, 0 as c, 'R' as t, n_nationkey % 2 = 0 as b from nation union all select n_nationkey, 0, 1, n_name, true from nation
+  union all select n_nationkey, 1, 1, 'x' || n_nationkey, true from nation union all select n_nationkey, 1, null, 'lost', true from nation)""")
+def html_overflow(spark, sf_dir):
+    """A first column that spans two rows, or one more than there are, pushes the last cell out of the table."""
+    n = table(spark, sf_dir, "nation")
+    rows = F.when(F.col("n_nationkey") % 2 == 0, "2").otherwise("3")
+    html = F.concat(F.lit('<table><tr><td rowspan="'), rows, F.lit('">R<td>'), F.col("n_name"), F.lit("</tr><tr><td>x"), _text("n_nationkey"), F.lit("<td>lost</table>"))
+    cells = html_tables.html_cells(n.select("n_nationkey", html.alias("html"))).where("not is_placeholder")
+    return cells.select("n_nationkey", "table_row", "col", "text", "merge_in_bounds")
+
+
+@query(f"""with {_GRID}, b as (
+  select n_regionkey as r, 1 as p, 'table' as kind, '' as text, count(*) as n_rows, 3 as n_cols, string_agg(case when k = 0 then k || ',0,R' || n_regionkey || ',' || n || ';' else '' end || k || ',1,' || n_nationkey || ',1;' || k || ',2,' || n_name || ',1', ';' order by k) as cells from r group by 1
+  union all select r_regionkey, 0, 'heading', 'Content from r' || r_regionkey || '.jpg', null, null, null from region
+  union all select r_regionkey, 2, 'blank', '', null, null, null from region
+  union all select r_regionkey, 3, 'paragraph', case when r_regionkey % 2 = 0 then '[Empty Table]' else 'Row 1: ' || r_name end, null, null, null from region
+  union all select r_regionkey, 4, 'blank', '', null, null, null from region
+  union all select r_regionkey, 5, 'page_break', null, null, null, null from region where r_regionkey < 3)
+select cast(r % 2 as bigint) as doc_id, row_number() over (partition by r % 2 order by r, p) - 1 as block_seq, kind, text, cast(n_rows as integer) as n_rows, cast(n_cols as integer) as n_cols, cells from b""")
+def table_blocks(spark, sf_dir):
+    """Regions as pages of two documents, each with the table of its nations and one without a grid."""
+    r = table(spark, sf_dir, "region")
+    pages = r.select((F.col("r_regionkey") % 2).cast("long").alias("doc_id"), F.col("r_regionkey").alias("page_id"), F.col("r_regionkey").alias("page_seq"), F.concat(F.lit("r"), _text("r_regionkey"), F.lit(".jpg")).alias("filename"))
+    flat = F.when(F.col("r_regionkey") % 2 == 0, "<table></table>").otherwise(F.concat(F.lit('<table><tr><td colspan="0">'), F.col("r_name"), F.lit("</table>")))
+    html = _nation_tables(spark, sf_dir).select(F.col("n_regionkey").alias("page_id"), F.lit(0).alias("elem_idx"), "html").unionByName(r.select(F.col("r_regionkey").alias("page_id"), F.lit(1).alias("elem_idx"), flat.alias("html")))
+    found = html.select("page_id", "elem_idx", F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"), "html", F.lit(None).cast("array<string>").alias("lines"))
+    cells = F.array_join(F.transform("cells", lambda c: F.concat_ws(",", c["row"], c["col"], c["text"], c["rowspan"])), ";")
+    out = documents.document_blocks(pages, found)
+    return out.select("doc_id", F.col("block_seq").cast("long").alias("block_seq"), "kind", "text", "n_rows", "n_cols", cells.alias("cells"))
+
+
 # --- intake, routes and results
 
 
@@ -421,10 +478,23 @@ def individual_results(spark, sf_dir):
     return results.individual_results(files).select("job_id", "file_seq", "status")
 
 
+@query(f"""with {_FILES}, r as (select job_id, file_seq, name, case when upload_error then 'conversion_error' else 'success' end as status from f
+  union all select job_id, file_seq, name, 'conversion_error_fallback' from f where failed and not upload_error)
+select job_id, file_seq, name as original_name, replace(name, '.ppt', case when status = 'success' then '.pdf' else '.ppt' end) as converted_name,
+  case when status = 'success' then '/media/u/' || split_part(job_id, '/', 2) || '/converted_files/' || replace(name, '.ppt', '.pdf') end as download_url, status,
+  case status when 'conversion_error_fallback' then '文件 ' || name || ' 的PDF转换失败，保留原始文件。错误: no engine' when 'conversion_error' then 'no engine' end as message from r""")
+def result_rows(spark, sf_dir):
+    """Full result rows: links of successes, messages of the others."""
+    files = _event_files(spark, sf_dir).withColumnsRenamed({"failed": "pdf_failed", "upload_error": "script_failed"})
+    rows = results.individual_results(files).withColumn("original_name", F.col("name"))
+    rows = rows.withColumn("converted_name", F.when(F.col("status") == "success", text.with_suffix(F.col("name"), ".pdf")).otherwise(F.col("name")))
+    return results.result_rows(rows, F.lit("u"), F.split_part(F.col("job_id"), F.lit("/"), F.lit(2)), F.lit("no engine"))
+
+
 @query(f"""with {_FILES} select job_id, file_seq, name from f where not exists (select 1 from f g where g.job_id = f.job_id and g.name = f.name and g.failed)""")
 def without_result(spark, sf_dir):
     files = _event_files(spark, sf_dir)
-    done = files.where("failed").select("job_id", F.col("name").alias("original_name"))
+    done = files.where("failed").select("job_id", "file_seq")
     return results.without_result(files, done).select("job_id", "file_seq", "name")
 
 
@@ -460,7 +530,9 @@ def document_outcomes(spark, sf_dir):
     return e.select("event_id", chosen.alias("c"), results.library_gate(main, wanted, False).alias("gate"), text.output_format(sub, wanted).alias("output_format")).select("event_id", "c.path", "c.status", "gate", "output_format")
 
 
-@query()
+@query(f"""with {_FILES}, r as (select job_id, file_seq, name, case when upload_error then 'conversion_error' else 'success' end as status from f
+  union all select job_id, file_seq, name, 'conversion_error_fallback' from f where failed and not upload_error)
+select job_id, cast(to_json({{'results': list({{'original_name': name, 'status': status}} order by file_seq, name, status), 'merge_output': false}}) as varchar) as body from r group by job_id""")
 def result_json(spark, sf_dir):
     rows = results.individual_results(_event_files(spark, sf_dir).withColumnsRenamed({"failed": "pdf_failed", "upload_error": "script_failed"}))
     return results.result_json(rows.select("job_id", "file_seq", F.col("name").alias("original_name"), "status", F.lit(False).alias("merge_output")))
@@ -476,11 +548,23 @@ def merged_blocks(spark, sf_dir):
     return results.merged_blocks(rows).select("job_id", F.col("seq").cast("long").alias("seq"), "kind", "text")
 
 
-@query("""select page_id, label, rank from (select vec_id as page_id, label, 1 as rank from embeddings)""")
+#: Boxes of a vector, and the components of each: corner, size and score.
+_BOXES, _PARTS_OF_BOX = 12, 5
+
+
+@query(f"""with recursive v as (select vec_id as page_id, i as box, i % 3 as label, list_transform(embedding[{_PARTS_OF_BOX}*i+1 : {_PARTS_OF_BOX}*i+{_PARTS_OF_BOX}], lambda x: cast(floor(cast(100 as double) * x) as bigint)) as e from embeddings, range(0, {_BOXES}) t(i)),
+b as (select page_id, box, label, (abs(e[5]) + 26) / cast(100 as double) as score, e[1] as x1, e[2] as y1, e[1] + 20 + abs(e[3]) as x2, e[2] + 20 + abs(e[4]) as y2 from v),
+o as (select *, row_number() over (partition by page_id order by score desc, x1, y1, x2, y2, label) as r from b where score > 0.3),
+k as (select page_id, cast(0 as bigint) as r, cast([] as struct(box bigint, label bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint)[]) as kept from (select distinct page_id from o)
+  union all select o.page_id, o.r, case when len(list_filter(kept, lambda q: q.label = o.label and 2 * greatest(least(q.x2, o.x2) - greatest(q.x1, o.x1), 0) * greatest(least(q.y2, o.y2) - greatest(q.y1, o.y1), 0) >
+      (q.x2 - q.x1) * (q.y2 - q.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(least(q.x2, o.x2) - greatest(q.x1, o.x1), 0) * greatest(least(q.y2, o.y2) - greatest(q.y1, o.y1), 0))) > 0
+    then kept else list_append(kept, {{'box': o.box, 'label': o.label, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) end
+  from k join o on o.page_id = k.page_id and o.r = k.r + 1),
+f as (select page_id, unnest(arg_max(kept, r)) as q from k group by page_id)
+select f.page_id, q.box as box, q.label as label, o.score from f join o on o.page_id = f.page_id and o.box = q.box""")
 def detector_boxes(spark, sf_dir):
-    """Each vector as two boxes of a page, the second inside the first: suppression keeps the first."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
-    boxes = v.select("page_id", "label", (0.9 - 0.1 * F.col("k")).cast("double").alias("score"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(10.0).alias("x2"), (10.0 - F.col("k")).cast("double").alias("y2"))
-    kept = elements.suppressed(boxes)
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"))
-    return kept.select("page_id", "label", F.row_number().over(order).alias("rank"))
+    """Each vector as a page of boxes made from its components: three labels, low scores, overlaps."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BOXES - 1).cast("long"))).alias("box"), F.col("embedding").cast("array<double>").alias("v"))
+    e = lambda k: F.floor(F.lit(100.0) * F.element_at("v", (_PARTS_OF_BOX * F.col("box") + k).cast("int"))).cast("double")
+    boxes = v.select("page_id", "box", (F.col("box") % 3).alias("label"), ((F.abs(e(5)) + 26) / 100).alias("score"), e(1).alias("x1"), e(2).alias("y1"), (e(1) + 20 + F.abs(e(3))).alias("x2"), (e(2) + 20 + F.abs(e(4))).alias("y2"))
+    return elements.suppressed(boxes).select("page_id", "box", "label", "score")

@@ -1,8 +1,15 @@
 import datetime
+import json
+import os
+import subprocess
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import anchored, elements, history, intake, results
+from folioforge import session
+from folioforge.operators import anchored, documents, elements, history, intake, results
+from folioforge.plans.documents import extract, save
 from folioforge.sources import config, docx, providers
 from folioforge.sources.files import in_natural_order, read_history, scan_file, scan_history, scan_images, uploaded_files
 
@@ -43,6 +50,17 @@ def test_suppression(spark):
     boxes = [("p", "a", 0.9, 0.0, 0.0, 10.0, 10.0), ("p", "a", 0.8, 0.0, 0.0, 10.0, 9.0), ("p", "b", 0.8, 0.0, 0.0, 10.0, 9.0), ("p", "a", 0.2, 50.0, 50.0, 60.0, 60.0), ("p", "a", 0.5, 50.0, 0.0, 60.0, 9.0)]
     df = spark.createDataFrame(boxes, "page_id string, label string, score double, x1 double, y1 double, x2 double, y2 double")
     assert sorted((r.label, r.score) for r in elements.suppressed(df).collect()) == [("a", 0.5), ("a", 0.9), ("b", 0.8)]
+    assert elements.suppressed(df.where("false")).count() == 0
+    many = spark.range(40).selectExpr("id % 4 as page_id", "'a' as label", "0.5 + id / 1000 as score", "100.0 * id as x1", "0.0 as y1", "100.0 * id + 9 as x2", "9.0 as y2")
+    assert {r["count"] for r in elements.suppressed(many, most=7).groupBy("page_id").count().collect()} == {7}
+    assert {r["count"] for r in elements.suppressed(many, before=3).groupBy("page_id").count().collect()} == {3}
+    # pages that go over several Arrow batches
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r["count"] for r in elements.suppressed(many).groupBy("page_id").count().collect()} == {10}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def texts(spark, *pages):
@@ -79,13 +97,22 @@ def test_merge_and_individual(spark):
 def test_history(spark, tmp_path):
     rows = [("u", "20240101", "a.docx", "converted_files", False, None), ("u", "20240101", "a.docx.meta", "converted_files", True, "scan.jpg"), ("u", "20240102", ".jpg", "converted_files", False, None), ("u", "2024010", "z", "converted_files", False, None)]
     df = spark.createDataFrame(rows, "username string, ymd string, filename string, area string, is_meta boolean, meta_content string")
-    assert {r.converted_name: r.original_name for r in history.listing(df).collect()} == {"a.docx": "scan.jpg", ".jpg": ".jpg"}
+    uploads = spark.createDataFrame([("u", "20240101", "a.docx", "uploads", False, None), ("u", "20240103", "b.jpg", "uploads", False, None)], df.schema)
+    assert {r.converted_name: r.original_name for r in history.listing(df.union(uploads)).collect()} == {"a.docx": "scan.jpg", ".jpg": ".jpg"}
+    left = history.delete_outputs(df.union(uploads), df.where("filename = 'a.docx'"))
+    assert sorted((r.filename, r.area) for r in left.where("area = 'uploads'").collect()) == [("a.docx", "uploads"), ("b.jpg", "uploads")]
     assert [r.ymd for r in history.dates(df).collect()] == ["20240102", "20240101"]
     gone = history.delete_outputs(df, df.where("filename = 'a.docx'"))
     assert sorted(r.filename for r in gone.collect()) == [".jpg", "z"]
     history.overwrite_history(df, str(tmp_path / "h"))
     back = read_history(spark, str(tmp_path / "h")).where("ymd = '20240101'")
     assert back.count() == 2 and "PartitionFilters: [isnotnull(ymd" in back._jdf.queryExecution().toString()
+    # only the touched date is written anew, and goes when nothing is left of it
+    before = {f.path: f.stat().st_mtime_ns for f in os.scandir(tmp_path / "h" / "username=u" / "ymd=20240102")}
+    history.delete_from(str(tmp_path / "h"), read_history(spark, str(tmp_path / "h")), df.where("filename = 'a.docx'"))
+    assert {f.path: f.stat().st_mtime_ns for f in os.scandir(tmp_path / "h" / "username=u" / "ymd=20240102")} == before
+    assert not (tmp_path / "h" / "username=u" / "ymd=20240101").exists()
+    assert sorted(r.filename for r in read_history(spark, str(tmp_path / "h")).collect()) == [".jpg", "z"]
     users = spark.createDataFrame([("u",), ("v",)], "username string")
     assert history.delete_user(users, df, "u", "u")[0].count() == 2 and history.delete_user(users, df, "u", "v")[1].count() == 0
 
@@ -96,7 +123,11 @@ def test_file_sources(spark, tmp_path):
     files = in_natural_order(scan_images(spark, str(tmp_path)))
     assert [r.filename for r in files.orderBy("page_seq").collect()] == ["2.jpg", "10.jpg"]
     assert scan_file(spark, str(tmp_path / "note.txt")).count() == 1
+    assert scan_file(spark, str(tmp_path / "none.jpg")).count() == 0
     assert uploaded_files(spark, str(tmp_path)).count() == 3
+    sent = spark.createDataFrame([("2.jpg", 5), ("10.jpg", 7), ("lost.jpg", 9)], "name string, size long")
+    got = {r.name: (r.status, r.message) for r in uploaded_files(spark, str(tmp_path), sent).collect()}
+    assert got == {"2.jpg": ("uploaded", None), "10.jpg": ("upload_error", "the file is not whole"), "lost.jpg": ("upload_error", "the file did not arrive")}
     tree = tmp_path / "t" / "u" / "20240101" / "converted_files"
     tree.mkdir(parents=True)
     (tree / "a.docx").write_text("x")
@@ -124,10 +155,101 @@ def test_providers(spark):
 
     out = providers.convert_with_fallback(files, engine("a"), engine("b"), "none works")
     assert sorted((r.file_seq, r.ok, r.error) for r in out.collect()) == [(0, True, None), (1, True, None), (2, False, "none works")]
+    assert providers.within(5, lambda x: x + 1, 1) == 2 and providers.within(None, len, "ab") == 2
     assert providers.normalise_lines([("a", 1), "b", ([[0, 0]], ("c", 0.9)), 3]) == ["a", "b", "c"]
     assert providers.normalise_lines(("d", 1)) == ["d"] and providers.normalise_lines(5) is None
 
 
+def test_engines_run_once(spark, tmp_path):
+    """Each engine has one call a file at most, the second only for failures; limits and types of error."""
+    files = spark.createDataFrame([("j", i, f"{i}.ppt") for i in range(6)], "job_id string, file_seq long, path string")
+    folder = str(tmp_path)
+
+    def engine(name, fails):
+        def make():
+            def run(path):
+                with open(f"{folder}/{name}", "a") as f:
+                    f.write(path + "\n")
+                n = int(path[0])
+                if n == 4 and name == "one":
+                    time.sleep(30)
+                if n == 3:
+                    raise FileNotFoundError("engine")
+                if n in fails:
+                    raise subprocess.CalledProcessError(1, "engine")
+                return path + ".pdf"
+
+            return run
+
+        return make
+
+    out = providers.convert_with_fallback(files, engine("one", (1, 2)), engine("two", (2,)), "no engine", seconds=1.0)
+    got = {r.file_seq: (r.ok, r.error, r.error_type) for r in out.unionByName(out.where("false")).collect()}
+    assert got == {0: (True, None, None), 1: (True, None, None), 2: (False, "no engine", "failed"), 3: (False, "no engine", "missing"), 4: (True, None, None), 5: (True, None, None)}
+    calls = {n: sorted((tmp_path / n).read_text().split()) for n in ("one", "two")}
+    assert calls == {"one": [f"{i}.ppt" for i in range(6)], "two": ["1.ppt", "2.ppt", "3.ppt", "4.ppt"]}
+    slow = providers.convert(files.where("file_seq = 4"), engine("one", ()), seconds=0.5).first()
+    assert (slow.ok, slow.error_type) == (False, "timeout")
+
+
+def pages_provider():
+    """A stand-in engine: a page is JSON, its elements as they are."""
+    return lambda path, content: json.loads(content.decode())
+
+
+def test_documents_end_to_end(spark, tmp_path):
+    box = lambda y: [{"x": 0.0, "y": float(y)}, {"x": 1.0, "y": float(y)}]
+    table = '<table><tr><td rowspan="2">A</td><td colspan="2">B</td></tr><tr><td>C</td><td rowspan="5">D</td></tr></table>'
+    words = ["1", "15.", "西汉", "a", "b", "c", "d", "北宋", "e", "f", "g", "37.1%", "end"]
+    pages = {
+        "2.jpg": [{"kind": "text", "lines": ["x", " y\n"]}, {"text": "plain"}],
+        "10.jpg": [{"kind": "table", "html": table}, {"kind": "text", "lines": ["hidden"]}, {"kind": "table", "html": "<p>"}],
+        "6.jpg": [{"text": w, "box": box(100 - i)} for i, w in enumerate(words)],
+        "7.jpg": [],
+    }
+    for name, found in pages.items():
+        (tmp_path / name).write_text(json.dumps(found))
+    cfg = config.Config(input_directory=str(tmp_path))
+    made = extract(spark, pages_provider, cfg)
+    got = docx.parse(made.select(F.col("doc_id").alias("path"), "content")).orderBy("block_seq").collect()
+    flat = [(r.kind, r.text) if r.cells is None else (r.kind, [tuple(c) for c in r.cells]) for r in got]
+    end = ("page_break", "")
+    line = lambda t: ("paragraph", t)
+    six = [(0, 0, "", 1, 1), (0, 1, "南方", 2, 1), (0, 3, "北方", 2, 1)] + [(1, i, t, 1, 1) for i, t in enumerate(("朝代", "人口（户）", "占全国户口数比例", "人口（户）", "占全国户口数比例"))]
+    six += [(2, i, t, 1, 1) for i, t in enumerate(words[2:7])] + [(3, i, t, 1, 1) for i, t in enumerate(words[7:12])]
+    ten = [(0, 0, "A", 1, 2), (0, 1, "B", 2, 1), (1, 1, "C", 1, 1), (1, 2, "D", 1, 1)]
+    assert flat == [
+        line("Content from 2.jpg"), line("x"), line("y"), line("plain"), end,
+        line("Content from 6.jpg"), line("end"), line("37.1%"), ("table", six), line(""), line("end"), end,
+        line("Content from 7.jpg"), line("[No content could be extracted from 7.jpg]\n"), end,
+        line("Content from 10.jpg"), ("table", ten), line(""), line("[Warning: Could not find table structure in provided HTML]"), line(""),
+    ]
+    one = extract(spark, pages_provider, path=str(tmp_path / "2.jpg"))
+    assert [r.text for r in docx.parse(one.select(F.col("doc_id").alias("path"), "content")).orderBy("block_seq").collect()] == ["x", "y", "plain"]
+    assert extract(spark, pages_provider, path=str(tmp_path / "none.jpg")).count() == 0
+
+    def printer():
+        def run(content):
+            return b"%PDF" + content[:2]
+
+        return run
+
+    def broken():
+        raise FileNotFoundError("no printer")
+
+    done = extract(spark, pages_provider, path=str(tmp_path / "2.jpg"), output_format="pdf", to_pdf=printer)
+    assert [open(p, "rb").read() for p in save(done, str(tmp_path / "out"))] == [b"%PDFPK"] and os.path.exists(tmp_path / "out" / "2.pdf")
+    kept = extract(spark, pages_provider, path=str(tmp_path / "2.jpg"), output_format="pdf", to_pdf=lambda: lambda c: broken()).first()
+    assert (kept.format, kept.status, kept.message) == ("docx", "conversion_error_fallback", "no printer")
+
+
+def test_pages_of_several_documents(spark):
+    """Each document ends without a page break."""
+    pages = spark.createDataFrame([("d", "a", 0, "a.jpg"), ("d", "b", 1, "b.jpg"), ("e", "c", 0, "c.jpg")], "doc_id string, page_id string, page_seq int, filename string")
+    out = documents.document_blocks(pages, spark.createDataFrame([], ELEMENTS + ", box array<struct<x:double,y:double>>"))
+    assert sorted((r.doc_id, r.block_seq) for r in out.where("kind = 'page_break'").collect()) == [("d", 2)]
+
+
 def test_merge_files(spark):
     files = spark.createDataFrame([("j", 1, bytearray(b"b")), ("j", 0, bytearray(b"a")), ("k", 0, bytearray(b"x"))], "job_id string, file_seq long, content binary")
 
@@ -145,6 +267,12 @@ def test_merge_files(spark):
 
 
 def test_docx_round_trip(spark):
+    tables = [(0, 0, "a\nb", 2, 1), (0, 2, "c", 1, 3), (1, 0, "<d>", 1, 2), (2, 1, "e", 1, 1)]
+    spanned = docx.document_rows(docx.document_bytes([("paragraph", "p"), ("table", "", tables, 3, 3), ("blank", "")]))
+    assert [(k, t) for k, t, _ in spanned] == [("paragraph", "p"), ("table", ""), ("paragraph", "")]
+    assert [c for c in spanned[1][2] if c[2]] == sorted(tables) and (1, 1, "", 1, 1) in spanned[1][2]
+    wide = docx.document_rows(docx.document_bytes([("table", "", [(0, 0, "x", 2_000_000_000, 1), (0, 2_000, "", 1, 1)], 1, 2_000_000_001)]))
+    assert wide[0][2][0] == (0, 0, "x", 2001, 1)
     blocks = spark.createDataFrame([("d", 0, "heading", "H"), ("d", 1, "paragraph", "a <b>\nc"), ("d", 2, "page_break", None)], "doc_id string, block_seq int, kind string, text string")
     made = docx.render(blocks).select(F.col("doc_id").alias("path"), "content")
     assert [(r.kind, r.text) for r in docx.parse(made).orderBy("block_seq").collect()] == [("paragraph", "H"), ("paragraph", "a <b>\nc"), ("page_break", "")]
@@ -154,6 +282,19 @@ def test_config(spark, tmp_path):
     assert config.load_config(spark, str(tmp_path / "none")) == config.Config()
     (tmp_path / "c.yaml").write_text("input_directory: 'in'\nfont_size: 12\nother: 1\nlog_file:\n")
     assert config.load_config(spark, str(tmp_path / "c.yaml")) == config.Config(input_directory="in", font_size=12)
+    (tmp_path / "long.yaml").write_text("".join(f"key{i}: {i}\n" for i in range(5000)) + "font_name: Last\n")
+    assert config.load_config(spark, str(tmp_path / "long.yaml")).font_name == "Last"
+
+
+def test_shared_tables(spark):
+    a = session.written(spark.range(3))
+    before = session.shared_tables(spark)
+    b, c = session.written(spark.range(4)), session.written(spark.range(5))
+    session.release(spark, before, keep=[c])
+    assert a.count() == 3 and c.count() == 5
+    with pytest.raises(Exception, match="does not exist|FAILED_READ_FILE"):
+        b.collect()
+    assert len(session.shared_tables(spark) - before) == 1
 
 
 def test_streaming(spark, tmp_path):

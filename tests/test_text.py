@@ -1,6 +1,6 @@
 import os
-import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -28,23 +28,40 @@ def test_segments(spark):
     assert column(spark, [None], text.segment_text) == [None]
 
 
-def python_key(s):
-    return [int(t) if t.isdigit() else t.lower() for t in re.split(r"(\d+)", s)]
-
-
 @settings(max_examples=3, deadline=None)
 @given(st.lists(st.text("aB./10 2_", min_size=1, max_size=9), min_size=30, max_size=60, unique=True))
-def test_natural_order_and_stem(spark, names):
+def test_stem(spark, names):
     df = spark.createDataFrame([(n,) for n in names], "n string")
-    got = [r.n for r in df.orderBy(text.natural_key(F.col("n")), "n").collect()]
-    assert got == sorted(names, key=lambda n: (python_key(n), n))
     assert {r.n: r.s for r in df.select("n", text.stem(F.col("n")).alias("s")).collect()} == {n: os.path.splitext(n)[0] for n in names}
 
 
-def test_natural_order_cases(spark):
-    names = ["10.jpg", "2.jpg", "01.jpg", "1.jpg", "A10", "a2", "x" + "9" * 23]
-    df = spark.createDataFrame([(n,) for n in names], "n string")
-    assert [r.n for r in df.orderBy(text.natural_key(F.col("n")), "n").collect()] == sorted(names, key=lambda n: (python_key(n), n))
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "Page ", "x_"]), st.integers(0, 10**30), st.sampled_from(["", ".jpg", "b"])), min_size=20, max_size=40, unique=True))
+def test_natural_order_by_number(spark, parts):
+    """Among names of the same words, numbers go by value, however many digits they have."""
+    df = spark.createDataFrame([(f"{w}{n}{e}", w, str(n), e) for w, n, e in parts], "n string, w string, v string, e string")
+    got = [(r.w, int(r.v), r.e) for r in df.orderBy(text.natural_key(F.col("n")), "n").collect()]
+    for w in ("a", "Page ", "x_"):
+        numbers = [n for x, n, _ in got if x == w]
+        assert numbers == sorted(numbers)
+    assert [w for w, _, _ in got] == sorted((w for w, _, _ in got), key=str.lower)
+
+
+@pytest.mark.parametrize(
+    "names",
+    [
+        ["1.jpg", "2.jpg", "10.jpg"],
+        ["01.jpg", "1.jpg", "2.jpg"],  # equal numbers: by the name itself
+        ["9a", "10a", "10B", "10c"],  # letters whatever their case
+        ["a2", "A10", "b1"],
+        ["IMG_2_3", "IMG_2_12", "IMG_10_1"],
+        ["x" + "9" * 22, "x1" + "0" * 22],
+        ["", "0", "a", "a0"],
+    ],
+)
+def test_natural_order_cases(spark, names):
+    df = spark.createDataFrame([(n,) for n in reversed(names)], "n string")
+    assert [r.n for r in df.orderBy(text.natural_key(F.col("n")), "n").collect()] == names
 
 
 def test_paths(spark):
