@@ -1,12 +1,14 @@
 """Mixing sources to target weights.
 
 The words of each source, in doc_id order, form one stream that is cut into
-blocks of ``BLOCK`` words. A source whose target is T words gets T / BLOCK slots;
-slot j takes block pi(j mod B), where B is the source's number of blocks and pi
-a pseudorandom permutation of its indexes, another one for each pass over the
-source. Every slot draws its output shard from a hash, so the numbers of slots
-that the sources have in a shard follow a multinomial law, given the totals. Slots
-and blocks are joined by index. DataFrame operations only.
+blocks of ``BLOCK`` words. A source whose target is T words gets T / BLOCK slots.
+First the sources' counts in each output shard are drawn: each of a source's slots
+falls into a shard by a hash, so the counts follow the multinomial law that adds up to
+the totals. Then the slots are numbered, shard after shard, and slot j takes block
+pi(j mod B), where B is the source's number of blocks and pi a permutation of its
+indexes, x -> a * x + b, another one for each pass over the source. Slots and blocks
+are joined by index; ``mix_shards`` is the mix, and what a document gives to it is
+summed from its rows. DataFrame operations only.
 
 Targets: the sources, by code point with null last, weigh 5, 2, 1 and so on
 again; together they take 150 % of all words. A target stops at twice the
@@ -31,7 +33,8 @@ MOST = 2
 WEIGHTS = (5, 2, 1)
 #: Primes for the permutations; one that doesn't divide B gives a permutation x -> (a * x + b) mod B.
 PRIMES = (1_000_000_007, 998_244_353, 754_974_721, 167_772_161)
-SHARD_SLOTS = 65_536
+#: Slots of a shard, about, and slots that one row is expanded to while they are drawn.
+SHARD_SLOTS, DRAWN = 65_536, 16_384
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -59,8 +62,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def permuted(j: str, n: str, which: str) -> str:
     """SQL of pi(j) below n; ``which`` numbers the source and the pass."""
     choices = "".join(f"when {n} % {p} <> 0 then {p} " for p in PRIMES)
-    # j and the offset stay below n < 2^31 words' blocks, so the product stays below 2^63
-    return f"((cast(case {choices} else 1 end as bigint) % {n}) * {j} + 7919 * ({which} + 1)) % {n}"
+    a = f"(cast(case {choices} else 1 end as bigint) % {n})"
+    # the product in two parts, each below 2^63 for n below 2^37 blocks
+    product = f"(({a} * ({j} div 65536)) % {n} * 65536 + {a} * ({j} % 65536))"
+    return f"({product} + 7919 * ({which} + 1)) % {n}"
 
 
 def positions(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -70,39 +75,42 @@ def positions(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The slots (source, pass, block, shard) of the mix, and every row's place (doc_id, source, size, start, source_size, target)."""
+    """The slots (source, pass, block, shard, slot) of the mix, and every row's place (doc_id, source, size, start, source_size, target)."""
     placed = written(positions(docs))
     totals = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))
-    totals = totals.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)).withColumn("slots", F.least(F.round(F.col("target") / BLOCK).cast("long"), MOST * F.ceil(F.col("source_size") / BLOCK)))
-    order = Window.orderBy(F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = written(totals.withColumn("_end", F.sum("slots").over(order)).withColumn("_from", F.col("_end") - F.col("slots")).withColumn("_k", F.row_number().over(order) - 1).coalesce(1))
-    n = totals.agg(F.max("_end").alias("n")).first().n or 0
-    # slot numbers are dealt to the sources by chunks of the number line, so that the join has an equality
-    chunk = 4096
-    spans = totals.where("slots > 0").withColumn("_c", F.explode(F.sequence(F.floor(F.col("_from") / chunk), F.floor((F.col("_end") - 1) / chunk))))
-    line = docs.sparkSession.range(n).withColumn("_c", F.floor(F.col("id") / chunk))
-    slots = line.join(spans, "_c").where("id >= _from and id < _end")
-    slots = slots.withColumn("_j", F.col("id") - F.col("_from")).withColumn("pass", F.floor(F.col("_j") / F.col("blocks")))
-    slots = slots.withColumn("block", F.expr(permuted("(_j % blocks)", "blocks", "(_k * 2 + pass)")))
-    shards = max(1, -(-n // SHARD_SLOTS))
-    slots = slots.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return slots.select("source", "pass", "block", "shard"), placed.join(F.broadcast(totals.select(F.col("source").alias("_s"), "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-
-
-def taken_blocks(slots: DataFrame, placed: DataFrame) -> DataFrame:
-    """A row for each taken block of each row with words: the row's columns, block, times and words (of one time)."""
-    times = slots.groupBy("source", "block").agg(F.count("*").alias("times")).withColumnRenamed("source", "_s").withColumnRenamed("block", "_b")
+    blocks = F.ceil(F.col("source_size") / BLOCK)
+    totals = totals.withColumn("blocks", blocks).withColumn("slots", F.least(F.round(F.col("target") / BLOCK).cast("long"), MOST * blocks))
+    totals = written(totals.withColumn("_k", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1))
+    shards = max(1, -(-(totals.agg(F.sum("slots").alias("n")).first().n or 0) // SHARD_SLOTS))
+
+    # 1. each source's counts in the shards: its slots are drawn, some thousands from a row
+    runs = totals.where("slots > 0").select("_k", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / DRAWN))).alias("_c")).repartition("_k", "_c")
+    drawn = runs.select("_k", F.explode(F.sequence(F.col("_c") * DRAWN, F.least((F.col("_c") + 1) * DRAWN, F.col("slots")) - 1)).alias("_i"))
+    counts = drawn.groupBy("_k", F.pmod(F.xxhash64("_k", "_i"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("n"))
+
+    # 2. slots are numbered shard after shard and mapped through the permutation of their source and pass
+    before = Window.partitionBy("_k").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumn("_from", F.sum("n").over(before) - F.col("n")).join(totals.select("source", "_k", "blocks"), "_k")
+    slots = counts.repartition("_k", "shard").withColumn("slot", F.explode(F.sequence("_from", F.col("_from") + F.col("n") - 1))).withColumn("pass", F.floor(F.col("slot") / F.col("blocks")))
+    slots = slots.withColumn("block", F.expr(permuted("(slot % blocks)", "blocks", "(_k * 2 + pass)")))
+    known = totals.select(F.col("source").alias("_s"), "source_size", "target")
+    return slots.select("source", "pass", "block", "shard", "slot"), placed.join(known, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+
+def mix_shards(slots: DataFrame, placed: DataFrame) -> DataFrame:
+    """The mix: a row for each slot and each row of docs with words in its block: shard, slot, pass, block, words and the row's columns."""
+    taken = slots.withColumnsRenamed({"source": "_s", "block": "_b"})
     last = F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), last)))
     parts = parts.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK))
-    return parts.join(times, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
+    return parts.join(taken, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b"))).drop("_s", "_b")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every row of docs."""
     slots, placed = mix(docs)
     # start and size name a row with words: no two such rows of a source start alike
-    sums = taken_blocks(slots, placed).groupBy(F.col("source").alias("_s"), F.col("start").alias("_at")).agg(F.sum(F.col("words") * F.col("times")).alias("_taken"))
+    sums = mix_shards(slots, placed).groupBy(F.col("source").alias("_s"), F.col("start").alias("_at")).agg(F.sum("words").alias("_taken"))
     joined = placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_at")) & (F.col("size") > 0), "left")
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -114,7 +122,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     there is one, is counted anew.
     """
     slots, placed = mix(docs)
-    place = taken_blocks(slots, placed).groupBy("doc_id", "source", "size", "start", "_h").agg(F.sort_array(F.collect_list(F.struct("block", "times"))).alias("_got"))
+    place = mix_shards(slots, placed).groupBy("doc_id", "source", "size", "start", "_h").agg(F.sort_array(F.collect_list(F.struct("block", "pass"))).alias("_got"))
     # a row's own blocks: their number follows its length; equal rows are paired off by number
     twin = Window.partitionBy("_d", "_s", "_t").orderBy("_n")
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_t"), F.lit(0).alias("_n"))
@@ -124,7 +132,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     on = F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_t") == F.col("_t2")) & (F.col("_n") == F.col("_n2"))
     joined = rows.join(parts, on).withColumn("_w", F.expr(r"regexp_extract_all(_row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"))
     piece = f"slice(_w, cast(greatest(b.block * {BLOCK} - _at, 0) + 1 as int), cast(least((b.block + 1) * {BLOCK}, _at + size(_w)) - greatest(b.block * {BLOCK}, _at) as int))"
-    passes = ", ".join(f"array_join(flatten(transform(filter(_got, b -> b.times >= {n}), b -> {piece})), '')" for n in range(1, MOST + 1))
+    passes = ", ".join(f"array_join(flatten(transform(filter(_got, b -> b.pass = {n}), b -> {piece})), '')" for n in range(MOST))
     mixed = joined.withColumn("_text", F.expr(f"array_join(filter(array({passes}), x -> x <> ''), '\n')"))
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
