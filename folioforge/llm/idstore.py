@@ -5,10 +5,12 @@ cuts the stream of each document into chunks, so that equal passages give equal
 chunks wherever they stand. A chunk is named by its BLAKE2b digest and stored
 once, as little-endian 16-bit ids; a document is a recipe, the list of its
 chunks' names. Recipes lie in ascending doc_id order with the number of ids
-before each document. Manifests hold a Merkle tree: the leaf of a document is the
-hash of its chunk names, a range's node the hash of its leaves, the root the
-hash of the nodes. Reading recomputes each chunk's name from its bytes and fails
-on a difference.
+before each document. The manifest is a Merkle tree: a document's leaf is the hash of
+its recipe's name, id and place, a node the hash of the leaves of a range of places
+(``RANGE`` ids), a node above it that of ``FAN`` nodes, and so on to the root. Reading
+recomputes each chunk's name from its bytes, each recipe's from its chunks' names, and
+the tree from the recipes, and fails on a difference: on a chunk or recipe that is
+changed, removed, added or swapped, and, given the root, on a changed manifest.
 
 Defined cases: null text is empty (one end id); a null doc_id comes first;
 repeated rows are documents of their own, in the order of their names; an empty
@@ -22,16 +24,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import mix, powers, shared_dir, slices, with_starts
+from folioforge.llm.common import mix, powers, shared_dir, slices, with_starts, written
 from folioforge.llm.encoding import encoder
 
 WINDOW, LEAST, MOST, MEAN_BITS = 16, 64, 1024, 8
 _POLYNOMIAL = np.uint32(0xEDB88320)
 _SPREAD = mix(np.arange(1, 65_537, dtype=np.uint64))
-RANGE = 4096
+RANGE, FAN = 1 << 20, 1024
 
 
 def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
@@ -117,12 +119,51 @@ def write_store(docs: DataFrame, path: str, end: int, folder: str | None = None)
     recipes = _stage(spark, folder, "recipe").select("doc_id", "name", "n_tokens", F.col("payload").alias("names"), "sizes")
     placed = with_starts(recipes, "n_tokens", ["doc_id", "name"])
     placed.repartitionByRange(F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
-    leaves = read_recipes(spark, folder).withColumn("range", F.coalesce(F.floor(F.col("doc_id") / RANGE), F.lit(-1)))
-    node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", F.hex("name").alias("leaf")))), lambda x: x["leaf"]), ""), 256)
-    leaves.groupBy("range").agg(node.alias("node"), F.min("start").alias("start"), F.count("*").alias("documents"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{folder}/manifest")
+    tree(read_recipes(spark, folder)).write.parquet(f"{folder}/manifest")
     return folder
 
 
+def _node(hashes: str) -> Column:
+    ordered = F.array_sort(F.collect_list(F.struct("start", F.col(hashes).alias("h"))))
+    return F.sha2(F.array_join(F.transform(ordered, lambda x: x["h"]), ""), 256).alias("node")
+
+
+def tree(recipes: DataFrame) -> DataFrame:
+    """level, range, start, documents, n_tokens and node of the Merkle tree over the recipes; the highest level has the root alone."""
+    told = [F.min("start").alias("start"), F.sum("documents").alias("documents"), F.sum("n_tokens").alias("n_tokens")]
+    leaf = F.sha2(F.concat_ws("|", F.hex("name"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens"), 256)
+    leaves = recipes.select("start", "n_tokens", F.lit(1).cast("long").alias("documents"), leaf.alias("leaf"), F.floor(F.col("start") / RANGE).alias("range"))
+    level = written(leaves.groupBy("range").agg(_node("leaf"), *told).withColumn("level", F.lit(0)))
+    columns = ["level", "range", "start", "documents", "n_tokens", "node"]
+    out, height, last = level.select(columns), 0, level.agg(F.max("range").alias("n")).first().n or 0
+    while last > 0:
+        height, last = height + 1, last // FAN
+        level = written(level.withColumn("range", F.floor(F.col("range") / FAN)).groupBy("range").agg(_node("node"), *told).withColumn("level", F.lit(height)))
+        out = out.unionByName(level.select(columns))
+    return out
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("level int, range long, start long, documents long, n_tokens long, node string").parquet(f"{folder}/manifest")
+
+
+def root(spark: SparkSession, folder: str) -> str | None:
+    """The hash that stands for all ids of the store; None for an empty one."""
+    found = read_manifest(spark, folder).agg(F.max_by("node", "level").alias("node")).first()
+    return found.node
+
+
+def verify(spark: SparkSession, folder: str, known_root: str | None = None) -> None:
+    """Fail unless the recipes' tree is the manifest, and its root the known one."""
+    if known_root is not None and root(spark, folder) != known_root:
+        raise ValueError("the store has another root")
+    on = ["level", "range"]
+    stored = read_manifest(spark, folder).select(*on, F.col("node").alias("stored"))
+    bad = tree(read_recipes(spark, folder)).select(*on, "node").join(stored, on, "full").where("not (node <=> stored)")
+    if not bad.isEmpty():
+        raise ValueError(f"the recipes are not those of the manifest: {bad.limit(3).collect()}")
+
+
 def _stage(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.schema(ROWS).parquet(f"{folder}/stage").where(F.col("kind") == kind)
 
@@ -175,6 +216,8 @@ def _expand(batches):
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
             names = part.column("names").to_pylist()
+            if [_digest(n) for n in names] != part.column("name").to_pylist():
+                raise ValueError("a recipe has other chunks than its name says")
             sizes = [np.frombuffer(s, "<u4").astype(np.int64) for s in part.column("sizes").to_pylist()]
             counts = [len(s) for s in sizes]
             after = [s.sum() - np.cumsum(s) for s in sizes]
@@ -191,14 +234,15 @@ def _shift(batches):
         yield pa.RecordBatch.from_arrays([b.column("start"), b.column("size"), pa.array(crc.astype(np.int64))], names=["start", "size", "crc"])
 
 
-def read_report(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the stored files.
+def read_report(spark: SparkSession, folder: str, known_root: str | None = None) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the stored files, once their tree is verified.
 
     A document's CRC follows from its chunks' CRCs, so only names and numbers move.
     """
+    verify(spark, folder, known_root)
     recipes = read_recipes(spark, folder)
     chunks = read_chunks(spark, folder).mapInArrow(_read_chunk, "name binary, size long, crc long")
-    wanted = recipes.select("start", "names", "sizes").mapInArrow(_expand, "chunk binary, start long, expected long, after long")
+    wanted = recipes.select("start", "name", "names", "sizes").mapInArrow(_expand, "chunk binary, start long, expected long, after long")
     # a chunk that many documents share is split by Spark's skew join; a missing one stays null and fails
     met = wanted.join(chunks, F.col("chunk") == F.col("name"), "left").select("start", "expected", "size", "crc", "after")
     found = met.mapInArrow(_shift, "start long, size long, crc long").groupBy(F.col("start").alias("_s")).agg(F.sum("size").alias("n_tokens"), F.expr("bit_xor(crc)").alias("ids_crc32"))
@@ -207,7 +251,7 @@ def read_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start and the array of ids of every document."""
-    wanted = read_recipes(spark, folder).select("start", "names", "sizes").mapInArrow(_expand, "chunk binary, start long, expected long, after long")
+    wanted = read_recipes(spark, folder).select("start", "name", "names", "sizes").mapInArrow(_expand, "chunk binary, start long, expected long, after long")
     met = wanted.join(read_chunks(spark, folder), F.col("chunk") == F.col("name"))
     whole = met.groupBy("start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("o"), F.hex("payload").alias("p")))), lambda x: x["p"]), "").alias("h"))
 
