@@ -6,8 +6,7 @@ span hashes without building a Python object for each word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioforge.session import shared_dir, written  # noqa: F401
+
 #: Bytes hashed at once; bounds the scratch arrays whatever the text length.
 SEGMENT = 1 << 20
 #: Bytes of text that an operator takes from an Arrow batch at once.
@@ -33,44 +34,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Folders written by each application, for release.
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir.
-
-    Where that is unset, a local session, whose executors are on this machine,
-    gets a temporary one; any other session is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="folioforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/folioforge-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Cut the lineage of df: write it to the shared folder and read it again."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, keep: list[DataFrame] | None = None) -> None:
-    """Delete what this application has written to the shared folder, but for the files that the frames to keep read."""
-    kept = [f for df in keep or [] for f in df.inputFiles()]
-    app = spark.sparkContext.applicationId
-    paths = _written.get(app, [])
-    _written[app] = [p for p in paths if any(p.rpartition("/")[2] in f for f in kept)]
-    for p in set(paths) - set(_written[app]):
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """What is run inside sends Python this many rows at a time: for rows that hold large values."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

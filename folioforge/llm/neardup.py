@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import mix, slices, utf8, words, written
+from folioforge.llm.common import mix, slices, small_batches, utf8, words, written
 
 COORDINATES = 32
 LONG = 128
@@ -51,6 +51,8 @@ MISS = 1e-6
 BROADCAST_IDS = 200_000
 #: Members up to which all pairs of a posting list are compared.
 SHORT_LIST = 32
+#: Counters by which shingles are ordered from the rarest on.
+BUCKETS = 1 << 19
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 62, LONG, dtype=np.uint64)
@@ -176,30 +178,49 @@ def likely(percent: int, x: str = "x", y: str = "y") -> str:
     return f"100 * least({x}.size, {y}.size) >= {percent} * greatest({x}.size, {y}.size) and {agreeing(x, y)} >= {least}"
 
 
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of the sets fall into each of BUCKETS; that many numbers, whatever the data."""
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for x in b.column("shingles").to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = sets.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
 def rare_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(shingle, columns of members, at) for the rarest shingles of each member that another member shares.
+    """(shingle, columns of members, at) for the rarest shingles of each member.
 
     ``at`` is the shingle's place (from 0) in the set, from the rarest on. Sets of which ``least`` shingles must
-    be common share one of the first ``size - least + 1`` in any order that all sets follow; here ``least`` is
-    for the smallest set that can be alike, and ``prefixes_meet`` looks at the pair's own sizes.
+    be common share one of the first ``size - least + 1`` in any order that all sets follow, also in that of
+    counts which some shingles share; here ``least`` is for the smallest set that can be alike, and
+    ``prefixes_meet`` looks at the pair's own sizes.
     """
+    shared = sets.sparkSession.sparkContext.broadcast(bucket_counts(sets))
 
-    def explode(batches):
+    def post(batches):
+        counts = shared.value
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                found = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("class").to_numpy(), [len(x) for x in found])), pa.array(np.concatenate(found or [np.zeros(0, np.int64)]))], names=["class", "shingle"])
+                names, shingles, places = [], [], []
+                for name, raw in zip(part.column("class").to_pylist(), part.column("shingles").to_pylist(), strict=True):
+                    x = np.frombuffer(raw, np.uint64)
+                    room = len(x) - -(-percent * len(x) // 100) + 1
+                    first = np.lexsort((x, counts[(x % np.uint64(BUCKETS)).astype(np.int64)]))[:room]
+                    names.append(np.full(len(first), name, np.int64))
+                    shingles.append(x[first].view(np.int64))
+                    places.append(np.arange(len(first), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (names, shingles, places)], names=["class", "shingle", "at"])
 
-    every = sets.mapInArrow(explode, "class long, shingle long")
-    shared = every.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    met = every.join(shared, "shingle").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("p"))
-    # the shingles that no other member has come first
-    least = F.expr(f"cast(ceil({percent} * size / 100) as int)")
-    room = F.greatest(F.size("p") - least + 1, F.lit(0))
-    alone = F.col("size") - F.size("p")
-    posted = members.join(met, "class").select(F.posexplode(F.slice("p", 1, room)["shingle"]).alias("_i", "shingle"), alone.alias("_alone"), *members.columns)
-    return posted.withColumn("at", F.col("_alone") + F.col("_i")).drop("_alone", "_i")
+    return sets.mapInArrow(post, "class long, shingle long, at int").join(members, "class").select("shingle", *members.columns, "at")
 
 
 def prefixes_meet(percent: int, x: str = "x", y: str = "y") -> str:
@@ -304,7 +325,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
 
     def join_up(labels: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """The components with those of the pairs that are links; what is known of the components stands for its links."""
-        links = confirmed(pairs, full_sets(docs, classes, ends_of(pairs), shingle_words), percent)
+        sets = full_sets(docs, classes, ends_of(pairs), shingle_words)
+        with small_batches(docs.sparkSession):
+            links = written(confirmed(pairs, sets, percent))
         if labels is not None:
             links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)
         return written(components(links))
