@@ -115,6 +115,31 @@ def test_language_rejects_junk(spark):
     assert {r.doc_id for r in language.predict(docs, model).where("rejected").collect()} <= {5375}
 
 
+def test_language_brute_force(spark, documents, pdf):
+    """The nearest of all centroids by cosine, and the rejection rule, from counts of byte n-grams in plain Python."""
+    model = language.fit(documents)
+    shift = 33 - language.DIMENSIONS.bit_length()
+    got = {r.doc_id: r for r in language.predict(documents, model).collect()}
+    assert len(model["centres"]) == 4 * len(model["langs"]) and np.allclose(np.linalg.norm(model["centres"], axis=1), 1, atol=1e-5)
+    for doc_id, text in zip(pdf.doc_id[:60], pdf.text[:60], strict=True):
+        raw = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in lower(text).encode())
+        counts = collections.Counter((((int.from_bytes(raw[i : i + n], "big") + n) * 2654435769) % (1 << 32)) >> shift for n in (2, 3) for i in range(len(raw) - n + 1))
+        x = np.zeros(language.DIMENSIONS)
+        for s, c in counts.items():
+            x[s] = math.log1p(c) * model["idf"][s]
+        cosines = model["centres"].astype(float) @ (x / max(np.linalg.norm(x), 1e-9))
+        best = int(np.argmax(cosines))
+        usual = math.sqrt(len(counts) / (len(counts) + language.HALF))
+        r = got[doc_id]
+        if not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        lang = model["owner"][best]
+        assert r.lang_pred == model["langs"][lang] and abs(r.score - max(cosines[best], 0)) < 1e-4
+        if abs(cosines[best] - model["reach"][lang] * usual) > 1e-4:
+            assert r.rejected == (cosines[best] < model["reach"][lang] * usual)
+
+
 def test_ngrams_do_not_cross_texts():
     one = language.ngram_counts(*common.utf8(pa.array(["abcd"])))
     two = language.ngram_counts(*common.utf8(pa.array(["zz", "abcd", "yy"])))
@@ -292,7 +317,7 @@ def greedy(word, pieces):
 
 def test_token_counts(documents, pdf, odd, nothing):
     pieces = set(tokencount.vocabulary(VOCABULARY))
-    for df, frame in ((documents, pdf), (odd.where("length(text) < 10000 or text is null"), None)):
+    for df, frame in ((documents, pdf), (odd, None)):
         frame = df.toPandas() if frame is None else frame
         want = []
         for t in frame.text:
@@ -400,6 +425,43 @@ def test_toxicity(spark, odd, nothing):
     assert {r.predicted for r in toxicity.predict(neutral, toxicity.fit(df.where("false"))).collect()} == {0}
 
 
+def test_toxicity_solver():
+    """The solution is where the loss, written out, has no slope, and the loss is convex; the gap of counterfactuals shrinks."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((400, 12)) < 0.3).astype(np.int8)
+    y = (x[:, 0] + x[:, 1] + 0.4 * x[:, 2] + 0.3 * rng.normal(size=400) > 0.8).astype(float)
+    base, other = toxicity.swapped(x, np.array([2, 5, 7]))
+    assert (base[:, [2, 5, 7]].any(axis=1)).all() and (other[: len(other) // 2][:, 5] == base[: len(base) // 2][:, 2]).all() and not other[len(other) // 2 :][:, [2, 5, 7]].any()
+
+    def loss(w, fairness):
+        z = x @ w[:-1] + w[-1]
+        changed = (base.astype(float) - other) @ w[:-1]
+        return (np.logaddexp(0, z) - y * z).sum() + 0.5 * (0.1 * (w[:-1] ** 2).sum() + 1e-3 * w[-1] ** 2 + fairness * (changed**2).sum())
+
+    gaps = []
+    for fairness in (0.0, 10.0):
+        w = toxicity.solve(x, y, base, other, 0.1, fairness)
+        for i in range(len(w)):
+            step = np.zeros(len(w))
+            step[i] = 1e-4
+            assert abs(loss(w + step, fairness) - loss(w - step, fairness)) / 2e-4 < 1e-3
+        assert all(loss(w + 0.1 * rng.normal(size=len(w)), fairness) > loss(w, fairness) for _ in range(50))
+        gaps.append(np.abs((base.astype(float) - other) @ w[:-1]).mean())
+    assert gaps[1] < 0.2 * gaps[0]
+
+
+def test_toxicity_sample(spark):
+    """At most about the bound is taken, by labels; what several texts share an id for is bounded too; labels may name no document."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text").unionByName(spark.range(2000).selectExpr("7L as doc_id", "concat('more ', id) as text"))
+    labels = spark.range(5000).selectExpr("id as doc_id", "cast(if(id % 9 = 0, null, id % 2) as int) as toxic")
+    labels = labels.unionByName(labels.where("doc_id = 7"))
+    taken = toxicity.sample(docs, labels, 500)
+    assert taken.columns == ["doc_id", "text", "toxic"] and 200 < taken.count() < 700 and taken.where("toxic is null").count() == 0
+    whole = toxicity.sample(docs, labels, 100_000)
+    assert whole.count() == docs.join(labels.where("toxic is not null").distinct(), "doc_id").count()
+    assert toxicity.sample(docs, labels.where("false"), 10).count() == 0
+
+
 def test_toxicity_held_out(spark):
     out = queries.op6_toxicity(spark, "/root/testdata/sf0.1").toPandas().merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
     held = out[out.held_out]
@@ -462,6 +524,29 @@ def test_mix(spark, documents, odd, nothing):
     assert mixing.mix_report(nothing).count() == 0 and mixing.mix_documents(nothing).count() == 0
 
 
+def test_mix_shards(spark, documents, monkeypatch):
+    """Each slot has one shard and takes one block, a block has one slot in a pass, and a shard's counts are near their law."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 300)
+    slots, placed = mixing.mix(documents)
+    got = slots.toPandas()
+    assert got.shard.nunique() == -(-len(got) // 300) > 3
+    for _, g in got.groupby("source"):
+        assert sorted(g.slot) == list(range(len(g))) and not g.duplicated(["pass", "block"]).any()
+        expected = len(g) / got.shard.nunique()
+        assert (g.groupby("shard").size() - expected).abs().max() < 5 * expected**0.5 + 5
+    rows = mixing.mix_shards(slots, placed).toPandas()
+    assert rows.groupby(["source", "slot"]).words.sum().max() == mixing.BLOCK and rows.shard.nunique() == got.shard.nunique()
+
+
+def test_permutation_of_many_blocks(spark):
+    """No product overflows, and the value is that of whole numbers of any size."""
+    n = 90_000_000_000
+    a = next(p for p in mixing.PRIMES if n % p)
+    js = [0, 1, 65_535, 65_536, n // 3, n - 1]
+    got = [r.x for r in spark.createDataFrame([(j,) for j in js], "j long").select(F.expr(mixing.permuted("j", f"cast({n} as bigint)", "3")).alias("x")).collect()]
+    assert got == [(a % n * j + 7919 * 4) % n for j in js]
+
+
 def test_mix_plan_is_native(documents):
     plan = mixing.mix_report(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
@@ -554,16 +639,39 @@ def test_token_store(spark, documents, odd, nothing):
         assert back == sorted((key(d), i) for (d, _), i in zip(rows, want, strict=True))
         names = [r.name for r in idstore.read_chunks(spark, folder).collect()]
         assert len(set(map(bytes, names))) == len(names)
-        assert spark.read.parquet(f"{folder}/manifest").agg(F.sum("documents")).first()[0] == len(rows)
+        assert idstore.read_manifest(spark, folder).where("level = 0").agg(F.sum("documents")).first()[0] == len(rows)
     folder = idstore.write_store(nothing, VOCABULARY, 0)
     assert idstore.read_report(spark, folder).count() == 0
 
 
-def test_store_notices_a_change(spark, documents, tmp_path):
-    folder = idstore.write_store(documents.limit(3), VOCABULARY, 0, str(tmp_path / "s"))
+def test_store_notices_a_change(spark, documents, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "RANGE", 500)
+    monkeypatch.setattr(idstore, "FAN", 4)
+    folder = idstore.write_store(documents.limit(60), VOCABULARY, 0, str(tmp_path / "s"))
     bad = idstore.read_chunks(spark, folder).withColumn("payload", F.expr("concat(payload, X'0100')"))
     with pytest.raises(Exception, match="other content"):
         bad.mapInArrow(idstore._read_chunk, "name binary, size long, crc long").collect()
+    levels = idstore.read_manifest(spark, folder).groupBy("level").count().orderBy("level").collect()
+    assert len(levels) > 2 and levels[-1]["count"] == 1
+    known = idstore.root(spark, folder)
+    idstore.verify(spark, folder, known)
+    with pytest.raises(ValueError, match="another root"):
+        idstore.verify(spark, folder, "0" * 64)
+    rows = idstore.read_recipes(spark, folder).orderBy("start").collect()
+    schema = idstore.read_recipes(spark, folder).schema
+    swapped = [*rows[:3], rows[4], rows[3], *rows[5:]]
+    swapped = [tuple(r)[:5] + (old.start,) for r, old in zip(swapped, rows, strict=True)]
+    changed = [(r.doc_id + 1000 if i == 7 else r.doc_id, *tuple(r)[1:]) for i, r in enumerate(rows)]
+    for i, other in enumerate((rows[:-1], [*rows, rows[0]], swapped, changed)):
+        spoilt = str(tmp_path / f"s{i}")
+        spark.createDataFrame(other, schema).write.parquet(f"{spoilt}/recipes")
+        for part in ("stage", "manifest"):
+            spark.read.parquet(f"{folder}/{part}").write.parquet(f"{spoilt}/{part}")
+        with pytest.raises(ValueError, match="not those of the manifest"):
+            idstore.read_report(spark, spoilt)
+    other = spark.createDataFrame(rows, schema).withColumn("names", F.expr("substr(names, 17)"))
+    with pytest.raises(Exception, match="other chunks"):
+        other.select("start", "name", "names", "sizes").mapInArrow(idstore._expand, "chunk binary, start long, expected long, after long").collect()
 
 
 def test_crc_of_parts():
@@ -596,6 +704,12 @@ def test_pack_documents(documents, odd, nothing):
         for _, g in got.sort_values("offset").groupby("sequence_id"):
             assert g.offset.tolist() == np.cumsum([0, *g.length])[:-1].tolist() and g.length.sum() == g.context.iloc[0] <= 2048
         assert got.groupby("step_group").length.sum().max() <= packing.STEP_TOKENS
+        whole = got.drop_duplicates("sequence_id")
+        for context, g in whole.groupby("context"):  # groups over all tasks: as few as hold them, no two apart by more than one sequence
+            sizes = g.groupby("step_group").size()
+            assert len(sizes) == -(-len(g) * context // packing.STEP_TOKENS) and sizes.max() - sizes.min() <= 1
+        if len(whole) > 100:  # nothing is padded, and most ids stand in the longest windows
+            assert (whole.context & (whole.context - 1) == 0).all() and whole.context[whole.context == 2048].sum() > 0.5 * whole.context.sum()
     ids = {r.doc_id: i for r, i in zip(documents.select("doc_id").collect(), library_ids(WORDS, [r.text for r in documents.select("text").collect()], 1), strict=True)}
     for r in packing.pack_documents(documents, WORDS).collect():
         assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
