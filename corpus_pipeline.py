@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from folioforge.llm import language, mixing, neardup, packing, toxicity
 from folioforge.llm.common import read, remainder, written
 from folioforge.llm.queries import labelled_documents, vocabulary_path
+from folioforge.session import release, shared_tables
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -67,7 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), shared_tables(spark)
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))
+        release(spark, before, keep=[docs])  # what the stage wrote besides its result, and the result of the one before
     return docs
