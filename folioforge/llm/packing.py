@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TI
                 made += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-        for b in slices(batches):
+        for b in slices(batches, most=4 << 20):
             ids, offsets = coder.encode(b.column("text"), end)
             for doc_id, lo, hi in zip(b.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 pool.append((doc_id, ids[lo:hi]))
