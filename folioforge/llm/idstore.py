@@ -74,7 +74,7 @@ def _encode(path: str, end: int):
 
     def run(batches):
         coder, met = encoder(path, True), set()
-        for b in slices(batches, most=4 << 20):
+        for b in slices(batches, most=2 << 20):
             ids, offsets = coder.encode(b.column("text"), end)
             out, at = [], 0
             for doc_id, ends in zip(b.column("doc_id").to_pylist(), cuts(ids, offsets), strict=True):
