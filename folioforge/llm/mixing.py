@@ -38,25 +38,25 @@ SHARD_SLOTS, DRAWN = 65_536, 16_384
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, weight and target from (source, source_size); one row for each source.
+    """source, source_size, weight, target and number (_k) from (source, source_size); one row for each source.
 
     With cap = 2 * size, the shares min(cap, weight * level) must sum to the
     total. Sources are capped in the order of cap / weight; the level follows
-    from those that are not.
+    from those that are not. Numbers and sums are made by ranges, so the sources may be many.
     """
-    everything = Window.partitionBy()
-    named = sizes.withColumn("_k", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1)
+    named = with_starts(written(sizes.withColumn("_last", F.col("source").isNull()).withColumn("_one", F.lit(1))), "_one", ["_last", "source"], into="_k").drop("_last", "_one")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_k") % len(WEIGHTS) + 1).cast("int"))
     s = named.withColumn("weight", weight).withColumn("cap", MOST * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("_capped", F.sum("cap").over(by_ratio) - F.col("cap"))
-    s = s.withColumn("_open", F.sum("weight").over(everything) - F.sum("weight").over(by_ratio) + F.col("weight"))
+    s = written(s.withColumn("_ratio", F.col("cap") / F.col("weight")))
+    s = with_starts(written(with_starts(s, "cap", ["_ratio", "_k"], into="_capped")), "weight", ["_ratio", "_k"], into="_lighter")
+    whole = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     # the level if this source and all after it stay below their caps
-    s = s.withColumn("_level", (F.lit(SHARE) * F.sum("source_size").over(everything) - F.col("_capped")) / F.col("_open"))
-    level = F.min(F.when(F.col("_level") * F.col("weight") <= F.col("cap"), F.struct(F.col("_capped"), F.col("_level")))).over(everything)
-    s = s.withColumn("_l", level["_level"])
-    target = F.when(F.col("_l").isNull() | (F.col("weight") * F.col("_l") > F.col("cap")), F.col("cap").cast("double")).otherwise(F.col("weight") * F.col("_l"))
-    return s.select("source", "source_size", "weight", target.alias("target"))
+    s = s.withColumn("_level", (F.lit(SHARE) * F.lit(whole.size or 0) - F.col("_capped")) / (F.lit(whole.weight or 0) - F.col("_lighter")))
+    fits = F.struct(F.col("_capped"), F.col("_level"))
+    found = s.where(F.col("_level") * F.col("weight") <= F.col("cap")).agg(F.min(fits)["_level"].alias("level")).first().level
+    level = F.lit(found).cast("double")
+    target = F.when(level.isNull() | (F.col("weight") * level > F.col("cap")), F.col("cap").cast("double")).otherwise(F.col("weight") * level)
+    return s.select("source", "source_size", "weight", target.alias("target"), "_k")
 
 
 def permuted(j: str, n: str, which: str) -> str:
@@ -80,7 +80,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     totals = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))
     blocks = F.ceil(F.col("source_size") / BLOCK)
     totals = totals.withColumn("blocks", blocks).withColumn("slots", F.least(F.round(F.col("target") / BLOCK).cast("long"), MOST * blocks))
-    totals = written(totals.withColumn("_k", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1))
+    totals = written(totals)
     shards = max(1, -(-(totals.agg(F.sum("slots").alias("n")).first().n or 0) // SHARD_SLOTS))
 
     # 1. each source's counts in the shards: its slots are drawn, some thousands from a row
@@ -99,7 +99,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def mix_shards(slots: DataFrame, placed: DataFrame) -> DataFrame:
     """The mix: a row for each slot and each row of docs with words in its block: shard, slot, pass, block, words and the row's columns."""
-    taken = slots.withColumnsRenamed({"source": "_s", "block": "_b"})
+    # both sides grow with the data, and slots shuffle to few bytes: they must not be taken for a small table
+    taken = slots.withColumnsRenamed({"source": "_s", "block": "_b"}).hint("merge")
     last = F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), last)))
     parts = parts.withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest(F.col("start"), F.col("block") * BLOCK))
@@ -111,7 +112,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
     slots, placed = mix(docs)
     # start and size name a row with words: no two such rows of a source start alike
     sums = mix_shards(slots, placed).groupBy(F.col("source").alias("_s"), F.col("start").alias("_at")).agg(F.sum("words").alias("_taken"))
-    joined = placed.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_at")) & (F.col("size") > 0), "left")
+    joined = placed.join(sums.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_at")) & (F.col("size") > 0), "left")
     return joined.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -130,7 +131,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     parts = place.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_h").alias("_t"), F.col("start").alias("_n"), F.col("start").alias("_at"), "_got")
     parts = parts.withColumn("_n", F.row_number().over(twin)).withColumnsRenamed({"_d": "_d2", "_s": "_s2", "_t": "_t2", "_n": "_n2"})
     on = F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_t") == F.col("_t2")) & (F.col("_n") == F.col("_n2"))
-    joined = rows.join(parts, on).withColumn("_w", F.expr(r"regexp_extract_all(_row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"))
+    joined = rows.join(parts.hint("merge"), on).withColumn("_w", F.expr(r"regexp_extract_all(_row.text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"))
     piece = f"slice(_w, cast(greatest(b.block * {BLOCK} - _at, 0) + 1 as int), cast(least((b.block + 1) * {BLOCK}, _at + size(_w)) - greatest(b.block * {BLOCK}, _at) as int))"
     passes = ", ".join(f"array_join(flatten(transform(filter(_got, b -> b.pass = {n}), b -> {piece})), '')" for n in range(MOST))
     mixed = joined.withColumn("_text", F.expr(f"array_join(filter(array({passes}), x -> x <> ''), '\n')"))
