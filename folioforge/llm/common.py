@@ -162,8 +162,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = SPACES, case: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of all texts, and the n + 1 word offsets of the texts."""
+def spans(data: np.ndarray, at: np.ndarray, table: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all texts; no word spans two texts."""
     gap = table[data]
     fresh = np.zeros(len(data) + 1, bool)
     fresh[at] = True
@@ -176,7 +176,12 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = SPACES, case: np
     after[-1] = True
     after[:-1] = gap
     after |= fresh
-    ends = np.flatnonzero(after[1:] & ~gap) + 1
+    return starts, np.flatnonzero(after[1:] & ~gap) + 1
+
+
+def words(data: np.ndarray, at: np.ndarray, table: np.ndarray = SPACES, case: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of all texts, and the n + 1 word offsets of the texts."""
+    starts, ends = spans(data, at, table)
     hashes = span_hashes(case[data] if case is not SAME else data, starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, at)
 

@@ -1,4 +1,4 @@
-"""Queries of the ten operators over the tables of a folder."""
+"""Queries of the thirteen operators over the tables of a folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import idstore, knn, language, lmscore, lzprint, mixing, neardup, packing, tokencount, toxicity
+from folioforge.llm import collocations, divergence, idstore, knn, language, linededup, lmscore, lzprint, mixing, neardup, packing, tokencount, toxicity
 from folioforge.llm.common import read, remainder
 
 REMAINDER = "crc32(cast(coalesce(cast(doc_id as string), '') as binary))"
@@ -73,8 +73,21 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), least=3, most=200)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(read(spark, sf_dir, "documents"), least=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents"), least=100, most=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_lz_fingerprint, op4_token_counts, op5_exact_topk, op6_toxicity, op7_mix_sources, op8_minhash_neardup, op9_token_store, op10_pack)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_score, op3_lz_fingerprint, op4_token_counts, op5_exact_topk, op6_toxicity, op7_mix_sources, op8_minhash_neardup, op9_token_store, op10_pack, op11_source_divergence, op12_line_dedup, op13_collocations)}
 
 
 _LETTERS = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,6 +126,47 @@ r(doc_id, reached) as (select doc_id, doc_id from n union select r.doc_id, m.b f
 select n.doc_id, cast(n.n as bigint) as n_shingles, min(reached) as component_id, n.doc_id = min(reached) as kept from n join r using (doc_id) group by n.doc_id, n.n"""
 
 
+OP11_SQL = rf"""with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+t as (select doc_id, lang, source, unnest(regexp_extract_all({_LETTERS.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n from t group by all),
+k as (select lang, term, count(*) as whole from t group by all having count(distinct doc_id) >= 3),
+v as (select lang, count(*) as v, sum(whole) as words from k group by lang),
+s as (select lang, source, sum(n) as n from c semi join k on c.lang = k.lang and c.term = k.term group by all),
+g as (select d.lang, d.source, coalesce(s.n, 0) + coalesce(v.v, 0) as total, coalesce(v.words, 0) + coalesce(v.v, 0) as whole_total
+  from (select distinct lang, source from d) d left join s on d.lang = s.lang and d.source = s.source left join v on d.lang = v.lang),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)::hugeint) // total as p, 1 + (1000000000 * (k.whole + 1)::hugeint) // whole_total as q
+  from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+  union all select lang, source, 'term', term, (((p - q) * (p - q)) // q)::bigint from p where n > 0 and p > q)
+select lang, source, part, item, value, cast(rank as integer) as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from r) where part = 'pair' or rank <= 200"""
+
+OP12_SQL = rf"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as spot from d),
+k as (select doc_id, line, spot, {_LETTERS.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} as key from l),
+m as (select key from k where key <> '' group by key having count(distinct doc_id) >= 10),
+x as (select k.doc_id, k.line, k.spot, m.key is not null as gone from k left join m on k.key = m.key)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by spot) filter (not gone), '')) as kept_sha256 from x group by doc_id"""
+
+OP13_SQL = rf"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LETTERS.format("coalesce(text, '')")}, '[.,;:!?
+-
+]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from p),
+t as (select lang, sum(len(w))::hugeint as n from w group by lang),
+s as (select lang, unnest(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])))) as g from w),
+c as (select lang, g, count(*)::hugeint as a from s group by all having count(*) >= 100),
+k as (select lang, g, a, unnest(range(1, len(g))) as k from c),
+x as (select k.lang, k.g, k.a, k.k, l.a as l, r.a as r, t.n, (1000 * k.a * t.n) // (l.a * r.a) as score
+  from k join c l on l.lang = k.lang and l.g = k.g[1:k.k] join c r on r.lang = k.lang and r.g = k.g[k.k + 1:len(k.g)] join t on t.lang = k.lang),
+b as (select * from x qualify row_number() over (partition by lang, g order by score, k) = 1),
+u as (select lang, unnest([g[1:len(g) - 1], g[2:len(g)]]) as g, a from c where len(g) > 2),
+h as (select lang, g, max(a) as around from u group by all),
+o as (select b.lang, array_to_string(b.g, ' ') as phrase, b.a, b.l, b.r, b.n, b.score from b left join h on h.lang = b.lang and h.g = b.g where h.around is null or 100 * h.around < 100 * b.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o
+qualify rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against brute force."""
-    return {"op5_exact_topk": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_minhash_neardup": OP8_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op7_mix_sources": OP7_SQL, "op8_minhash_neardup": OP8_SQL, "op11_source_divergence": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}

@@ -71,7 +71,7 @@ def test_stages_on_odd_rows(spark):
 def test_registered():
     import __spark_entry__ as entry
 
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.queries()) | {"pipeline"} <= set(entry.queries()) and set(queries.oracle_sql()) <= set(queries.queries())
 
 
