@@ -1,7 +1,7 @@
 """Pages with their elements to the blocks of whole documents, tables included.
 
 A block has doc_id, block_seq, kind, text and, for a table, its cells (row, col, text,
-colspan, rowspan) and its numbers of rows and columns. Tables without a grid become
+colspan, rowspan; one that would reach beyond the table is not merged) and its numbers of rows and columns. Tables without a grid become
 paragraphs. Pages that have a handler get an anchored table in place of the general rules.
 """
 
@@ -22,18 +22,13 @@ def _cell(row, col, text, colspan, rowspan):
 def with_tables(blocks: DataFrame, *keys: str) -> DataFrame:
     """The keys, kind, text, cells, n_rows, n_cols and sub of blocks (keys, kind, text); ``sub`` orders what one block became.
 
-    A cell that would reach beyond its table keeps its text and is not merged.
+    Each table is read once, in its row: it becomes a table, or a paragraph for each line of one without a grid.
     """
-    none = [F.lit(None).cast(CELLS).alias("cells"), F.lit(None).cast("int").alias("n_rows"), F.lit(None).cast("int").alias("n_cols")]
-    rest = blocks.where("kind <> 'table'").select(*keys, "kind", "text", *none, F.lit(0).alias("sub"))
-    cells = html_tables.html_cells(blocks.where("kind = 'table'").select(*keys, F.col("text").alias("html"))).drop("html")
-    kept = cells.where("not is_placeholder and col is not null")
-    span = lambda c: F.when(F.col("merge_in_bounds"), F.greatest(F.col(c), F.lit(1))).otherwise(1)
-    grid = F.array_sort(F.collect_list(_cell(F.col("table_row"), F.col("col"), F.col("text"), span("colspan"), span("rowspan"))))
-    tables = kept.groupBy(*keys).agg(grid.alias("cells"), F.max("n_rows").alias("n_rows"), F.max("max_cols").alias("n_cols"))
-    tables = tables.select(*keys, F.lit("table").alias("kind"), F.lit("").alias("text"), "cells", "n_rows", "n_cols", F.lit(0).alias("sub"))
-    flat = html_tables.fallback_paragraphs(cells, *keys).select(*keys, F.lit("paragraph").alias("kind"), "text", *none, F.col("n").alias("sub"))
-    return rest.unionByName(tables).unionByName(flat)
+    made = blocks.withColumn("_grid", html_tables.grid(F.when(F.col("kind") == "table", F.coalesce("text", F.lit("")))))
+    line = F.transform("_grid.lines", lambda x: F.struct(F.lit("paragraph").alias("kind"), x.alias("text")))
+    own = F.array(F.struct("kind", F.when(F.col("kind") == "table", "").otherwise(F.col("text")).alias("text")))
+    parts = F.posexplode(F.coalesce(line, own)).alias("sub", "_part")
+    return made.select(*keys, "_grid", parts).select(*keys, "_part.kind", "_part.text", F.col("_grid.cells").alias("cells"), F.col("_grid.n_rows").alias("n_rows"), F.col("_grid.n_cols").alias("n_cols"), "sub")
 
 
 def anchored_blocks(found: DataFrame, spec: anchored.Anchored) -> DataFrame:

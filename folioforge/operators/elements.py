@@ -49,21 +49,21 @@ def blocks(pages: DataFrame, elements: DataFrame, single: bool = False, keep_tex
     one document without. A single file has neither heading nor page break, the last page of a document no break.
     """
     gated = gate(elements.select("page_id", "elem_idx", "kind", "text", "html", "lines"), keep_text)
-    row = lambda kind, text, part, elem=F.lit(None), sub=F.lit(0): [F.col("page_id"), F.lit(part).alias("part"), elem.cast("int").alias("elem_idx"), sub.cast("int").alias("sub"), F.lit(kind).alias("kind"), text.cast("string").alias("text")]
-    tables = gated.where("is_table")
-    found = tables.select(*row("table", F.col("html"), 1, F.col("elem_idx"))).unionByName(tables.select(*row("blank", F.lit(""), 1, F.col("elem_idx"), F.lit(1))))
-    texts = gated.where("body is not null").select("page_id", "elem_idx", F.posexplode(segment_text(F.col("body"))).alias("sub", "line"))
-    found = found.unionByName(texts.select(*row("paragraph", F.col("line"), 1, F.col("elem_idx"), F.col("sub"))))
-    bare = pages.join(elements.select("page_id"), "page_id", "left_anti")
-    found = found.unionByName(bare.select(*row("paragraph", _with_name(EMPTY_PAGE), 1)))
+    item = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.cast("string").alias("text"))
+    table = F.when(F.col("is_table"), F.array(item("table", F.col("html")), item("blank", F.lit(""))))
+    texts = F.transform(segment_text(F.col("body")), lambda x: item("paragraph", x))
+    # an element is a table, or a text, or nothing
+    own = gated.select("page_id", F.lit(1).alias("part"), F.col("elem_idx").cast("int").alias("elem_idx"), F.posexplode(F.coalesce(table, texts)).alias("sub", "_item"))
+    full = pages.join(elements.select("page_id").distinct().withColumn("_full", F.lit(True)), "page_id", "left")
+    around = [F.struct(F.lit(1).alias("part"), F.when(F.col("_full").isNull(), item("paragraph", _with_name(EMPTY_PAGE))).alias("_item"))]
     if not single:
-        found = found.unionByName(pages.select(*row("heading", _with_name(HEADING), 0)))
-        keys = [doc] if doc else []
-        last = pages.groupBy(*keys).agg(F.max("page_seq").alias("last"))
-        ended = pages.join(last, keys) if keys else pages.crossJoin(F.broadcast(last))  # one row
-        found = found.unionByName(ended.where("page_seq < last").select(*row("page_break", F.lit(None), 2)))
+        last = pages.groupBy(*([doc] if doc else [])).agg(F.max("page_seq").alias("_last"))
+        full = full.join(last, doc) if doc else full.crossJoin(F.broadcast(last))  # one row
+        around.append(F.struct(F.lit(0).alias("part"), item("heading", _with_name(HEADING)).alias("_item")))
+        around.append(F.struct(F.lit(2).alias("part"), F.when(F.col("page_seq") < F.col("_last"), item("page_break", F.lit(None))).alias("_item")))
+    rest = full.select("page_id", F.explode(F.array(*around)).alias("_a")).select("page_id", "_a.part", F.lit(None).cast("int").alias("elem_idx"), F.lit(0).alias("sub"), "_a._item").where("_item is not null")
     order = Window.partitionBy("page_id").orderBy("part", "elem_idx", "sub")
-    return found.withColumn("block_seq", F.row_number().over(order) - 1).select("page_id", "block_seq", "kind", "text", "elem_idx")
+    return own.unionByName(rest).withColumn("block_seq", F.row_number().over(order) - 1).select("page_id", "block_seq", "_item.kind", "_item.text", "elem_idx")
 
 
 def legacy_text(lines: Column) -> Column:

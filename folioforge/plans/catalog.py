@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import rules, text
 from folioforge.operators import anchored, documents, elements, history, html_tables, intake, results
+from folioforge.session import shared_dir
+from folioforge.sources import docx, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -227,7 +229,7 @@ def page_blocks(spark, sf_dir):
     return elements.blocks(pages, found).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "kind", "text")
 
 
-@query(r"""with d as (select doc_id, text, coalesce(regexp_matches(text, '\S'), false) as filled from documents),
+@query(r"""with d as (select d.doc_id, text, l.doc_id is not null and coalesce(regexp_matches(text, '\S'), false) as filled from documents d left join labels l on l.doc_id = d.doc_id),
 p as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from d where filled),
 b as (select doc_id, i as block_seq, 'paragraph' as kind, ps[i] as text from p, range(1, len(ps) + 1) t(i)
   union all select doc_id, 1, 'paragraph', '[No content could be extracted from doc' || doc_id || '.jpg]' || chr(10) from d where not filled
@@ -235,14 +237,28 @@ b as (select doc_id, i as block_seq, 'paragraph' as kind, ps[i] as text from p,
 select doc_id as page_id, cast(block_seq as bigint) as block_seq, kind, text from b
 union all select b.doc_id, max(b.block_seq) + 1, 'page_break', null from b where b.doc_id < (select max(doc_id) from documents) group by b.doc_id""")
 def document_blocks(spark, sf_dir):
-    """The blocks of every document; a page is empty only where its text is null or blank."""
+    """The blocks of every document; the engine found nothing on those without a label, or with a blank text."""
     pages, _ = _document_pages(spark, sf_dir)
     null = lambda t: F.lit(None).cast(t)
-    filled = table(spark, sf_dir, "documents").where(~F.coalesce(text.is_blank(F.col("text")), F.lit(True)))
+    read = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    filled = read.where(~F.coalesce(text.is_blank(F.col("text")), F.lit(True)))
     found = filled.select(F.col("doc_id").alias("page_id"), F.lit(0).alias("elem_idx"), null("string").alias("kind"), "text", null("string").alias("html"), null("array<string>").alias("lines"))
     return elements.blocks(pages, found).select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "kind", "text")
 
 
+@query("""select conv_id as doc_id, row_number() over (partition by conv_id order by turn) - 1 as block_seq, 'paragraph' as kind, text from conversations""")
+def document_files(spark, sf_dir):
+    """Conversations written as one document file each, a paragraph a turn, and read back from the files."""
+    c = table(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("block_seq"), F.lit("paragraph").alias("kind"), "text")
+    folder = shared_dir(spark).removeprefix("file://")
+    sinks.write_documents(rows, folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(folder)
+    found = docx.parse(files.select("path", "content"))
+    doc_id = F.regexp_extract("path", "([0-9]+)[.]docx$", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), F.col("block_seq").cast("long").alias("block_seq"), "kind", "text")
+
+
 @query("""select doc_id as page_id, '[No content could be extracted from doc' || doc_id || '.jpg]' || chr(10) as text from documents d
 where not exists (select 1 from labels l where l.doc_id = d.doc_id)""")
 def empty_page_placeholder(spark, sf_dir):
@@ -331,7 +347,7 @@ _GRID = """r as (select *, row_number() over (partition by n_regionkey order by
 @query(f"""with {_GRID} select n_regionkey, k as table_row, 0 as col, case when k = 0 then 'R' || n_regionkey end as text, k > 0 as is_placeholder from r
 union all select n_regionkey, k, 1, cast(n_nationkey as varchar), false from r union all select n_regionkey, k, 2, n_name, false from r""")
 def html_grid_rowspan(spark, sf_dir):
-    return html_tables.html_cells(_nation_tables(spark, sf_dir)).select("n_regionkey", "table_row", "col", "text", "is_placeholder")
+    return html_tables.slots(html_tables.html_cells(_nation_tables(spark, sf_dir))).select("n_regionkey", "table_row", "col", "text", "is_placeholder")
 
 
 @query(f"""with {_GRID} select n_regionkey, k as table_row, case when k = 0 then 1 else 0 end as write_col, cast(n_nationkey as varchar) as text, true as same from r
@@ -371,6 +387,17 @@ def html_overflow(spark, sf_dir):
     return cells.select("n_nationkey", "table_row", "col", "text", "merge_in_bounds")
 
 
+@query("""select p_partkey, i as ord, case i when 0 then case when s < 0 then 0 when s is null then 1 else s end else 1 end as colspan, i = 0 and (s is null or s < 0) as attr_error from (
+  select p_partkey, case when p_size % 7 = 0 then null else p_size % 7 - 3 end as s from part), range(0, 2) t(i)""")
+def html_spans(spark, sf_dir):
+    """Spans that are numbers, below zero, or no numbers at all."""
+    p = table(spark, sf_dir, "part")
+    span = F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("x"), F.col("p_brand"))).otherwise((F.col("p_size") % 7 - 3).cast("string"))
+    html = F.concat(F.lit('<table><tr><td colspan="'), span, F.lit('">'), F.col("p_name"), F.lit("</td><td>y</td></tr></table>"))
+    cells = html_tables.html_cells(p.select("p_partkey", html.alias("html"))).where("not is_placeholder")
+    return cells.select("p_partkey", F.col("ord").cast("long").alias("ord"), F.col("colspan"), "attr_error")
+
+
 @query(f"""with {_GRID}, b as (
   select n_regionkey as r, 1 as p, 'table' as kind, '' as text, count(*) as n_rows, 3 as n_cols, string_agg(case when k = 0 then k || ',0,R' || n_regionkey || ',' || n || ';' else '' end || k || ',1,' || n_nationkey || ',1;' || k || ',2,' || n_name || ',1', ';' order by k) as cells from r group by 1
   union all select r_regionkey, 0, 'heading', 'Content from r' || r_regionkey || '.jpg', null, null, null from region
@@ -491,9 +518,10 @@ def result_rows(spark, sf_dir):
     return results.result_rows(rows, F.lit("u"), F.split_part(F.col("job_id"), F.lit("/"), F.lit(2)), F.lit("no engine"))
 
 
-@query(f"""with {_FILES} select job_id, file_seq, name from f where not exists (select 1 from f g where g.job_id = f.job_id and g.name = f.name and g.failed)""")
+@query(f"""with {_FILES} select job_id, file_seq, regexp_extract(name, '[a-z]+') as name from f where not failed""")
 def without_result(spark, sf_dir):
-    files = _event_files(spark, sf_dir)
+    """Files are known by their number: names repeat in a job."""
+    files = _event_files(spark, sf_dir).withColumn("name", F.regexp_extract("name", "[a-z]+", 0))
     done = files.where("failed").select("job_id", "file_seq")
     return results.without_result(files, done).select("job_id", "file_seq", "name")
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.functions import text
 from folioforge.operators.anchored import HANDLERS, Anchored
 from folioforge.operators.documents import document_blocks
 from folioforge.session import written
-from folioforge.sources import docx
+from folioforge.sources import docx, sinks
 from folioforge.sources.config import Config
 from folioforge.sources.files import in_natural_order, scan_file, scan_images
 from folioforge.sources.providers import LIMIT, Ocr, ocr_elements, within
@@ -61,13 +61,7 @@ def extract(spark: SparkSession, ocr: Ocr, config: Config | None = None, path: s
     return made.select("doc_id", "content", F.lit("docx").alias("format"), F.lit("success").alias("status"), F.lit(None).cast("string").alias("message"))
 
 
-def save(documents: DataFrame, folder: str, name: str | None = None) -> list[str]:
-    """Write the documents of one request into a folder of the driver, one at a time; returns the paths."""
-    os.makedirs(folder, exist_ok=True)
-    paths = []
-    for d in documents.toLocalIterator():
-        stem = name or os.path.splitext(os.path.basename(d.doc_id))[0]
-        paths.append(os.path.join(folder, f"{stem}.{d.format}"))
-        with open(paths[-1], "wb") as f:
-            f.write(d.content)
-    return paths
+def save(documents: DataFrame, folder: str, name: str | None = None) -> None:
+    """Write the documents of ``extract`` into a shared folder, from the tasks; ``name`` (without extension) if there is only one."""
+    stem = F.lit(name) if name else text.stem(text.basename(F.col("doc_id")))
+    sinks.write_files(documents.select(F.concat(stem, F.lit("."), F.col("format")).alias("name"), "content"), folder)

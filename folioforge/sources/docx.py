@@ -6,8 +6,9 @@ is written by the task that has its rows, through Spark, as one row (doc_id, con
 the caller stores the bytes where it likes.
 
 A table's cell spans columns and rows as its colspan and rowspan say; slots that no
-cell covers are empty cells. More than ``MOST_COLUMNS`` columns, which no word processor
-takes, are cut after the last one in which a cell starts.
+cell covers are empty cells. Columns in which no cell starts or ends are one with the column before
+them, so the columns follow the cells, however wide the spans are. Word processors take ``MOST_COLUMNS``
+columns: a table is written as one table for each so many, from left to right; a cell that goes on in the next has its text in the first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from typing import IO
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -41,43 +43,62 @@ def _paragraph(text: str, font: str, size: int, bold: bool) -> str:
     return f'<w:p><w:r>{style}<w:t xml:space="preserve">{lines}</w:t></w:r></w:p>'
 
 
-def _table(cells: Iterable[Cell], n_rows: int, n_cols: int, font: str, size: int) -> str:
+def _table(cells: Iterable[Cell], n_rows: int, n_cols: int, font: str, size: int) -> Iterator[str]:
     cells = list(cells)
-    width = n_cols if n_cols <= MOST_COLUMNS else max(c[1] for c in cells) + 1
-    slots: dict[tuple[int, int], tuple[Cell, int]] = {}  # slot to its cell and the columns that the cell has in this row
-    for cell in cells:
-        row, col, _, colspan, rowspan = cell
-        wide = max(1, min(colspan, width - col))
-        for y in range(row, min(row + max(rowspan, 1), n_rows)):
-            slots[y, col] = (cell, wide)
-    rows = []
-    for y in range(n_rows):
-        line, x = [], 0
-        while x < width:
-            cell, wide = slots.get((y, x), (None, 1))
-            span = f'<w:gridSpan w:val="{wide}"/>' if wide > 1 else ""
-            merge = "" if cell is None or cell[4] <= 1 else '<w:vMerge w:val="restart"/>' if cell[0] == y else "<w:vMerge/>"
-            text = cell[2] if cell is not None and cell[0] == y else ""
-            line.append(f"<w:tc><w:tcPr>{span}{merge}</w:tcPr>{_paragraph(text or '', font, size, False)}</w:tc>")
-            x += wide
-        rows.append(f"<w:tr>{''.join(line)}</w:tr>")
-    return f'<w:tbl>{_BORDERS}<w:tblGrid>{"<w:gridCol/>" * width}</w:tblGrid>{"".join(rows)}</w:tbl>'
+    stop = lambda c: min(c[1] + max(c[3], 1), n_cols)
+    edges = sorted({0, n_cols} | {c[1] for c in cells} | {stop(c) for c in cells})
+    place = {x: i for i, x in enumerate(edges)}
+    by_row: dict[int, list[tuple[int, int, Cell]]] = {}  # the cells of each row, those from above too, with their first and last columns
+    for cell in sorted(cells):
+        for y in range(cell[0], min(cell[0] + max(cell[4], 1), n_rows)):
+            by_row.setdefault(y, []).append((place[cell[1]], place[stop(cell)], cell))
+    for left in range(0, len(edges) - 1, MOST_COLUMNS):
+        right = min(left + MOST_COLUMNS, len(edges) - 1)
+        if left:
+            yield "<w:p/>"  # tables that touch would be one
+        yield f'<w:tbl>{_BORDERS}<w:tblGrid>{"<w:gridCol/>" * (right - left)}</w:tblGrid>'
+        for y in range(n_rows):
+            yield f"<w:tr>{''.join(_row(by_row.get(y, []), y, left, right, font, size))}</w:tr>"
+        yield "</w:tbl>"
+
+
+def _row(cells: list[tuple[int, int, Cell]], y: int, left: int, right: int, font: str, size: int) -> Iterator[str]:
+    """The cells of a row from column left to right; what lies under a later cell, or under none, is left out or empty."""
+    starts = {max(first, left): (first, last, cell) for first, last, cell in cells if first < right and last > left}
+    x = left
+    while x < right:
+        first, last, cell = starts.get(x, (x, x + 1, None))
+        wide = min(last, right) - x
+        span = f'<w:gridSpan w:val="{wide}"/>' if wide > 1 else ""
+        merge = "" if cell is None or cell[4] <= 1 else '<w:vMerge w:val="restart"/>' if cell[0] == y else "<w:vMerge/>"
+        text = cell[2] if cell is not None and cell[0] == y and first >= left else ""
+        yield f"<w:tc><w:tcPr>{span}{merge}</w:tcPr>{_paragraph(text or '', font, size, False)}</w:tc>"
+        x += wide
+
+
+def write_document(out: IO[bytes], rows: Iterable[tuple], font: str = "SimSun", size: int = 11) -> None:
+    """Write a document of (kind, text, cells, n_rows, n_cols) rows in order to a stream, row by row; the last three may be left out."""
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS)):
+            z.writestr(zipfile.ZipInfo(name), part, zipfile.ZIP_DEFLATED)
+        info = zipfile.ZipInfo("word/document.xml")
+        info.compress_type = zipfile.ZIP_DEFLATED
+        with z.open(info, "w", force_zip64=True) as body:
+            body.write(f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W}"><w:body>'.encode())
+            for kind, text, *table in rows:
+                if kind == "page_break":
+                    body.write(BREAK.encode())
+                elif kind == "table" and table and table[0] is not None and len(table[0]):
+                    for part in _table(*table, font, size):
+                        body.write(part.encode())
+                else:
+                    body.write(_paragraph(text or "", font, size, kind == "heading").encode())
+            body.write(b"</w:body></w:document>")
 
 
 def document_bytes(rows: Iterable[tuple], font: str = "SimSun", size: int = 11) -> bytes:
-    """A document of (kind, text, cells, n_rows, n_cols) rows in order; the last three may be left out."""
-    body = []
-    for kind, text, *table in rows:
-        if kind == "page_break":
-            body.append(BREAK)
-        elif kind == "table" and table and table[0] is not None and len(table[0]):
-            body.append(_table(*table, font, size))
-        else:
-            body.append(_paragraph(text or "", font, size, kind == "heading"))
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W}"><w:body>{"".join(body)}</w:body></w:document>')):
-            z.writestr(zipfile.ZipInfo(name), part)
+    write_document(out, rows, font, size)
     return out.getvalue()
 
 

@@ -4,13 +4,22 @@ A provider is a factory called once in each partition; it gives a function from
 a file's path and content to the engine's answer. A failing call, or one that takes
 longer than its limit, gives an empty page or an outcome with an error and never stops
 the job. Engines are dear: write their answers before using them twice.
+
+An engine that is a program runs under supervision (``command``): in a process group and a scratch
+folder of its own; the whole group is killed at the limit and gone when the call ends, however it ends.
 """
 
 from __future__ import annotations
 
+import contextlib
+import os
 import queue
+import shutil
+import signal
 import subprocess
+import tempfile
 import threading
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -48,8 +57,64 @@ def within(seconds: float | None, call: Callable, *args):
     return value
 
 
+class NoOutputError(RuntimeError):
+    """A program that ended well and wrote nothing."""
+
+
+def command(argv: list[str], folder: str, suffix: str = ".pdf", seconds: float = LIMIT) -> Converter:
+    """An engine that runs a program for a file and puts what it wrote into the shared ``folder``.
+
+    ``{path}`` and ``{out}`` in ``argv`` stand for the file and a scratch folder, which is the program's working and output
+    folder as well as its home. The output is found by the file's own name with ``suffix``, and takes that name in
+    ``folder`` in one step. Errors: TimeoutExpired, CalledProcessError with what the program said, FileNotFoundError without the program, NoOutputError.
+    """
+
+    def make():
+        def run(path: str) -> str:
+            stem = os.path.splitext(os.path.basename(path))[0]
+            scratch = tempfile.mkdtemp(prefix="convert-")
+            try:
+                _supervised([x.replace("{path}", path).replace("{out}", scratch) for x in argv], scratch, seconds)
+                made = os.path.join(scratch, stem + suffix)
+                if not os.path.exists(made):
+                    raise NoOutputError(f"the program ended without {stem}{suffix}")
+                os.makedirs(folder, exist_ok=True)
+                target, part = os.path.join(folder, stem + suffix), os.path.join(folder, f".{uuid.uuid4().hex}")
+                shutil.copyfile(made, part)
+                os.replace(part, target)
+                return target
+            finally:
+                shutil.rmtree(scratch, ignore_errors=True)
+
+        run.supervised = True
+        return run
+
+    return make
+
+
+def _supervised(argv: list[str], scratch: str, seconds: float) -> None:
+    with open(os.path.join(scratch, ".said"), "w+b") as said:
+        process = subprocess.Popen(argv, stdin=subprocess.DEVNULL, stdout=said, stderr=subprocess.STDOUT, cwd=scratch, env=os.environ | {"HOME": scratch}, start_new_session=True)
+        try:
+            code = process.wait(seconds)
+        finally:
+            with contextlib.suppress(ProcessLookupError):  # what the program has left running goes too
+                os.killpg(process.pid, signal.SIGKILL)
+            process.wait()
+        if code:
+            said.seek(0)
+            raise subprocess.CalledProcessError(code, argv[0], stderr=said.read().decode(errors="replace"))
+
+
+def office_to_pdf(folder: str, seconds: float = LIMIT) -> Converter:
+    """Slides to PDF by an office suite on the executors' path, each call with a profile of its own."""
+    return command(["soffice", "-env:UserInstallation=file://{out}/profile", "--headless", "--convert-to", "pdf", "--outdir", "{out}", "{path}"], folder, ".pdf", seconds)
+
+
 def error_type(e: BaseException) -> str:
-    """timeout, missing (no such engine or file), failed (the engine's own error code) or other."""
+    """timeout, missing (no such engine or file), failed (the engine's own error code), no_output or other."""
+    if isinstance(e, NoOutputError):
+        return "no_output"
     if isinstance(e, TimeoutError | subprocess.TimeoutExpired):
         return "timeout"
     if isinstance(e, FileNotFoundError | ModuleNotFoundError):
@@ -90,7 +155,8 @@ def convert(files: DataFrame, *providers: Converter, error: str | None = None, s
                 for i, make in enumerate(providers):
                     try:
                         engines[i] = engines[i] or make()
-                        row = [f.job_id, f.file_seq, True, within(seconds, engines[i], f.path), None, None]
+                        limit = None if getattr(engines[i], "supervised", False) else seconds
+                        row = [f.job_id, f.file_seq, True, within(limit, engines[i], f.path), None, None]
                         break
                     except Exception as e:
                         row = [f.job_id, f.file_seq, False, None, str(e) if error is None else error, error_type(e)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from folioforge import session
 from folioforge.operators import anchored, documents, elements, history, intake, results
 from folioforge.plans.documents import extract, save
-from folioforge.sources import config, docx, providers
+from folioforge.sources import config, docx, providers, sinks
 from folioforge.sources.files import in_natural_order, read_history, scan_file, scan_history, scan_images, uploaded_files
 
 ELEMENTS = "page_id string, elem_idx int, kind string, text string, html string, lines array<string>"
@@ -39,11 +39,12 @@ def test_page_gate_and_blocks(spark):
 def test_document_blocks_take_every_document(spark, tmp_path):
     from folioforge.plans import catalog
 
-    rows = [(0, "a\n b "), (3, "c"), (4, None), (5, " \n\t"), (6, "d\n\ne")]
+    rows = [(0, "a\n b "), (3, "c"), (4, None), (5, " \n\t"), (6, "d\n\ne"), (7, "not read")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(7).selectExpr("id as doc_id").write.parquet(f"{tmp_path}/labels.parquet")
     got = catalog.queries()["document_blocks"](spark, str(tmp_path)).where("kind = 'paragraph'").orderBy("page_id", "block_seq")
     empty = "[No content could be extracted from doc{}.jpg]\n"
-    assert [(r.page_id, r.text) for r in got.collect()] == [(0, "a"), (0, "b"), (3, "c"), (4, empty.format(4)), (5, empty.format(5)), (6, "d"), (6, "e")]
+    assert [(r.page_id, r.text) for r in got.collect()] == [(0, "a"), (0, "b"), (3, "c"), (4, empty.format(4)), (5, empty.format(5)), (6, "d"), (6, "e"), (7, empty.format(7))]
 
 
 def test_suppression(spark):
@@ -238,7 +239,8 @@ def test_documents_end_to_end(spark, tmp_path):
         raise FileNotFoundError("no printer")
 
     done = extract(spark, pages_provider, path=str(tmp_path / "2.jpg"), output_format="pdf", to_pdf=printer)
-    assert [open(p, "rb").read() for p in save(done, str(tmp_path / "out"))] == [b"%PDFPK"] and os.path.exists(tmp_path / "out" / "2.pdf")
+    save(done, str(tmp_path / "out"))
+    assert (tmp_path / "out" / "2.pdf").read_bytes() == b"%PDFPK"
     kept = extract(spark, pages_provider, path=str(tmp_path / "2.jpg"), output_format="pdf", to_pdf=lambda: lambda c: broken()).first()
     assert (kept.format, kept.status, kept.message) == ("docx", "conversion_error_fallback", "no printer")
 
@@ -271,13 +273,100 @@ def test_docx_round_trip(spark):
     spanned = docx.document_rows(docx.document_bytes([("paragraph", "p"), ("table", "", tables, 3, 3), ("blank", "")]))
     assert [(k, t) for k, t, _ in spanned] == [("paragraph", "p"), ("table", ""), ("paragraph", "")]
     assert [c for c in spanned[1][2] if c[2]] == sorted(tables) and (1, 1, "", 1, 1) in spanned[1][2]
-    wide = docx.document_rows(docx.document_bytes([("table", "", [(0, 0, "x", 2_000_000_000, 1), (0, 2_000, "", 1, 1)], 1, 2_000_000_001)]))
-    assert wide[0][2][0] == (0, 0, "x", 2001, 1)
+    wide = docx.document_rows(docx.document_bytes([("table", "", [(0, 0, "x", 2_000_000_000, 1), (0, 2_000_000_000, "y", 1, 1), (1, 0, "z", 7, 1)], 2, 2_000_000_001)]))
+    assert wide[0][2] == [(0, 0, "x", 2, 1), (0, 2, "y", 1, 1), (1, 0, "z", 1, 1), (1, 1, "", 1, 1), (1, 2, "", 1, 1)]
     blocks = spark.createDataFrame([("d", 0, "heading", "H"), ("d", 1, "paragraph", "a <b>\nc"), ("d", 2, "page_break", None)], "doc_id string, block_seq int, kind string, text string")
     made = docx.render(blocks).select(F.col("doc_id").alias("path"), "content")
     assert [(r.kind, r.text) for r in docx.parse(made).orderBy("block_seq").collect()] == [("paragraph", "H"), ("paragraph", "a <b>\nc"), ("page_break", "")]
 
 
+def test_docx_tables_of_any_width(spark):
+    """Each so many columns are a table of their own; no text is lost, and a cell that goes on has it once."""
+    for width in (63, 64, 70, 200):
+        cells = [(0, i, f"a{i}", 1, 1) for i in range(width)] + [(1, 0, "wide", width, 2)] + [(3, i, f"b{i}", 1, 1) for i in range(0, width, 2)]
+        parts = [c for kind, _, c in docx.document_rows(docx.document_bytes([("table", "", cells, 4, width)])) if kind == "table"]
+        assert [max(x + n for _, x, _, n, _ in p) for p in parts] == [63] * (width // 63) + [width % 63] * (width % 63 > 0)
+        assert [t for p in parts for y, _, t, *_ in p if y == 0] == [f"a{i}" for i in range(width)]
+        assert [(t, n, h) for p in parts for y, _, t, n, h in p if y == 1] == [("wide" * (i == 0), min(63, width - 63 * i), 2) for i in range(len(parts))]
+        assert [t for p in parts for y, _, t, *_ in p if y == 3 and t] == [f"b{i}" for i in range(0, width, 2)]
+
+
+def test_document_sink(spark, tmp_path):
+    """Whole files from the tasks, or none."""
+    out = tmp_path / "out"
+    rows = [(f"/in/d{d}.x", i, "paragraph", f"{d}.{i}") for d in range(20) for i in range(30)]
+    blocks = spark.createDataFrame(rows, "doc_id string, block_seq int, kind string, text string").repartition(5, "block_seq")
+    sinks.write_documents(blocks, str(out))
+    files = scan_images(spark, str(out), "*.docx")
+    got = docx.parse(files.select("path", "content")).collect()
+    assert sorted((r.path.rpartition("/")[2], r.block_seq, r.text) for r in got) == sorted((f"d{d}.docx", i, f"{d}.{i}") for d in range(20) for i in range(30))
+    assert sorted(os.listdir(out)) == sorted([f"d{d}.docx" for d in range(20)] + ["_SUCCESS"])
+    before = {p.name: p.read_bytes() for p in out.iterdir()}
+    # blocks of a document in several tasks, or out of order; two documents of one name; a task that fails
+    sinks.register(spark)
+    plain = blocks.write.format("docx").mode("append")
+    other = blocks.withColumn("doc_id", F.concat(F.lit("/else"), "doc_id"))
+    bad = blocks.where("text <> '7.3'").union(blocks.where("text = '7.3'").withColumn("kind", F.raise_error(F.lit("broken"))))
+    for attempt, why in ((lambda: plain.save(str(out)), "several tasks|not together|comes after"), (lambda: sinks.write_documents(blocks.union(other), str(out)), "same name"), (lambda: sinks.write_documents(bad, str(out)), "broken")):
+        with pytest.raises(Exception, match=why):
+            attempt()
+        assert {p.name: p.read_bytes() for p in out.iterdir()} == before
+    # overwriting leaves what is new
+    sinks.write_documents(blocks.where("doc_id = '/in/d3.x'"), str(out), mode="overwrite")
+    assert sorted(os.listdir(out)) == ["_SUCCESS", "d3.docx"]
+    files = spark.createDataFrame([("a.bin", bytearray(b"xy")), ("b.bin", None)], "name string, content binary")
+    sinks.write_files(files, str(tmp_path / "plain"))
+    assert (tmp_path / "plain" / "a.bin").read_bytes() == b"xy" and (tmp_path / "plain" / "b.bin").read_bytes() == b""
+    with pytest.raises(Exception, match="not a file name"):
+        sinks.write_files(files.withColumn("name", F.lit("../x")), str(tmp_path / "plain"))
+    assert sinks.document_name("a/.x") == ".x.docx" and sinks.document_name("a/b/") == "b.docx"
+
+
+SCRIPTS = {
+    "good": 'echo done > "$2/$(basename "${1%.*}").pdf"; sleep 100 & exit 0',
+    "hang": "(sleep 200; echo x) & sleep 200",
+    "bad": "echo no licence >&2; exit 3",
+    "none": "exit 0",
+}
+
+
+def test_supervised_programs(spark, tmp_path):
+    """Programs that succeed, hang, fail or write nothing; no process and no scratch folder is left."""
+    scratch = tmp_path / "tmp"
+    scratch.mkdir()
+    files = spark.createDataFrame([("j", i, f"/in/{i}.ppt") for i in range(3)], "job_id string, file_seq long, path string")
+    got = {}
+    for name, body in SCRIPTS.items():
+        script = tmp_path / f"{name}.sh"
+        script.write_text(f"#!/bin/bash\nexport MARK={tmp_path.name}\n{body}\n")
+        script.chmod(0o755)
+        make = providers.command([str(script), "{path}", "{out}"], str(tmp_path / "made"), seconds=1.5)
+
+        def local(make=make):
+            import tempfile
+
+            tempfile.tempdir = str(scratch)
+            return make()
+
+        got[name] = {(r.ok, r.path, r.error_type) for r in providers.convert(files, local).collect()}
+    assert got["good"] == {(True, str(tmp_path / "made" / f"{i}.pdf"), None) for i in range(3)}
+    assert got["hang"] == {(False, None, "timeout")} and got["bad"] == {(False, None, "failed")} and got["none"] == {(False, None, "no_output")}
+    gone = providers.convert(files, providers.command(["/no/such/program"], str(tmp_path))).collect()
+    assert {(r.ok, r.error_type) for r in gone} == {(False, "missing")}
+    assert sorted(os.listdir(tmp_path / "made")) == ["0.pdf", "1.pdf", "2.pdf"] and (tmp_path / "made" / "0.pdf").read_text() == "done\n"
+    assert os.listdir(scratch) == []
+    alive = [p for p in os.listdir("/proc") if p.isdigit() and f"MARK={tmp_path.name}".encode() in _environment(p)]
+    assert alive == []
+
+
+def _environment(pid):
+    try:
+        with open(f"/proc/{pid}/environ", "rb") as f:
+            return f.read()
+    except OSError:
+        return b""
+
+
 def test_config(spark, tmp_path):
     assert config.load_config(spark, str(tmp_path / "none")) == config.Config()
     (tmp_path / "c.yaml").write_text("input_directory: 'in'\nfont_size: 12\nother: 1\nlog_file:\n")
