@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack
             counts = ngram_counts(data, at)
             found = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [b.column("lang").cast(pa.string()), pa.array([i.astype(np.uint16).tobytes() for i in found], pa.binary()), pa.array([np.minimum(c[i], 65535).astype(np.uint16).tobytes() for c, i in zip(counts, found, strict=True)], pa.binary())],
+                [b.column("lang").cast(pa.string()), pa.array([i.astype(np.uint16).tobytes() for i in found], pa.binary()), pa.array([c[i].astype(np.uint32).tobytes() for c, i in zip(counts, found, strict=True)], pa.binary())],
                 names=["lang", "at", "n"],
             )
 
@@ -122,9 +122,9 @@ def fit(labelled: DataFrame, per_language: int = 1000, centroids: int = 4, slack
     langs, parts, reach = sorted({r["lang"] for r in got}), [], []
     for lang in langs:  # only one language's vectors are held in full
         own = [r for r in got if r["lang"] == lang]
-        counts = np.zeros((len(own), DIMENSIONS), np.uint16)
+        counts = np.zeros((len(own), DIMENSIONS), np.uint32)
         for i, r in enumerate(own):
-            counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
+            counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
         x = tfidf(counts, idf)
         parts.append(_clusters(x, centroids))
         usual = np.maximum(expected(counts), 1e-9)

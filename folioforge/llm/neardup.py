@@ -21,7 +21,9 @@ No group's pairs are all made, and none is capped:
    shingles, so its lists are short. Each of these lists has a head as well.
 3. The pairs across components that are left, in short lists of coordinates and in
    the lists of rare shingles, are made. Members of a list's largest component meet
-   the others only.
+   the others only. In a long list of a rare shingle two sets meet only if their sizes and the shingle's places
+   in them leave room for enough common shingles: the key has the size bands of both, and a
+   set is posted for the bands that it has room for (``with_bands``).
 
 Defined cases: null, empty and blank texts have no shingles and stay alone;
 texts shorter than a shingle are one whole sequence; repeated rows share a
@@ -53,6 +55,8 @@ BROADCAST_IDS = 200_000
 SHORT_LIST = 32
 #: Counters by which shingles are ordered from the rarest on.
 BUCKETS = 1 << 19
+#: Size bands: each size is in the band floor(BANDS * ln(size)).
+BANDS = 64
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 1 << 62, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 62, LONG, dtype=np.uint64)
@@ -294,18 +298,52 @@ def with_heads(lists: DataFrame, key: str, alike: str) -> DataFrame:
     return pairs_of(lists.alias("x").join(heads, key).where(F.expr(f"x.class <> y.class and {alike}")))
 
 
-def across(lists: DataFrame, key: str, alike: str) -> DataFrame:
-    """The pairs (a, b) of classes of different labels in the same list that may be alike.
+def with_main(lists: DataFrame, key: str) -> DataFrame:
+    """The lists of several labels, written, with their number of members and whether each is ``outside`` of the list's most frequent label."""
+    counts = lists.groupBy(key, "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    return written(lists.join(main, key).withColumn("outside", F.col("label") != F.col("main")).drop("main"))
+
+
+def across(rest: DataFrame, key: str, alike: str) -> DataFrame:
+    """The pairs (a, b) of classes of different labels in the same list, with what ``with_main`` adds, that may be alike.
 
     Members of the list's most frequent label meet the others only.
     """
-    counts = lists.groupBy(key, "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    rest = written(lists.join(main, key).withColumn("outside", F.col("label") != F.col("main")).drop("main"))
     apart = (F.col("x.label") != F.col("y.label")) & (~F.col("y.outside") | (F.col("x.class") < F.col("y.class")))
     return pairs_of(rest.where("outside").alias("x").join(rest.alias("y"), (F.col(f"x.{key}") == F.col(f"y.{key}")) & apart & F.expr(alike)))
 
 
+def with_bands(rest: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of lists of rare shingles as the larger and as the smaller set of a pair, with keys under which only pairs with room meet.
+
+    A pair has ``percent`` of its union in common only if its sizes together are at most (100 + percent) / percent times what
+    either set has from the shingle on, so each set has a largest partner. The larger set is posted for the bands of
+    partners no larger than itself, the smaller one for those no smaller. Members of the main label are
+    posted as the smaller set for partners outside of it only.
+    """
+    most = F.expr(f"((size - at) * {100 + percent}) div {percent} - size")
+    band = lambda c: F.floor(F.log(c) * BANDS).cast("int")
+    ranged = lambda lo, hi: F.when(lo <= hi, F.sequence(band(lo), band(hi)))
+    size, own = F.col("size"), band(F.col("size"))
+    below = F.explode(ranged(F.ceil(size * percent / 100), F.least(size, most)))
+    above = F.explode(ranged(size, F.least(F.floor(size * 100 / percent), most)))
+    larger = rest.withColumn("small", below).withColumn("large", own).withColumn("meets", F.col("outside"))
+    smaller = rest.withColumn("large", above).withColumn("small", own).withColumn("meets", F.explode(F.when(F.col("outside"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    return larger, smaller
+
+
+BAND_KEY = ["shingle", "small", "large", "meets"]
+
+
+def across_bands(rest: DataFrame, percent: int, alike: str) -> DataFrame:
+    """What ``across`` gives for lists of rare shingles, whose rows have size and at, by the keys of ``with_bands``."""
+    larger, smaller = with_bands(rest, percent)
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in BAND_KEY]
+    met = (F.col("x.label") != F.col("y.label")) & (F.col("x.size") >= F.col("y.size")) & F.expr(alike)
+    return pairs_of(larger.alias("x").join(smaller.alias("y"), [*on, met]))
+
+
 def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists with each class's label, its own class where it has none."""
     named = labels.withColumnRenamed("node", "class").withColumnRenamed("label", "_label")
@@ -349,9 +387,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 2, percent: int = 80,
         labels, tried = join_up(labels, second), tried.union(second)
 
     # 3. what is left across components
-    more = across(labelled(rest.where(F.col("n") <= SHORT_LIST).drop("n", "rank", "label"), labels), "place", alike)
+    more = across(with_main(labelled(rest.where(F.col("n") <= SHORT_LIST).drop("n", "rank", "label"), labels), "place"), "place", alike)
     if rare is not None:
-        more = more.union(across(labelled(rare.drop("label"), labels), "shingle", within)).distinct()
+        lists = with_main(labelled(rare.drop("label"), labels), "shingle")
+        long = F.col("members") > SHORT_LIST
+        more = more.union(across(lists.where(~long), "shingle", within)).union(across_bands(lists.where(long), percent, within)).distinct()
     more = written(more.join(tried, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         labels = join_up(labels, more)

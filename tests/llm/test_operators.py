@@ -102,6 +102,18 @@ def test_language_copies(spark):
     assert (got.lang_pred == "es").mean() > 0.95 and got.rejected.mean() < 0.05
 
 
+def test_language_counts_beyond_16_bits(spark):
+    """A long repetitive text is learnt as it is scored: no count is cut."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"], 20)), "a") for i in range(20)] + [(20, "xyxyzz " * 90_000, "a"), (21, "qqq rrr " * 60, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, centroids=25)
+    counts = language.ngram_counts(*common.utf8(pa.array([rows[20][1]])))
+    assert counts.max() > 70_000
+    exact = language.tfidf(counts, model["idf"])
+    assert np.max(exact @ model["centres"].T) > 1 - 1e-6
+
+
 def test_language_rejects_junk(spark):
     """Random letters are rejected whatever the sample's size and its oddest row; labelled documents stay."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
@@ -600,6 +612,34 @@ def test_near_duplicates(spark, documents, odd, nothing):
     assert neardup.near_duplicates(nothing).count() == 0
 
 
+def test_crowds_just_below_the_threshold(spark, monkeypatch):
+    """What is compared grows with the crowd, not with its square, and no link is lost: 95 common words and 12 own ones, likeness 0.797."""
+    met = []
+
+    def spied(f):
+        def spy(rest, percent, alike):
+            larger, smaller = neardup.with_bands(rest, percent)
+            met[-1] += larger.join(smaller, neardup.BAND_KEY).count()
+            return f(rest, percent, alike)
+
+        return spy
+
+    monkeypatch.setattr(neardup, "across_bands", spied(neardup.across_bands))
+    common = [f"c{i}" for i in range(95)]
+    for n in (300, 600, 1200):
+        rng = np.random.default_rng(n)
+        rows = [(i, " ".join(common + [f"o{i}.{k}" for k in range(12)])) for i in range(n)]
+        # some of other sizes, some with links, one to another crowd member's text
+        rows += [(n + i, " ".join(common[: 80 + i % 15] + [f"p{i}.{k}" for k in range(11)])) for i in range(40)]
+        rows += [(n + 40 + i, rows[int(rng.integers(n))][1] + f" more{i}") for i in range(10)]
+        met.append(0)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if n == 300:
+            assert got == {d: c for d, _, c in brute_components(rows, 2, 80)}
+        assert len(got) == n + 50
+    assert met[1] <= 2.2 * met[0] + 1000 and met[2] <= 2.2 * met[1] + 1000 and met[2] < 20_000, met
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 300)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
