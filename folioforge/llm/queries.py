@@ -57,7 +57,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_report(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +98,16 @@ OP5_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor
 s as (select q.vec_id as query_id, d.vec_id, cast(list_dot_product(q.e, d.e) as bigint) as score from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
 
+def _permuted_sql(rows: str, index: str, n: str, which: str, into: str, inverse: bool = False) -> str:
+    """The rows of a query with the column ``into``, the permuted index: a subquery for each round."""
+    rows = f"select *, {index} as x from ({rows})"
+    for a, b in reversed(mixing.round_constants()) if inverse else mixing.round_constants():
+        rows = f"select *, ({mixing.round_key(a, b, n, which)} + {n} - x) % {n} as y from ({rows})"
+        rows = f"select * exclude (x, y), case when {mixing.round_bit(a, b, 'greatest(x, y)', which, '//')} then y else x end as x from ({rows})"
+    return f"select * exclude (x), x as {into} from ({rows})"
+
+
+_B = mixing.BLOCK
 OP7_SQL = f"""with d as (select doc_id, source, coalesce(len({_WORDS.format("text")}), 0) as size from documents),
 n as (select source, sum(size) as source_size from d group by source),
 k as (select *, row_number() over (order by source nulls last) - 1 as k from n),
@@ -105,15 +115,25 @@ w as (select *, [5, 2, 1][k % 3 + 1] as weight, 2 * source_size as cap from k),
 l as (select *, sum(cap) over (order by cap / weight, k) - cap as capped, sum(weight) over () - sum(weight) over (order by cap / weight, k) + weight as free from w),
 v as (select *, (cast(1.5 as double) * sum(source_size) over () - capped) / free as level from l),
 c as (select arg_min(level, capped) as common from v where level * weight <= cap),
-t as (select source, k, source_size, case when common is null or weight * common > cap then cast(cap as double) else weight * common end as target,
-  cast(ceil(source_size / {mixing.BLOCK}) as bigint) as blocks from v, c),
-slots as (select source, k, blocks, unnest(range(cast(least(round(target / {mixing.BLOCK}), 2 * blocks) as bigint))) as j from t where blocks > 0),
-times as (select source, (({mixing.PRIMES[0]} % blocks) * (j % blocks) + 7919 * (k * 2 + j // blocks + 1)) % blocks as block, count(*) as times from slots group by all),
+t as (select source, k, source_size, case when common is null or weight * common > cap then cast(cap as double) else weight * common end as target from v, c),
+a as (select *, cast(ceil(source_size / {_B}) as bigint) as blocks, least(cast(round(target) as bigint), 2 * cast(source_size as bigint)) as want from t),
+f as (select *, coalesce(want // nullif(cast(source_size as bigint), 0), 0) as full_passes, blocks * {_B} - cast(source_size as bigint) as gap from a),
+r as (select *, want - full_passes * cast(source_size as bigint) as rest from f),
+i as ({_permuted_sql("select * from r", "(blocks - 1)", "greatest(blocks, 1)", "(k * 2 + full_passes)", "short", inverse=True)}),
+o as (select *, full_passes * blocks + (rest + {_B - 1}) // {_B} + cast(short < (rest + {_B - 1}) // {_B} and (rest + {_B - 1}) // {_B} * {_B} - gap < rest as bigint) as n_slots from i),
+h as (select greatest(1, cast((sum(n_slots) + {mixing.SHARD_SLOTS - 1}) // {mixing.SHARD_SLOTS} as bigint)) as shards from o),
+j as (select *, unnest(range(n_slots)) as j from o where n_slots > 0),
+q as (select j.*, {mixing.shard_of("k", "j", "h.shards")} as shard from j, h),
+z as (select *, row_number() over (partition by k order by shard) - 1 as slot from q),
+y0 as (select source, k, blocks, full_passes, rest, short as short_at, gap, shard, slot // blocks as pass, slot % blocks as place from z),
+y as ({_permuted_sql("select * from y0", "place", "blocks", "(k * 2 + pass)", "block")}),
+m as (select source, block, shard, case when pass < full_passes then len else least(len, rest - place * {_B} + case when short_at < place then gap else 0 end) end as words
+  from (select *, {_B} - case when block = blocks - 1 then gap else 0 end as len from y)),
 p as (select *, sum(size) over (partition by source order by doc_id, size rows unbounded preceding) - size as start from d),
-b as (select doc_id, source, start, size, unnest(range(cast(start // {mixing.BLOCK} as bigint), cast((start + size - 1) // {mixing.BLOCK} + 1 as bigint))) as block from p where size > 0),
-g as (select b.doc_id, b.source, sum(times * (least(start + size, (b.block + 1) * {mixing.BLOCK}) - greatest(start, b.block * {mixing.BLOCK}))) as taken
-  from b join times on b.block = times.block and b.source is not distinct from times.source group by 1, 2)
-select p.doc_id, cast(p.size as bigint) as size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken
+b as (select doc_id, source, start, size, unnest(range(cast(start // {_B} as bigint), cast((start + size - 1) // {_B} + 1 as bigint))) as block from p where size > 0),
+u as (select b.doc_id, m.shard, least(start + size, b.block * {_B} + words) - greatest(start, b.block * {_B}) as words from b join m on b.block = m.block and b.source is not distinct from m.source),
+g as (select doc_id, sum(words) as taken, count(distinct shard) as shards from u where words > 0 group by doc_id)
+select p.doc_id, cast(p.size as bigint) as size, cast(source_size as bigint) as source_size, target, cast(coalesce(taken, 0) as bigint) as taken, coalesce(shards, 0) as shards
 from p join t on p.source is not distinct from t.source left join g on g.doc_id = p.doc_id"""
 
 OP8_SQL = f"""with recursive w as (select doc_id, {_WORDS.format(_LETTERS.format("text"))} as w from documents),
