@@ -340,7 +340,8 @@ def across_bands(rest: DataFrame, percent: int, alike: str) -> DataFrame:
     """What ``across`` gives for lists of rare shingles, whose rows have size and at, by the keys of ``with_bands``."""
     larger, smaller = with_bands(rest, percent)
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in BAND_KEY]
-    met = (F.col("x.label") != F.col("y.label")) & (F.col("x.size") >= F.col("y.size")) & F.expr(alike)
+    once = F.expr("x.size > y.size or (x.size = y.size and x.class < y.class)")  # both of a size are posted as either
+    met = (F.col("x.label") != F.col("y.label")) & once & F.expr(alike)
     return pairs_of(larger.alias("x").join(smaller.alias("y"), [*on, met]))
 
 
