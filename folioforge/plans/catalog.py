@@ -12,11 +12,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.functions import rules, text
-from folioforge.operators import anchored, documents, elements, history, html_tables, intake, results
+from folioforge.operators import anchored, documents, elements, history, html_tables, intake, pdf_merge, results
 from folioforge.session import shared_dir
-from folioforge.sources import docx, sinks
+from folioforge.sources import docx, pdf, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -576,6 +577,20 @@ def merged_blocks(spark, sf_dir):
     return results.merged_blocks(rows).select("job_id", F.col("seq").cast("long").alias("seq"), "kind", "text")
 
 
+@query("""select conv_id, row_number() over (partition by conv_id order by turn) as page, regexp_replace(text, '[^\\x00-\\xff]', '?', 'g') as text from conversations""")
+def merged_pdfs(spark, sf_dir):
+    """Conversations merged from a PDF file a turn, and the pages of the merged files read back."""
+    page = F.pandas_udf(lambda texts: texts.map(pdf.one_page), T.BinaryType())
+    c = table(spark, sf_dir, "conversations")
+    files = c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("file_seq"), page(F.coalesce("text", F.lit(""))).alias("content"))
+    folder = shared_dir(spark).removeprefix("file://")
+    pdf_merge.merge_pdfs(files, folder)
+    read = F.pandas_udf(lambda contents: contents.map(pdf.page_texts), T.ArrayType(T.StringType()))
+    made = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
+    pages = made.select(F.regexp_extract("path", "([0-9]+)[.]pdf$", 1).cast("long").alias("conv_id"), F.posexplode(read("content")).alias("page", "text"))
+    return pages.select("conv_id", (F.col("page") + 1).cast("long").alias("page"), "text")
+
+
 #: Boxes of a vector, and the components of each: corner, size and score.
 _BOXES, _PARTS_OF_BOX = 12, 5
 

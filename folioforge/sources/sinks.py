@@ -1,7 +1,7 @@
 """File sinks as data sources: tasks stage whole files, the commit gives them their names.
 
 ``docx``: blocks (operators.documents) to one word-processor file for each document.
-``whole_files``: rows (name, content) to files.
+``whole_files``: rows (name, content) to files. ``file_parts``: rows (name, part, content) to files, of which one part is in memory at a time.
 
 A task writes below ``_staging-*`` in the target folder, which the driver and all tasks must
 share. Only when every task has succeeded do the files move to their names; a failed
@@ -105,6 +105,19 @@ class WholeFileWriter(FileWriter):
             yield r.name, lambda out, content=r.content: out.write(content or b"")
 
 
+class PartWriter(FileWriter):
+    """Parts in the order of their file and place."""
+
+    def files(self, rows):
+        for name, parts in itertools.groupby(rows, key=lambda r: r.name):
+
+            def fill(out, own=parts):
+                for r in own:
+                    out.write(r.content or b"")
+
+            yield name, fill
+
+
 class DocumentWriter(FileWriter):
     """Blocks in the order of their document and place; of a document one block is in memory at a time."""
 
@@ -144,6 +157,15 @@ class WholeFiles(DataSource):
         return WholeFileWriter(self.options, overwrite)
 
 
+class FileParts(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "file_parts"
+
+    def writer(self, schema: StructType, overwrite: bool) -> FileWriter:
+        return PartWriter(self.options, overwrite)
+
+
 class Documents(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -154,7 +176,7 @@ class Documents(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    for source in (WholeFiles, Documents):
+    for source in (WholeFiles, FileParts, Documents):
         spark.dataSource.register(source)
 
 
@@ -164,6 +186,13 @@ def write_files(files: DataFrame, folder: str, mode: str = "append") -> None:
     files.select("name", "content").write.format("whole_files").mode(mode).save(folder)
 
 
+def write_parts(parts: DataFrame, folder: str, mode: str = "append") -> None:
+    """Write rows (name, part, content) as files of the folder, each its parts in order."""
+    register(parts.sparkSession)
+    dealt = parts.select("name", "part", "content").repartition("name").sortWithinPartitions("name", "part")
+    dealt.write.format("file_parts").mode(mode).save(folder)
+
+
 def write_documents(blocks: DataFrame, folder: str, font: str = "SimSun", size: int = 11, mode: str = "append") -> None:
     """Write the blocks as one file for each document, named after its doc_id."""
     register(blocks.sparkSession)
