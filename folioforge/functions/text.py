@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +24,23 @@ def segment_text(c: Column) -> Column:
     return F.when(F.size(lines) > 0, lines).when(c.isNotNull(), F.array(c))
 
 
+def _digits() -> tuple[str, str]:
+    """All decimal digits of Unicode beyond ASCII, and the ASCII digits that they stand for."""
+    found = [chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
 def natural_key(c: Column) -> Column:
-    """Sort key that compares digit runs as numbers (up to 38 digits) and the rest in lower case."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\D*)(\d*)"), F.lit(0))
-    number = lambda x: F.nullif(F.regexp_extract(x, r"(\d+)$", 1), F.lit("")).try_cast("decimal(38,0)")
-    return F.transform(runs, lambda x: F.struct(F.lower(F.regexp_extract(x, r"^(\D*)", 1)).alias("t"), number(x).alias("v")))
+    """Sort key, as bytes, that compares digit runs as numbers, however long and in any script, and the rest in lower case.
+
+    A run of text ends with a zero byte (U+0000 and U+0001 in it are two characters); a number is the length of its
+    digits without leading zeros, then these digits, so a shorter one comes first.
+    """
+    plain = F.replace(F.replace(F.lower(F.translate(c, *_digits())), F.lit("\x01"), F.lit("\x01\x02")), F.lit("\x00"), F.lit("\x01\x01"))
+    run = lambda x: F.concat(F.regexp_extract(x, r"^(\D*)", 1), F.lit("\x00"), number(F.regexp_extract(x, r"(\d*)$", 1)))
+    significant = lambda d: F.regexp_replace(d, "^0+", "")
+    number = lambda d: F.when(d == "", "").otherwise(F.concat(F.lit("1"), F.lpad(F.length(significant(d)).cast("string"), 10, "0"), significant(d)))
+    return F.array_join(F.transform(F.regexp_extract_all(plain, F.lit(r"(\D*)(\d*)"), F.lit(0)), run), "").cast("binary")
 
 
 def stem(c: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from folioforge.functions import rules, text
 from folioforge.operators import anchored, documents, elements, history, html_tables, intake, pdf_merge, results
 from folioforge.session import shared_dir
-from folioforge.sources import docx, pdf, sinks
+from folioforge.sources import docx, docx_merge, pdf, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,12 +157,16 @@ def paragraph_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(F.size(text.segment_text(F.col("text")))).alias("n_paragraphs"), F.count("*").alias("n_pages"))
 
 
-@query("select c_nationkey as folder, 'IMG' || c_custkey || '.jpg' as path, row_number() over (partition by c_nationkey order by c_custkey) - 1 as page_seq from customer")
+@query("""select c_nationkey as folder, 'IMG' || c_custkey || '.jpg' as path, row_number() over (partition by c_nationkey order by c_custkey) - 1 as page_seq from customer
+union all select -1, 'Page' || repeat('9', 40 + p_partkey % 3) || translate(cast(p_partkey as varchar), '0123456789', '٠١٢٣٤٥٦٧٨٩') || '.jpg', row_number() over (order by p_partkey % 3 + length(cast(p_partkey as varchar)), repeat('9', 40 + p_partkey % 3) || p_partkey) - 1 from part""")
 def natural_order(spark, sf_dir):
+    """Customers' images by folder; and one folder of parts whose numbers have more than 40 digits, some of them in another script."""
     from folioforge.sources.files import in_natural_order
 
-    files = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("folder"), F.concat(F.lit("IMG"), _text("c_custkey"), F.lit(".jpg")).alias("path"))
-    return in_natural_order(files, ["folder"]).select("folder", "path", "page_seq")
+    files = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("folder"), F.concat(F.lit("IMG"), _text("c_custkey"), F.lit(".jpg")).alias("path"))
+    long = F.concat(F.lit("Page"), F.repeat(F.lit("9"), (F.lit(40) + F.col("p_partkey") % 3).cast("int")), F.translate(_text("p_partkey"), "0123456789", "٠١٢٣٤٥٦٧٨٩"), F.lit(".jpg"))
+    parts = table(spark, sf_dir, "part").select(F.lit(-1).cast("long").alias("folder"), long.alias("path"))
+    return in_natural_order(files.union(parts), ["folder"]).select("folder", "path", "page_seq")
 
 
 @query(r"""select url, regexp_extract(url, '[^/]*$') as base, case when regexp_extract(url, '[^/]*$') like '_%.%' then regexp_replace(url, '\.[^./]*$', '') else url end as stem,
@@ -591,6 +596,19 @@ def merged_pdfs(spark, sf_dir):
     return pages.select("conv_id", (F.col("page") + 1).cast("long").alias("page"), "text")
 
 
+@query("""with a as (select conv_id, turn, 1 as part, 'heading' as kind, 'Turn ' || turn as text from conversations union all select conv_id, turn, 2, 'paragraph', text from conversations
+  union all select conv_id, turn, 0, 'page_break', '' from conversations c where turn > (select min(turn) from conversations d where d.conv_id = c.conv_id))
+select conv_id, row_number() over (partition by conv_id order by turn, part) - 1 as seq, kind, text from a""")
+def merged_documents(spark, sf_dir):
+    """Conversations merged from a document file a turn, and read back."""
+    made = F.pandas_udf(lambda turns, texts: pd.Series([docx.document_bytes([("heading", f"Turn {n}"), ("paragraph", t)]) for n, t in zip(turns, texts, strict=True)], dtype=object), T.BinaryType())
+    c = table(spark, sf_dir, "conversations")
+    files = c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("file_seq"), made("turn", F.coalesce("text", F.lit(""))).alias("content"))
+    whole = docx_merge.merge_documents(files).where("ok")
+    found = docx.parse(whole.select(F.col("job_id").cast("string").alias("path"), "content"))
+    return found.select(F.col("path").cast("long").alias("conv_id"), F.col("block_seq").cast("long").alias("seq"), "kind", "text")
+
+
 #: Boxes of a vector, and the components of each: corner, size and score.
 _BOXES, _PARTS_OF_BOX = 12, 5
 

@@ -26,7 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-_TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
+_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+_TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.styles+xml"/></Types>'
+_DOCUMENT_RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>'
+_STYLES = f'<?xml version="1.0" encoding="UTF-8"?><w:styles xmlns:w="{_W}"><w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/></w:style><w:style w:type="paragraph" w:styleId="Heading1"><w:name w:val="heading 1"/><w:basedOn w:val="Normal"/><w:next w:val="Normal"/><w:pPr><w:keepNext/><w:outlineLvl w:val="0"/></w:pPr></w:style></w:styles>'
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
 BREAK = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
 _BORDERS = "<w:tblPr><w:tblBorders>" + "".join(f'<w:{side} w:val="single" w:sz="4" w:space="0" w:color="auto"/>' for side in ("top", "left", "bottom", "right", "insideH", "insideV")) + "</w:tblBorders></w:tblPr>"
@@ -40,7 +44,8 @@ def _paragraph(text: str, font: str, size: int, bold: bool) -> str:
     clean = escape(re.sub(r"[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]", "", text))
     lines = '</w:t><w:br/><w:t xml:space="preserve">'.join(clean.split("\n"))
     style = f'<w:rPr><w:rFonts w:ascii="{escape(font)}" w:eastAsia="{escape(font)}"/>{"<w:b/>" * bold}<w:sz w:val="{2 * size}"/></w:rPr>'
-    return f'<w:p><w:r>{style}<w:t xml:space="preserve">{lines}</w:t></w:r></w:p>'
+    heading = '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>' if bold else ""
+    return f'<w:p>{heading}<w:r>{style}<w:t xml:space="preserve">{lines}</w:t></w:r></w:p>'
 
 
 def _table(cells: Iterable[Cell], n_rows: int, n_cols: int, font: str, size: int) -> Iterator[str]:
@@ -79,7 +84,7 @@ def _row(cells: list[tuple[int, int, Cell]], y: int, left: int, right: int, font
 def write_document(out: IO[bytes], rows: Iterable[tuple], font: str = "SimSun", size: int = 11) -> None:
     """Write a document of (kind, text, cells, n_rows, n_cols) rows in order to a stream, row by row; the last three may be left out."""
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS)):
+        for name, part in (("[Content_Types].xml", _TYPES), ("_rels/.rels", _RELS), ("word/_rels/document.xml.rels", _DOCUMENT_RELS), ("word/styles.xml", _STYLES)):
             z.writestr(zipfile.ZipInfo(name), part, zipfile.ZIP_DEFLATED)
         info = zipfile.ZipInfo("word/document.xml")
         info.compress_type = zipfile.ZIP_DEFLATED
@@ -124,19 +129,47 @@ def _cells(table: ElementTree.Element) -> list[Cell]:
     return [tuple(c) for c in out]
 
 
+def _heading_styles(z: zipfile.ZipFile) -> set[str]:
+    """The ids of the paragraph styles that are headings, by name or outline level, also by what they are based on."""
+    if "word/styles.xml" not in z.namelist():
+        return set()
+    found, based = set(), {}
+    for s in ElementTree.fromstring(z.read("word/styles.xml")).findall(f"{{{_W}}}style"):
+        name, parent = s.find(f"{{{_W}}}name"), s.find(f"{{{_W}}}basedOn")
+        based[s.get(f"{{{_W}}}styleId")] = parent.get(f"{{{_W}}}val") if parent is not None else None
+        if s.find(f"{{{_W}}}pPr/{{{_W}}}outlineLvl") is not None or (name is not None and re.match("(?i)heading|title", name.get(f"{{{_W}}}val", ""))):
+            found.add(s.get(f"{{{_W}}}styleId"))
+    for _ in range(len(based)):
+        more = {s for s, parent in based.items() if parent in found} - found
+        if not more:
+            break
+        found |= more
+    return found
+
+
 def document_rows(content: bytes) -> list[tuple[str, str, list[Cell] | None]]:
-    """(kind, text, cells) rows of a document: paragraphs, tables and page breaks."""
+    """(kind, text, cells) rows of a document: headings, paragraphs, list items, images (their part's name), tables and page breaks."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{{{_W}}}body")
+        headings = _heading_styles(z)
+        rels = ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in z.namelist() else []
+    targets = {r.get("Id"): r.get("Target", "") for r in rels}
     rows = []
     for part in body if body is not None else []:
         if part.tag == f"{{{_W}}}tbl":
             rows.append(("table", "", _cells(part)))
         elif part.tag == f"{{{_W}}}p":
+            images = [x.get(f"{{{_R}}}embed") for x in part.iter(f"{{{_A}}}blip")]
+            rows += [("image", targets.get(i, ""), None) for i in images]
+            style, text = part.find(f"{{{_W}}}pPr/{{{_W}}}pStyle"), _text(part)
             if any(b.get(f"{{{_W}}}type") == "page" for b in part.iter(f"{{{_W}}}br")):
                 rows.append(("page_break", "", None))
-            else:
-                rows.append(("paragraph", _text(part), None))
+            elif style is not None and style.get(f"{{{_W}}}val") in headings:
+                rows.append(("heading", text, None))
+            elif part.find(f"{{{_W}}}pPr/{{{_W}}}numPr") is not None:
+                rows.append(("list_item", text, None))
+            elif text or not images:
+                rows.append(("paragraph", text, None))
     return rows
 
 

@@ -3,7 +3,7 @@
 A provider is a factory called once in each partition; it gives a function from
 a file's path and content to the engine's answer. A failing call, or one that takes
 longer than its limit, gives an empty page or an outcome with an error and never stops
-the job. Engines are dear: write their answers before using them twice.
+the job; what failed is told beside the results. Engines are dear: write their answers before using them twice.
 
 An engine that is a program runs under supervision (``command``): in a process group and a scratch
 folder of its own; the whole group is killed at the limit and gone when the call ends, however it ends.
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ELEMENT_SCHEMA = "page_id string, elem_idx int, kind string, box array<struct<x:double,y:double>>, text string, score double, html string, lines array<string>"
+ELEMENT_SCHEMA = "page_id string, elem_idx int, kind string, box array<struct<x:double,y:double>>, text string, score double, html string, lines array<string>, error string, error_type string"
 OUTCOME_SCHEMA = "job_id string, file_seq long, ok boolean, path string, error string, error_type string"
 #: Seconds that a conversion may take.
 LIMIT = 60.0
@@ -123,23 +123,31 @@ def error_type(e: BaseException) -> str:
 
 
 def ocr_elements(pages: DataFrame, provider: Ocr, seconds: float | None = None) -> DataFrame:
-    """Elements of each page (page_id, path, content), in the engine's order."""
+    """Elements of each page (page_id, path, content), in the engine's order; a page that failed is one row without elem_idx, with its error."""
+    names = ["kind", "box", "text", "score", "html", "lines"]
 
     def run(batches):
-        engine = provider()
+        engine = None
         for pdf in batches:
             rows = []
             for page in pdf.itertuples():
                 try:
+                    engine = engine or provider()
                     found = within(seconds, engine, page.path, page.content) or []
-                except Exception:
-                    found = []
-                rows += [[page.page_id, i, e.get("kind"), e.get("box"), e.get("text"), e.get("score"), e.get("html"), e.get("lines")] for i, e in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["page_id", "elem_idx", "kind", "box", "text", "score", "html", "lines"])
+                    rows += [[page.page_id, i, *(e.get(n) for n in names), None, None] for i, e in enumerate(found)]
+                except Exception as e:
+                    rows.append([page.page_id, None, *[None] * len(names), str(e) or type(e).__name__, error_type(e)])
+            yield pd.DataFrame(rows, columns=["page_id", "elem_idx", *names, "error", "error_type"]).astype({"elem_idx": "Int32"})
 
     return pages.select("page_id", "path", "content").mapInPandas(run, ELEMENT_SCHEMA)
 
 
+def page_errors(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The elements of what ``ocr_elements`` gave, and page_id, error and error_type of the pages that failed."""
+    failed = F.col("error_type").isNotNull()
+    return found.where(~failed).drop("error", "error_type"), found.where(failed).select("page_id", "error", "error_type")
+
+
 def convert(files: DataFrame, *providers: Converter, error: str | None = None, seconds: float | None = LIMIT) -> DataFrame:
     """The outcome of each file (job_id, file_seq, path): that of the first engine that succeeds, each tried once at most.
 

@@ -11,7 +11,7 @@ from folioforge import session
 from folioforge.operators import anchored, documents, elements, history, intake, results
 from folioforge.plans.documents import extract, save
 from folioforge.sources import config, docx, providers, sinks
-from folioforge.sources.files import in_natural_order, read_history, scan_file, scan_history, scan_images, uploaded_files
+from folioforge.sources.files import dealt_by_size, in_natural_order, read_history, scan_file, scan_history, scan_images, uploaded_files
 
 ELEMENTS = "page_id string, elem_idx int, kind string, text string, html string, lines array<string>"
 
@@ -137,10 +137,43 @@ def test_file_sources(spark, tmp_path):
     assert got == {"a.docx": None, "a.docx.meta": "one\ntwo"}
 
 
+def test_numbering_one_large_folder(spark):
+    """A folder's files are numbered by several tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the listing is small
+    before = session.shared_tables(spark)
+    files = spark.range(3000).selectExpr("concat('/in/p', id * 7919 % 3000, '.jpg') as path").union(spark.createDataFrame([("/other/x.jpg",)], "path string"))
+    got = in_natural_order(files)
+    assert [r.path for r in got.where("path like '/in/%'").orderBy("page_seq").collect()] == [f"/in/p{i}.jpg" for i in range(3000)]
+    assert got.where("path like '/other/%'").first().page_seq == 0
+    (folder,) = session.shared_tables(spark) - before
+    ranges = spark.read.parquet(folder).where("path like '/in/%'").groupBy("_range").count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(ranges) >= 3 and max(r["count"] for r in ranges) < 1500
+
+
+def test_files_are_dealt_by_size(spark):
+    """A few large files and many small ones: no task has much more than its share."""
+    sizes = [40_000_000, 30_000_000, 30_000_000] + [3_000_000] * 40 + [100_000] * 900
+    files = spark.createDataFrame([(f"/in/{i * 7919 % 10007}.jpg", n) for i, n in enumerate(sizes)], "path string, length long")
+    got = dealt_by_size(files, 7)
+    assert got.rdd.getNumPartitions() == 7 and got.columns == files.columns
+    loads = got.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("n"), F.count("*").alias("files")).collect()
+    assert sum(r.files for r in loads) == len(sizes) and len(loads) == 7
+    assert max(r.n for r in loads) < 1.3 * sum(sizes) / 7
+    assert dealt_by_size(files.where("false"), 3).count() == 0
+
+
 def test_providers(spark):
     pages = spark.createDataFrame([("p", "x.jpg", bytearray(b"a\nb")), ("q", "y.jpg", bytearray(b"\xff"))], "page_id string, path string, content binary")
-    got = providers.ocr_elements(pages, providers.text_lines_provider).orderBy("elem_idx").collect()
-    assert [(r.page_id, r.text) for r in got] == [("p", "a"), ("p", "b")]
+    found, errors = providers.page_errors(providers.ocr_elements(pages, providers.text_lines_provider))
+    assert [(r.page_id, r.text) for r in found.orderBy("elem_idx").collect()] == [("p", "a"), ("p", "b")]
+    (bad,) = errors.collect()
+    assert bad.page_id == "q" and bad.error_type == "other" and "decode" in bad.error
+
+    def missing():
+        raise FileNotFoundError("no engine")
+
+    assert {(r.page_id, r.error, r.error_type) for r in providers.ocr_elements(pages, missing).collect()} == {("p", "no engine", "missing"), ("q", "no engine", "missing")}
     files = spark.createDataFrame([("j", 0, "a.ppt"), ("j", 1, "b.ppt"), ("j", 2, "c.ppt")], "job_id string, file_seq long, path string")
 
     def engine(ok):
@@ -216,18 +249,24 @@ def test_documents_end_to_end(spark, tmp_path):
     flat = [(r.kind, r.text) if r.cells is None else (r.kind, [tuple(c) for c in r.cells]) for r in got]
     end = ("page_break", "")
     line = lambda t: ("paragraph", t)
+    head = lambda t: ("heading", t)
     six = [(0, 0, "", 1, 1), (0, 1, "南方", 2, 1), (0, 3, "北方", 2, 1)] + [(1, i, t, 1, 1) for i, t in enumerate(("朝代", "人口（户）", "占全国户口数比例", "人口（户）", "占全国户口数比例"))]
     six += [(2, i, t, 1, 1) for i, t in enumerate(words[2:7])] + [(3, i, t, 1, 1) for i, t in enumerate(words[7:12])]
     ten = [(0, 0, "A", 1, 2), (0, 1, "B", 2, 1), (1, 1, "C", 1, 1), (1, 2, "D", 1, 1)]
     assert flat == [
-        line("Content from 2.jpg"), line("x"), line("y"), line("plain"), end,
-        line("Content from 6.jpg"), line("end"), line("37.1%"), ("table", six), line(""), line("end"), end,
-        line("Content from 7.jpg"), line("[No content could be extracted from 7.jpg]\n"), end,
-        line("Content from 10.jpg"), ("table", ten), line(""), line("[Warning: Could not find table structure in provided HTML]"), line(""),
+        head("Content from 2.jpg"), line("x"), line("y"), line("plain"), end,
+        head("Content from 6.jpg"), line("end"), line("37.1%"), ("table", six), line(""), line("end"), end,
+        head("Content from 7.jpg"), line("[No content could be extracted from 7.jpg]\n"), end,
+        head("Content from 10.jpg"), ("table", ten), line(""), line("[Warning: Could not find table structure in provided HTML]"), line(""),
     ]
     one = extract(spark, pages_provider, path=str(tmp_path / "2.jpg"))
     assert [r.text for r in docx.parse(one.select(F.col("doc_id").alias("path"), "content")).orderBy("block_seq").collect()] == ["x", "y", "plain"]
     assert extract(spark, pages_provider, path=str(tmp_path / "none.jpg")).count() == 0
+    assert (made.first().failed_pages, made.first().page_error) == (0, None)
+    (tmp_path / "11.jpg").write_text("no json")
+    hurt = extract(spark, pages_provider, cfg).first()
+    assert hurt.failed_pages == 1 and "Expecting value" in hurt.page_error and hurt.status == "success"
+    assert docx.document_rows(bytes(hurt.content))[-1][1] == "[No content could be extracted from 11.jpg]\n"
 
     def printer():
         def run(content):
@@ -277,7 +316,7 @@ def test_docx_round_trip(spark):
     assert wide[0][2] == [(0, 0, "x", 2, 1), (0, 2, "y", 1, 1), (1, 0, "z", 1, 1), (1, 1, "", 1, 1), (1, 2, "", 1, 1)]
     blocks = spark.createDataFrame([("d", 0, "heading", "H"), ("d", 1, "paragraph", "a <b>\nc"), ("d", 2, "page_break", None)], "doc_id string, block_seq int, kind string, text string")
     made = docx.render(blocks).select(F.col("doc_id").alias("path"), "content")
-    assert [(r.kind, r.text) for r in docx.parse(made).orderBy("block_seq").collect()] == [("paragraph", "H"), ("paragraph", "a <b>\nc"), ("page_break", "")]
+    assert [(r.kind, r.text) for r in docx.parse(made).orderBy("block_seq").collect()] == [("heading", "H"), ("paragraph", "a <b>\nc"), ("page_break", "")]
 
 
 def test_docx_tables_of_any_width(spark):

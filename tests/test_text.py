@@ -57,6 +57,9 @@ def test_natural_order_by_number(spark, parts):
         ["IMG_2_3", "IMG_2_12", "IMG_10_1"],
         ["x" + "9" * 22, "x1" + "0" * 22],
         ["", "0", "a", "a0"],
+        ["x" + "9" * 500, "x1" + "0" * 500, "x1" + "0" * 499 + "1"],
+        ["p٢", "p3", "p١٠", "p0011", "p１２"],  # digits of other scripts have their values
+        ["a\x00z", "a\x01a", "a\x02", "ab"],
     ],
 )
 def test_natural_order_cases(spark, names):
