@@ -98,7 +98,10 @@ def _encode(path: str, end: int):
 
 
 def _once(batches):
-    """Chunk rows with a name met before in this partition go; all rows of a name are in one partition."""
+    """Chunk rows with a name met before in this partition go; all rows of a name are in one partition.
+
+    The names held are those of the partition's unique chunks, 16 bytes for some 600 of payload.
+    """
     met = set()
     for b in batches:
         keep = []
@@ -114,8 +117,9 @@ def write_store(docs: DataFrame, path: str, end: int, folder: str | None = None)
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     rows = docs.select("doc_id", "text").mapInArrow(_encode(path, end), ROWS)
-    # a recipe's name is salted by its document, so that copies of a text don't meet
-    rows.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("name")).otherwise(F.xxhash64("doc_id"))).mapInArrow(_once, ROWS).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/stage")
+    # copies of a text, and rows of one id or of none, don't meet
+    own = F.xxhash64("name", "doc_id", F.monotonically_increasing_id())
+    rows.withColumn("_to", F.when(F.col("kind") == "chunk", F.xxhash64("name")).otherwise(own)).repartition("_to").drop("_to").mapInArrow(_once, ROWS).write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/stage")
     recipes = _stage(spark, folder, "recipe").select("doc_id", "name", "n_tokens", F.col("payload").alias("names"), "sizes")
     placed = with_starts(recipes, "n_tokens", ["doc_id", "name"])
     placed.repartitionByRange(F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{folder}/recipes")

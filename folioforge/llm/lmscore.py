@@ -315,7 +315,11 @@ def traverse(bits: int):
 
 
 def score(docs: DataFrame, training: str, block_chars: int = BLOCK_CHARS, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """Score every text; ``training`` is the SQL condition of the rows to learn from (null counts as false)."""
+    """Score every text; ``training`` is the SQL condition of the rows to learn from (null counts as false).
+
+    Rows are dealt to blocks twice, by their numbers in the input. These must be the same when a part is read again, as
+    they are for files: write a frame that comes from a shuffle before it is scored.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(training), F.lit(False)).alias("training"))
     size = rows.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
     blocks, ranges = max(1, -(-size // block_chars)), max(1, -(-size // range_chars))

@@ -102,17 +102,20 @@ def compare(a: str, b: str) -> float:
     return likeness(*(np.frombuffer(base64.b64decode(x), "<u4") for x in (a, b)))
 
 
-def _bytes(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Strings of 16 bytes in the order of descending ids, then ascending hashes."""
-    top = np.uint64(1 << 63)
-    both = np.stack((~(ids.view(np.uint64) ^ top), hashes.view(np.uint64) ^ top), axis=1)
-    return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
+def _bytes(*keys: np.ndarray) -> np.ndarray:
+    """Strings of 24 bytes in the order of descending ids, then ascending hashes, then ascending row numbers."""
+    ids, hashes, rows = (k.view(np.uint64) ^ np.uint64(1 << 63) for k in keys)
+    return np.ascontiguousarray(np.stack((~ids, hashes, rows), axis=1).astype(">u8")).view("S24").ravel()
+
+
+def _keys(batch) -> np.ndarray:
+    return _bytes(*(batch.column(c).to_numpy() for c in ("_id", "_h", "_row")))
 
 
 def _number(cuts: np.ndarray):
     def run(batches):
         for b in batches:
-            keys = _bytes(b.column("_id").to_numpy(), b.column("_h").to_numpy())
+            keys = _keys(b)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.searchsorted(cuts, keys, "right").astype(np.int32))], names=[*b.schema.names, "part"])
 
     return run
@@ -122,28 +125,30 @@ def with_next(docs: DataFrame, part_chars: int = PART_CHARS) -> tuple[DataFrame,
     """Deal (doc_id, text) into ranges of descending doc_id, each followed by the first row of the next range.
 
     Rows come in order within a range; ``guest`` marks the row of the other range.
-    Only one row of a range moves twice.
+    Only one row of a range moves twice. Rows of the same id and text are told apart by their number in the input, so that a crowd
+    of them (null ids, for instance) goes to several ranges as well; which of them goes where is of no account.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64("text"))
+    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_h", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
     size = rows.agg(F.sum(F.octet_length("text") + 64).alias("bytes"), F.count("*").alias("n")).first()
     parts = min(MOST_PARTS, max(1, -(-(size.bytes or 0) // part_chars)))
-    cuts = _bytes(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    cuts = _bytes(*[np.zeros(0, np.int64)] * 3)
     if parts > 1:  # bounds from a sample of the keys; every row is dealt by them
         share = min(1.0, SAMPLED * parts / size.n)
-        drawn = rows.select("_id", "_h").where(F.pmod(F.xxhash64("_id", "_h", F.lit(3)), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).toArrow()
-        keys = np.sort(_bytes(drawn.column("_id").to_numpy(), drawn.column("_h").to_numpy()))
+        drawn = rows.select("_id", "_h", "_row").where(F.pmod(F.xxhash64("_id", "_h", "_row"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).toArrow()
+        keys = np.sort(_keys(drawn))
         cuts = np.unique(keys[[len(keys) * i // parts for i in range(1, parts)]]) if len(keys) else cuts
-    dealt = rows.mapInArrow(_number(cuts), "doc_id long, text string, _id long, _h long, part int")
+    dealt = rows.mapInArrow(_number(cuts), "doc_id long, text string, _id long, _h long, _row long, part int").drop("_row")
     # the first key of each range is the guest of the range before it, and of the last one for the first
     first = F.min(F.struct((-1 - F.col("_id")).alias("down"), F.col("_h").alias("h"))).alias("first")
-    tops = rows.select("_id", "_h").mapInArrow(_number(cuts), "_id long, _h long, part int").groupBy("part").agg(first).select("part", (-1 - F.col("first.down")).alias("_id"), F.col("first.h").alias("_h"))
+    tops = rows.select("_id", "_h", "_row").mapInArrow(_number(cuts), "_id long, _h long, _row long, part int").groupBy("part").agg(first).select("part", (-1 - F.col("first.down")).alias("_id"), F.col("first.h").alias("_h"))
     order = Window.orderBy("part")  # MOST_PARTS rows
     last = F.max("part").over(Window.partitionBy())
     guests = F.broadcast(tops.withColumn("to", F.coalesce(F.lag("part").over(order), last)).select("_id", "_h", "to"))
     moved = rows.join(guests, ["_id", "_h"])
-    moved = moved.withColumn("_r", F.row_number().over(Window.partitionBy("to").orderBy("text"))).where("_r = 1").select("doc_id", "text", "_id", "_h", F.col("to").alias("part"), F.lit(True).alias("guest"))
+    one = F.min(F.struct("text", "doc_id", "_id", "_h")).alias("m")  # one of a crowd leaves each task
+    moved = moved.groupBy("to").agg(one).select("m.doc_id", "m.text", "m._id", "m._h", F.col("to").alias("part"), F.lit(True).alias("guest"))
     both = dealt.withColumn("guest", F.lit(False)).unionByName(moved)
     return both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.desc("_id"), "_h", "text"), len(cuts) + 1
 

@@ -66,7 +66,7 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = idstore.write_store(read(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end=0)
-    return idstore.read_report(spark, folder)
+    return idstore.read_report(spark, folder, idstore.root(spark, folder))
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -710,6 +710,23 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 200, 300: 200}
 
 
+def test_crowds_of_one_id_and_text(spark):
+    """A third of the rows has no id and the same text: they go to several tasks, in op3's ranges and op9's store."""
+    rows = [(None, "the same text again and again " * 20)] * 400 + [(i, f"text {i} " * 30) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    dealt, n = lzprint.with_next(df, part_chars=30_000)
+    sizes = [r["count"] for r in dealt.where("doc_id is null").groupBy("part").count().collect()]
+    assert n > 6 and len(sizes) >= 3 and max(sizes) < 300
+    got = lzprint.edits(df).toPandas()
+    assert len(got) == 1200 and (got[got.doc_id.isna()].near_next > 0.99).sum() == 399  # after the last comes the first
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    folder = idstore.write_store(df, VOCABULARY, end=0)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    stage = spark.read.parquet(f"{folder}/stage").where("kind = 'recipe'").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in stage) == 1200 and max(r["count"] for r in stage) < 1.3 * 1200 / len(stage) and len(stage) > 2
+    assert idstore.read_report(spark, folder, idstore.root(spark, folder)).count() == 1200
+
+
 # 9 and 10 ------------------------------------------------------------------
 
 
