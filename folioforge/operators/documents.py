@@ -10,13 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.operators import anchored, elements, html_tables
-from folioforge.sources.docx import CELLS
-
-
-def _cell(row, col, text, colspan, rowspan):
-    values = {"row": row, "col": col, "text": text, "colspan": colspan, "rowspan": rowspan}
-    return F.struct(*[v.cast("string" if k == "text" else "int").alias(k) for k, v in values.items()])
+from folioforge.operators import elements, html_tables
+from folioforge.operators.anchored import Anchored
+from folioforge.operators.handlers import Handler, handled_blocks
 
 
 def with_tables(blocks: DataFrame, *keys: str) -> DataFrame:
@@ -31,34 +27,11 @@ def with_tables(blocks: DataFrame, *keys: str) -> DataFrame:
     return made.select(*keys, "_grid", parts).select(*keys, "_part.kind", "_part.text", F.col("_grid.cells").alias("cells"), F.col("_grid.n_rows").alias("n_rows"), F.col("_grid.n_cols").alias("n_cols"), "sub")
 
 
-def anchored_blocks(found: DataFrame, spec: anchored.Anchored) -> DataFrame:
-    """page_id, part, kind, text, cells, n_rows, n_cols: the two highest texts, the table, a blank and what follows it.
-
-    ``found`` has page_id, elem_idx, text and box. Equal neighbours in a header row are one cell.
-    """
-    none = [F.lit(None).cast(CELLS).alias("cells"), F.lit(None).cast("int").alias("n_rows"), F.lit(None).cast("int").alias("n_cols")]
-    line = lambda part, sub, kind, text: [F.col("page_id"), F.lit(part).alias("part"), sub.cast("int").alias("sub"), F.lit(kind).alias("kind"), text.alias("text"), *none]
-    top = elements.top_by_y(found.withColumn("mean_y", elements.mean_y(F.col("box"))))
-    texts = found.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("elem_idx", "text"))), lambda x: x["text"]).alias("texts"))
-    rows = anchored.anchored_table(texts, spec)
-    header = len(spec.headers)
-    merged = lambda c, i: (F.col("table_row") < header) & (i > 0) & (F.get("cells", i - 1) == c) & (c != "")
-    # how many equal ones stand after a header cell
-    wide = lambda c, i: F.aggregate(F.slice("cells", i + 1, F.size("cells")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, x: F.struct((a["n"] + F.when(a["on"] & (x == c), 1).otherwise(0)).alias("n"), (a["on"] & (x == c)).alias("on")))["n"]
-    cell = lambda c, i: F.when(~merged(c, i), _cell(F.col("table_row"), i, c, F.when((F.col("table_row") < header) & (c != ""), wide(c, i)).otherwise(1), F.lit(1)))
-    cells = F.filter(F.transform("cells", cell), lambda x: x.isNotNull())
-    table = rows.select("page_id", "table_row", cells.alias("cells")).groupBy("page_id").agg(F.array_sort(F.flatten(F.collect_list("cells"))).cast(CELLS).alias("cells"), F.count("*").cast("int").alias("n_rows"))
-    out = top.select(*line(0, F.col("rank"), "paragraph", F.col("text")))
-    out = out.unionByName(table.select("page_id", F.lit(1).alias("part"), F.lit(0).alias("sub"), F.lit("table").alias("kind"), F.lit("").alias("text"), "cells", "n_rows", F.lit(spec.width).alias("n_cols")))
-    out = out.unionByName(table.select(*line(2, F.lit(0), "blank", F.lit(""))))
-    return out.unionByName(anchored.anchored_tail(texts, spec).select(*line(3, F.col("elem_idx"), "paragraph", F.col("text"))))
-
-
-def document_blocks(pages: DataFrame, found: DataFrame, single: bool = False, keep_text: bool = False, handlers: dict[str, anchored.Anchored] | None = None) -> DataFrame:
+def document_blocks(pages: DataFrame, found: DataFrame, single: bool = False, keep_text: bool = False, handlers: dict[str, Handler | Anchored] | None = None) -> DataFrame:
     """doc_id, block_seq, kind, text, cells, n_rows and n_cols of the documents.
 
     ``pages`` has doc_id, page_id, page_seq and filename; ``found`` the elements of the pages. ``handlers``
-    are specifications by file name, a registry in code.
+    are functions (operators.handlers), or specifications of anchored tables, by file name.
     """
     special = handlers or {}
     named = pages.select("page_id", "filename").where(F.col("filename").isin(list(special))) if special else None
@@ -70,9 +43,9 @@ def document_blocks(pages: DataFrame, found: DataFrame, single: bool = False, ke
     order = ["page_id", "block_seq"]
     out = with_tables(elements.blocks(pages, general, single, keep_text, doc="doc_id"), *order)
     out = out.withColumn("part", F.when(F.col("kind") == "heading", -1).when(F.col("kind") == "page_break", 9).otherwise(5))
-    for name, spec in special.items():
-        own = anchored_blocks(found.join(named.where(F.col("filename") == name).select("page_id"), "page_id", "left_semi"), spec)
-        out = out.unionByName(own.withColumn("block_seq", F.lit(0)))
+    if special:
+        own = handled_blocks(found, pages, special)
+        out = out.unionByName(own.withColumns({"part": F.lit(5), "block_seq": F.lit(0)}))
     full = out.join(pages.select("doc_id", "page_id", "page_seq"), "page_id")
     place = Window.partitionBy("doc_id").orderBy("page_seq", "part", "block_seq", "sub")
     return full.select("doc_id", (F.row_number().over(place) - 1).alias("block_seq"), "kind", "text", "cells", "n_rows", "n_cols")

@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.functions import rules, text
-from folioforge.operators import anchored, documents, elements, history, html_tables, intake, pdf_merge, results
+from folioforge.operators import anchored, documents, elements, handlers, history, html_tables, intake, pdf_merge, results
 from folioforge.session import shared_dir
 from folioforge.sources import docx, docx_merge, pdf, sinks
+from folioforge.sources.history_tree import read_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,6 +112,20 @@ def user_cascade(spark, sf_dir):
     return kept.groupBy("username", "ymd").agg(F.count("*").alias("n_files"))
 
 
+@query("""select 'u' || s_nationkey as username, cast(20240101 + s_suppkey % 5 as varchar) as ymd, 's' || s_suppkey || '.docx' || case when m then '.meta' else '' end as filename, case when m then s_name end as meta_content
+from supplier, (values (false), (true)) x(m) where s_nationkey in (1, 2, 3) and s_suppkey % 5 = 2 and (not m or s_suppkey % 3 = 0)""")
+def history_tree(spark, sf_dir):
+    """Suppliers as files of users' dates, some with a sidecar, written as a tree of which one date of three users is listed."""
+    s = table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("u"), _text("s_nationkey"), F.lit("/"), (20240101 + F.col("s_suppkey") % 5).cast("string"), F.lit("/converted_files/s"), _text("s_suppkey"), F.lit(".docx"))
+    files = s.select(name.alias("name"), F.lit(b"x").alias("content"))
+    metas = s.where("s_suppkey % 3 = 0").select(F.concat(name, F.lit(".meta")).alias("name"), F.col("s_name").cast("binary").alias("content"))
+    folder = shared_dir(spark).removeprefix("file://")
+    sinks.write_files(files.union(metas), folder)
+    found = read_tree(spark, folder).where("username in ('u1', 'u2', 'u3') and ymd = '20240103' and area = 'converted_files'")
+    return found.select("username", "ymd", "filename", "meta_content")
+
+
 @query(f"""with {_EVENT_HISTORY} select username, ymd, filename from (select *, row_number() over (partition by username order by ymd desc, filename) as r from h) where r = 1""")
 def history_latest(spark, sf_dir):
     return history.latest(_event_history(spark, sf_dir)).select("username", "ymd", "filename")
@@ -327,6 +342,19 @@ def handler_dispatch(spark, sf_dir):
     return anchored.dispatch(pages, handlers).select("page_id", "filename", "handler")
 
 
+@query("""select conv_id as page_id, 0 as sub, 'paragraph' as kind, count(*) || ' turns' as text from conversations where conv_id % 3 = 1 group by conv_id
+union all select conv_id, 1, 'paragraph', arg_max(text, turn) from conversations where conv_id % 3 = 1 group by conv_id
+union all select conv_id, n, 'paragraph', 'c2' from (select distinct conv_id from conversations where conv_id % 3 = 2), range(0, 2) t(n)""")
+def handled_pages(spark, sf_dir):
+    """Conversations as pages of three files, two of which have a handler of their own."""
+    c = table(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("page_id"), F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string"), F.lit(".jpg")).alias("filename")).distinct()
+    found = c.select(F.col("conv_id").alias("page_id"), F.col("turn").alias("elem_idx"), "text")
+    counted = lambda page: [("paragraph", f"{len(page)} turns"), ("paragraph", page[-1]["text"])]
+    named = lambda page: [("paragraph", page[0]["filename"][:2])] * 2
+    return handlers.handled_blocks(found, pages, {"c1.jpg": counted, "c2.jpg": named}).select("page_id", F.col("sub").cast("long").alias("sub"), "kind", "text")
+
+
 # --- HTML tables
 
 

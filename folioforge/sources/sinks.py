@@ -5,8 +5,8 @@
 
 A task writes below ``_staging-*`` in the target folder, which the driver and all tasks must
 share. Only when every task has succeeded do the files move to their names; a failed
-job leaves none, nor what its tasks have staged. A name that two files would have, or a document
-whose blocks came in several pieces, fails the job. ``overwrite`` removes files that the folder had,
+job leaves none, nor what its tasks have staged. Names may have folders. A name that two files would have, or a document
+whose blocks came in several pieces, fails the job. ``overwrite`` removes files that the folder itself had,
 once the new ones are there. The rows of a document need one task and their order: ``write_documents`` sees to it.
 """
 
@@ -65,7 +65,7 @@ class FileWriter(DataSourceWriter):
         files.create_dir(folder, recursive=True)
         names = []
         for name, fill in self.files(rows):
-            if not name or "/" in name or name.startswith((".", "_")):
+            if not name or any(not x or x in (".", "..") or x.startswith("_") for x in name.split("/")):
                 raise ValueError(f"not a file name: {name!r}")
             with files.open_output_stream(posixpath.join(folder, str(len(names)))) as out:
                 fill(out)
@@ -81,6 +81,8 @@ class FileWriter(DataSourceWriter):
             raise ValueError(f"several files would have the same name, or a document's blocks came from several tasks: {twice[:3]}")
         files.create_dir(root, recursive=True)
         before = {f.base_name for f in files.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File}
+        for folder in {posixpath.dirname(name) for m in told for name in m.names} - {""}:
+            files.create_dir(posixpath.join(root, folder), recursive=True)
         for m in told:
             for i, name in enumerate(m.names):
                 files.move(posixpath.join(m.folder, str(i)), posixpath.join(root, name))

@@ -6,11 +6,12 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from folioforge import session
 from folioforge.operators import anchored, documents, elements, history, intake, results
 from folioforge.plans.documents import extract, save
-from folioforge.sources import config, docx, providers, sinks
+from folioforge.sources import config, docx, history_tree, providers, sinks
 from folioforge.sources.files import dealt_by_size, in_natural_order, read_history, scan_file, scan_history, scan_images, uploaded_files
 
 ELEMENTS = "page_id string, elem_idx int, kind string, text string, html string, lines array<string>"
@@ -284,6 +285,52 @@ def test_documents_end_to_end(spark, tmp_path):
     assert (kept.format, kept.status, kept.message) == ("docx", "conversion_error_fallback", "no printer")
 
 
+def test_handlers_are_called_once_a_page(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def count(page):
+        with open(calls, "a") as f:
+            f.write(f"{page[0]['page_id']}\n")
+        return [("paragraph", " ".join(e["text"] for e in page)), ("table", "", [(0, 0, "x", 1, 1)], 1, 1)]
+
+    pages = spark.createDataFrame([(0, i, i, "own.jpg" if i % 2 else "6.jpg") for i in range(6)], "doc_id int, page_id long, page_seq int, filename string")
+    box = [{"x": 0.0, "y": 1.0}]
+    rows = [(i, j, None, f"t{j}", box, None, None) for i in range(6) for j in (2, 0, 1)]
+    found = spark.createDataFrame(rows, "page_id long, elem_idx int, kind string, text string, box array<struct<x:double,y:double>>, html string, lines array<string>").repartition(5)
+    out = documents.document_blocks(pages, found, handlers=anchored.HANDLERS | {"own.jpg": count}).collect()
+    assert sorted(open(calls).read().split()) == ["1", "3", "5"]
+    own = [r for r in sorted(out, key=lambda r: r.block_seq)]
+    assert [r.text for r in own if r.text == "t0 t1 t2"] == ["t0 t1 t2"] * 3 and [r.kind for r in own][:6] == ["heading", "paragraph", "paragraph", "table", "blank", "paragraph"]
+    assert sum(r.kind == "table" for r in own) == 6 and own[3].n_rows == 2 and own[3].n_cols == 5
+
+
+def test_history_tree(spark, tmp_path):
+    """A filter on user and date lists that folder alone."""
+    for user in ("u", "v", "w"):
+        for day in ("20240101", "20240102", "notes"):
+            folder = tmp_path / user / day / "converted_files"
+            folder.mkdir(parents=True)
+            (folder / f"{user}.docx").write_text("x")
+            (folder / f"{user}.docx.meta").write_text("one,two")
+            (tmp_path / user / day / "uploads").mkdir()
+    (tmp_path / "note.txt").write_text("x")
+    every = history_tree.read_tree(spark, str(tmp_path))
+    assert sorted(map(tuple, every.where("is_meta").collect())) == sorted((u, d, "converted_files", f"{u}.docx.meta", True, "one,two") for u in "uvw" for d in ("20240101", "20240102"))
+    assert every.count() == 12 and every.rdd.getNumPartitions() == 6
+    old = scan_history(spark, str(tmp_path))
+    assert sorted(map(repr, every.select(sorted(old.columns)).collect())) == sorted(map(repr, old.select(sorted(old.columns)).collect()))
+    one = every.where("username = 'v' and ymd = '20240102' and filename like '%.docx'")
+    assert [r.filename for r in one.collect()] == ["v.docx"] and one.rdd.getNumPartitions() == 1
+    reader = history_tree.HistoryReader(str(tmp_path))
+    left = list(reader.pushFilters([EqualTo(("username",), "v"), In(("ymd",), ("20240102", "19990101")), EqualTo(("filename",), "v.docx")]))
+    assert [f.attribute for f in left] == [("filename",)]
+    (day,) = reader.partitions()
+    assert (day.username, day.ymd, reader.listed) == ("v", "20240102", [])
+    assert len(list(reader.read(day))) == 2 and reader.listed == [str(tmp_path / "v" / "20240102"), str(tmp_path / "v" / "20240102" / "converted_files"), str(tmp_path / "v" / "20240102" / "uploads")]
+    assert every.where("username = 'none'").count() == 0 and every.where("username = '..'").count() == 0
+    assert history_tree.read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pages_of_several_documents(spark):
     """Each document ends without a page break."""
     pages = spark.createDataFrame([("d", "a", 0, "a.jpg"), ("d", "b", 1, "b.jpg"), ("e", "c", 0, "c.jpg")], "doc_id string, page_id string, page_seq int, filename string")
@@ -358,6 +405,8 @@ def test_document_sink(spark, tmp_path):
     assert (tmp_path / "plain" / "a.bin").read_bytes() == b"xy" and (tmp_path / "plain" / "b.bin").read_bytes() == b""
     with pytest.raises(Exception, match="not a file name"):
         sinks.write_files(files.withColumn("name", F.lit("../x")), str(tmp_path / "plain"))
+    sinks.write_files(files.withColumn("name", F.concat(F.lit("a/b/"), "name")), str(tmp_path / "plain"))
+    assert sorted(os.listdir(tmp_path / "plain" / "a" / "b")) == ["a.bin", "b.bin"]
     assert sinks.document_name("a/.x") == ".x.docx" and sinks.document_name("a/b/") == "b.docx"
 
 
