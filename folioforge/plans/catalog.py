@@ -20,6 +20,7 @@ from folioforge.operators import anchored, documents, elements, handlers, histor
 from folioforge.session import shared_dir
 from folioforge.sources import docx, docx_merge, pdf, sinks
 from folioforge.sources.history_tree import read_tree
+from folioforge.streaming.intake import drain, stream_intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -465,6 +466,20 @@ def upload_intake(spark, sf_dir):
     return taken.select("user_id", F.col("file_seq").alias("event_id"), "name", text.megabytes(F.col("size")).alias("size_mb"), F.col("slot").cast("long").alias("slot"))
 
 
+@query("""select user_id, event_id, name, size_mb, row_number() over (partition by user_id order by event_id) as slot from (
+  select user_id, event_id, event_type || (event_id % 40) as name, round(value, 2) as size_mb, row_number() over (partition by user_id, event_type || (event_id % 40) order by event_id) as r
+  from events where value <= 10) where r = 1 qualify slot <= 10""")
+def upload_stream(spark, sf_dir):
+    """The intake of the same uploads read as a stream, with state by user."""
+    schema = table(spark, sf_dir, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    files = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("file_seq"), F.concat(F.col("event_type"), (F.col("event_id") % 40).cast("string")).alias("name"), (F.col("value") * 1048576).alias("size"))
+    out, state = shared_dir(spark), shared_dir(spark)
+    drain(stream_intake(files).writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
+    taken = spark.read.parquet(out)
+    return taken.select(F.col("job_id").alias("user_id"), F.col("file_seq").alias("event_id"), "name", text.megabytes(F.col("size")).alias("size_mb"), F.col("slot").cast("long").alias("slot"))
+
+
 _NAMES = "(values (0, '.jpg'), (1, '.DOCX'), (2, '.ppt'), (3, '.txt'), (4, '.pdf'), (5, '.xls'), (6, '')) x(k, ext)"
 _EXTS = (".jpg", ".DOCX", ".ppt", ".txt", ".pdf", ".xls", "")
 _TABS = ("imgToWord", "wordToPdf", "pptToPdf", "txtToPdf", "pdfToImg")

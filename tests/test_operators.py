@@ -485,3 +485,24 @@ def test_streaming(spark, tmp_path):
     assert [(r.username, r.filename, r["size"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("ann", "a.jpg", 2)]
     day = spark.createDataFrame([(datetime.datetime(2024, 1, 1), "u", 5)], "ts timestamp, username string, size long")
     assert incremental.daily_counts(day).count() == 1
+
+
+def test_stream_intake(spark, tmp_path):
+    """The rows of the batch rules, however the stream is cut, also over restarts."""
+    from folioforge.streaming.intake import drain, stream_intake
+
+    rows = [(f"j{i % 3}", i, f"f{i * i % (17 if i % 3 else 5)}", 11 * 1024 * 1024 if i % 7 == 0 else 5) for i in range(90)]
+    schema = "job_id string, file_seq int, name string, size long"
+    want = sorted((r.job_id, r.file_seq, r.name, r["size"], r.slot) for r in intake.intake(spark.createDataFrame(rows, schema)).collect())
+    for cuts in ([90], [7, 8, 40, 90], [60, 61, 90]):
+        src, out = tmp_path / f"in{len(cuts)}", tmp_path / f"out{len(cuts)}"
+        src.mkdir()
+        last = 0
+        for n in cuts:  # each a run of its own
+            part = rows[last:n][::-1]
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+            last = n
+            files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+            drain(stream_intake(files).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", f"{out}.state"))
+        got = sorted((r.job_id, r.file_seq, r.name, r["size"], r.slot) for r in spark.read.parquet(str(out)).collect())
+        assert got == want
