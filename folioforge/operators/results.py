@@ -109,3 +109,9 @@ def library_gate(main_tab: Column, output_format: Column, has_converter: bool) -
     """The error of a job that needs the PDF library where it is missing; null if it may run."""
     blocked = (F.lower(output_format) == "pdf") & (main_tab != "imgToFile") & F.lit(not has_converter)
     return F.when(blocked, "PDF library is not available")
+
+
+def sidecars(rows: DataFrame) -> DataFrame:
+    """name and content of the sidecar of each success (username, ymd, converted_name, original_name, status): a merged file's holds its joined names, a single one's its own."""
+    name = F.concat_ws("/", "username", "ymd", F.lit("converted_files"), F.concat("converted_name", F.lit(".meta")))
+    return rows.where("status = 'success'").select(name.alias("name"), F.col("original_name").cast("binary").alias("content"))

@@ -567,6 +567,20 @@ def result_rows(spark, sf_dir):
     return results.result_rows(rows, F.lit("u"), F.split_part(F.col("job_id"), F.lit("/"), F.lit(2)), F.lit("no engine"))
 
 
+@query("""select 'u' || s_nationkey as username, '20240101' as ymd, 's' || s_suppkey || '.pdf' as filename, true as is_meta, s_name as meta_content from supplier where s_suppkey % 2 = 0
+union all select 'u' || s_nationkey, '20240101', 'merged.pdf', true, string_agg(s_name, ',' order by s_suppkey) from supplier group by s_nationkey""")
+def sidecar_files(spark, sf_dir):
+    """Sidecars of single files and of a merged one for each user, written and read back from the tree; every second single file failed."""
+    s = table(spark, sf_dir, "supplier").withColumns({"username": F.concat(F.lit("u"), _text("s_nationkey")), "ymd": F.lit("20240101")})
+    single = s.select("username", "ymd", F.concat(F.lit("s"), _text("s_suppkey"), F.lit(".pdf")).alias("converted_name"), F.col("s_name").alias("original_name"), F.when(F.col("s_suppkey") % 2 == 0, "success").otherwise("conversion_error").alias("status"))
+    merged = s.groupBy("username", "ymd").agg(text.ordered_join(F.col("s_suppkey"), F.col("s_name")).alias("original_name"))
+    rows = single.unionByName(merged.withColumns({"converted_name": F.lit("merged.pdf"), "status": F.lit("success")}))
+    folder = shared_dir(spark).removeprefix("file://")
+    sinks.write_files(results.sidecars(rows), folder)
+    found = read_tree(spark, folder).where("area = 'converted_files'")
+    return found.select("username", "ymd", F.regexp_replace("filename", "[.]meta$", "").alias("filename"), "is_meta", "meta_content")
+
+
 @query(f"""with {_FILES} select job_id, file_seq, regexp_extract(name, '[a-z]+') as name from f where not failed""")
 def without_result(spark, sf_dir):
     """Files are known by their number: names repeat in a job."""

@@ -463,6 +463,16 @@ def test_config(spark, tmp_path):
     assert config.load_config(spark, str(tmp_path / "long.yaml")).font_name == "Last"
 
 
+def test_settings_as_yaml(spark, tmp_path):
+    text = "---\n# a comment\ninput_directory: his pic # where\noutput_filename: 'it''s #1.docx'  # name\nlog_file: \"a\\tb\"\nlogger_name: ~\nother:\n  font_name: Nested\n  - x\nlist:\n- a\n- b\nfont_name: A:B\nnote: |\n  free text: here\nfont_size: 12\n"
+    (tmp_path / "c.yaml").write_text(text)
+    assert config.load_config(spark, str(tmp_path / "c.yaml")) == config.Config(input_directory="his pic", output_filename="it's #1.docx", log_file="a\tb", font_name="A:B", font_size=12)
+    for bad, why in (("no colon", "line 1: not a key"), ("a: 1\n  b: 2", "line 2: something below"), ("a: 'x", "line 1: a quote"), ("a: \"x\" y", "line 1: a quote"), ("font_size: big", "font_size is no number")):
+        (tmp_path / "bad.yaml").write_text(bad)
+        with pytest.raises(config.ConfigError, match=why):
+            config.load_config(spark, str(tmp_path / "bad.yaml"))
+
+
 def test_shared_tables(spark):
     a = session.written(spark.range(3))
     before = session.shared_tables(spark)
