@@ -36,6 +36,8 @@ MOST = 2
 WEIGHTS = (5, 2, 1)
 #: Slots of a shard, about, and slots that one row is expanded to while they are drawn.
 SHARD_SLOTS, DRAWN = 8192, 16_384
+#: Slots that a task permutes, about, and tasks for that at most.
+TASK_SLOTS, MOST_TASKS = 65_536, 10_000
 #: Rounds of the permutation, and the prime fields and generators of its keys and bits.
 ROUNDS, PRIME, OTHER_PRIME, GENERATORS = 12, (1 << 31) - 1, (1 << 31) - 19, (48_271, 69_621)
 
@@ -118,7 +120,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The slots (source, pass, block, words, shard, slot) of the mix, and every row's place (doc_id, source, size, start, source_size, target)."""
     placed = written(positions(docs))
     totals = written(plan_slots(source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")))))
-    shards = max(1, -(-(totals.agg(F.sum("slots").alias("n")).first().n or 0) // SHARD_SLOTS))
+    whole = totals.agg(F.sum("slots").alias("n")).first().n or 0
+    shards, tasks = max(1, -(-whole // SHARD_SLOTS)), min(MOST_TASKS, max(1, -(-whole // TASK_SLOTS)))
 
     # 1. each source's counts in the shards: its slots are drawn, some thousands from a row
     runs = totals.where("slots > 0").select("_k", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / DRAWN))).alias("_c")).repartition("_k", "_c")
@@ -128,7 +131,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # 2. slots are numbered shard after shard and mapped through the permutation of their source and pass
     before = Window.partitionBy("_k").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_from", F.sum("n").over(before) - F.col("n")).join(totals.select("source", "_k", "blocks", "full", "rest", "short", "_gap"), "_k")
-    slots = counts.repartition("_k", "shard").withColumn("slot", F.explode(F.sequence("_from", F.col("_from") + F.col("n") - 1))).withColumn("pass", F.expr("slot div blocks"))
+    # few rows become many slots: their number of tasks follows the slots, not the rows
+    slots = counts.repartition(tasks, "_k", "shard").withColumn("slot", F.explode(F.sequence("_from", F.col("_from") + F.col("n") - 1))).withColumn("pass", F.expr("slot div blocks"))
     slots = slots.withColumn("_i", F.expr("slot % blocks")).withColumn("block", F.expr(permuted("_i", "blocks", "(_k * 2 + pass)")))
     length = F.lit(BLOCK) - F.when(F.col("block") == F.col("blocks") - 1, F.col("_gap")).otherwise(0)
     left = F.col("rest") - F.col("_i") * BLOCK + F.when(F.col("short") < F.col("_i"), F.col("_gap")).otherwise(0)
