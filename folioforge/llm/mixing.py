@@ -84,12 +84,16 @@ def round_bit(a: str, b: str, x: str, which: str, div: str = "div") -> str:
     return f"({_scattered(x, a, b, f'({which} + 1)')}) {div} 32768 % 2 = 1"
 
 
-def permuted(index: str, n: str, which: str, inverse: bool = False) -> str:
-    """SQL of pi(index), or of pi's inverse, below n; a round is its own inverse."""
+def rounds_of(n: str, which: str, inverse: bool = False) -> str:
+    """SQL of the rounds of a permutation below n, an array: what a round needs besides the index."""
     constants = round_constants()[::-1] if inverse else round_constants()
-    rounds = ", ".join(f"struct({a}L as a, {b}L as b)" for a, b in constants)
-    other = f"({round_key('r.a', 'r.b', n, which)} + {n} - x) % {n}"
-    return f"aggregate(array({rounds}), cast({index} as bigint), (x, r) -> if({round_bit('r.a', 'r.b', f'greatest(x, {other})', which)}, {other}, x))"
+    return "array(" + ", ".join(f"struct({round_key(f'{a}L', f'{b}L', n, which)} + {n} as k, {a}L as a, {b}L as b)" for a, b in constants) + ")"
+
+
+def permuted(index: str, n: str, which: str, inverse: bool = False, rounds: str | None = None) -> str:
+    """SQL of pi(index), or of pi's inverse, below n; a round is its own inverse. ``rounds`` is a column that has ``rounds_of``."""
+    rounds = rounds or rounds_of(n, which, inverse)
+    return f"aggregate({rounds}, cast({index} as bigint), (x, r) -> if({round_bit('r.a', 'r.b', f'greatest(x, (r.k - x) % {n})', which)}, (r.k - x) % {n}, x))"
 
 
 def shard_of(k: str, j: str, shards: int | str) -> str:
@@ -132,8 +136,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = Window.partitionBy("_k").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_from", F.sum("n").over(before) - F.col("n")).join(totals.select("source", "_k", "blocks", "full", "rest", "short", "_gap"), "_k")
     # few rows become many slots: their number of tasks follows the slots, not the rows
-    slots = counts.repartition(tasks, "_k", "shard").withColumn("slot", F.explode(F.sequence("_from", F.col("_from") + F.col("n") - 1))).withColumn("pass", F.expr("slot div blocks"))
-    slots = slots.withColumn("_i", F.expr("slot % blocks")).withColumn("block", F.expr(permuted("_i", "blocks", "(_k * 2 + pass)")))
+    slots = counts.repartition(tasks, "_k", "shard").withColumns({f"_r{p}": F.expr(rounds_of("blocks", f"(_k * 2 + {p})")) for p in range(MOST)}).withColumn("slot", F.explode(F.sequence("_from", F.col("_from") + F.col("n") - 1))).withColumn("pass", F.expr("slot div blocks"))
+    slots = slots.withColumn("_i", F.expr("slot % blocks")).withColumn("block", F.expr(permuted("_i", "blocks", "(_k * 2 + pass)", rounds="if(pass = 0, _r0, _r1)")))
     length = F.lit(BLOCK) - F.when(F.col("block") == F.col("blocks") - 1, F.col("_gap")).otherwise(0)
     left = F.col("rest") - F.col("_i") * BLOCK + F.when(F.col("short") < F.col("_i"), F.col("_gap")).otherwise(0)
     slots = slots.withColumn("words", F.when(F.col("pass") < F.col("full"), length).otherwise(F.least(length, left)))
