@@ -58,7 +58,10 @@ def overwrite_history(history: DataFrame, path: str) -> None:
 
 
 def delete_from(path: str, history: DataFrame, deleted: DataFrame) -> None:
-    """Delete outputs from the dataset at the path, of which ``history`` is the reading: only the dates touched are written anew."""
+    """Delete outputs from the dataset at the path, of which ``history`` is the reading: only the dates touched are written anew.
+
+    A date of which nothing is left loses its folder last. If the job fails before that, the date's outputs are still there; run it again.
+    """
     spark = history.sparkSession
     dates = [(r.username, r.ymd) for r in deleted.select("username", "ymd").distinct().collect()]  # those of one request
     touched = history.where(F.struct("username", "ymd").isin([F.struct(F.lit(u), F.lit(d)) for u, d in dates])) if dates else history.where("false")
