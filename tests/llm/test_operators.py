@@ -373,9 +373,11 @@ def test_exact_topk(spark, monkeypatch):
     rows += [(50, [0.5] * 8), (50, [0.5] * 8), (None, [2.0] * 8), (-100, [-1.0] * 8)]  # repeated ids and rows, no id, below 0
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("block", F.lit("x")).withColumn("row", F.lit(1))
     want = brute_topk(rows, 50, 5)
-    for salt, queries_ in ((16_384, 512), (100, 3)):
+    for salt, queries_, cells, slab in ((16_384, 512, 1 << 23, 1 << 18), (100, 3, 800, 4)):
         monkeypatch.setattr(knn, "SALT_ROWS", salt)
         monkeypatch.setattr(knn, "BLOCK_QUERIES", queries_)
+        monkeypatch.setattr(knn, "TILE_CELLS", cells)
+        monkeypatch.setattr(knn, "SLAB_QUERIES", slab)
         for pivots in (8, None):
             assert sorted(repr(tuple(r)) for r in knn.top_k(df, pivots=pivots).collect()) == want
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
@@ -399,9 +401,27 @@ def test_topk_bounds_prune(spark, monkeypatch):
     """On clustered vectors, less than half of the pairs of query block and vector are replicated."""
     monkeypatch.setattr(knn, "BLOCK_QUERIES", 16)
     df = spark.createDataFrame(clustered(6000, 16), "vec_id long, embedding array<double>")
-    queries_, needed, _ = knn.replicate(df)
-    blocks = queries_.select("block").distinct().count()
-    assert blocks > 5 and needed.count() < 0.5 * blocks * 6000
+    plan = knn.exchange(df)
+    blocks = plan.queries.select("block").distinct().count()
+    assert blocks > 5 and sum(there for there, _ in plan.moved.values()) < 0.5 * blocks * 6000
+
+
+def test_topk_turns_round(spark, monkeypatch):
+    """Where bounds prune little the queries go to shares of the vectors; fewer rows move, the answers are the same."""
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 4)
+    monkeypatch.setattr(knn, "TILE_CELLS", 500 * 16)
+    monkeypatch.setattr(knn, "SLAB_QUERIES", 64)
+    small = np.random.default_rng(5).normal(size=(3000, 16)) / 1e6  # no answer to any query: this region sends few rows
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(small)]
+    rows += [(3000 + i, [10 * x for x in v]) for i, v in clustered(1500, 16, 0.01)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    plan = knn.exchange(df)
+    there = {r for r, (there, back) in plan.moved.items() if there <= back}
+    assert plan.passed is not None and there and len(there) < len(plan.moved)
+    turned = [v for r, v in plan.moved.items() if r not in there]
+    assert sum(back for _, back in turned) < 0.5 * sum(sent for sent, _ in turned)
+    assert plan.needed.count() == sum(plan.moved[r][0] for r in there)
+    assert sorted(repr(tuple(r)) for r in knn.top_k(df).collect()) == brute_topk(rows, 50, 5)
 
 
 # 6 -------------------------------------------------------------------------
