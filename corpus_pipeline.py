@@ -15,26 +15,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import language, mixing, neardup, packing, toxicity
-from folioforge.llm.common import read, remainder, written
+from folioforge.llm.common import read, remainder, small_batches, written
 from folioforge.llm.queries import labelled_documents, vocabulary_path
 from folioforge.session import release, shared_tables
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """The text beside the whole row, so that no column's name can clash with an operator's."""
-    return docs.select("text", F.struct(*docs.columns).alias("_row"))
+    """The text beside the rest of the row, so that no column's name can clash with an operator's."""
+    return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def unwrapped(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows that ``whole`` made, with the columns of docs again."""
+    return found.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, learnt from the labelled ones, marks as toxic."""
     model = toxicity.fit(labelled_documents(docs, read(spark, sf_dir, "labels")))
-    return toxicity.predict(whole(docs), model).where("predicted = 0").select("_row.*")
+    with small_batches(spark):  # whole rows go through Python
+        return written(unwrapped(toxicity.predict(whole(docs), model).where("predicted = 0"), docs))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that lie far from every language's centroids or have no letter."""
     model = language.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
-    return language.predict(whole(docs), model).where("not rejected").select("_row.*")
+    with small_batches(spark):
+        return written(unwrapped(language.predict(whole(docs), model).where("not rejected"), docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(docs, shingle_words=5, percent=80)
     kept = found.where("kept").select(F.col("doc_id").alias("_kept"))
     rows = whole(docs).withColumn("_id", F.col("_row.doc_id"))
-    return rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_id", "text"]).select("_row.*")
+    return unwrapped(rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_id", "text"]), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import slices, written
+from folioforge.llm.common import slices, small_batches, written
 from folioforge.llm.encoding import encoder
 
 TIERS = (2048, 1024, 512, 256)
@@ -125,7 +125,8 @@ def pieces(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TI
 
 def pack_documents(docs: DataFrame, path: str, end: int = 1, tiers: tuple[int, ...] = TIERS, pool_tokens: int = POOL_TOKENS) -> DataFrame:
     """One row for each piece, with its sequence's length ``context`` and the sequence's ``step_group``."""
-    made = written(pieces(docs, path, end, tiers, pool_tokens))
+    with small_batches(docs.sparkSession):
+        made = written(pieces(docs, path, end, tiers, pool_tokens))
     # one row for each task and length
     each = made.where("offset = 0").groupBy("task", "context").agg(F.count("*").alias("n"))
     tasks = Window.partitionBy("context").orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)

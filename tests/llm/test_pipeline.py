@@ -68,6 +68,36 @@ def test_stages_on_odd_rows(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).where("doc_id = 1").count() == 1
 
 
+def test_python_gets_small_batches(spark, monkeypatch):
+    docs = spark.range(1200).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'a' as source", "7L as n_chars").coalesce(1)
+
+    def bounded(df):
+        def run(batches):
+            for b in batches:
+                assert b.num_rows <= 500
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    def predicts(column, value):
+        def predict(df, model):
+            assert "text" not in df.schema["_row"].dataType.names  # the text goes once
+            return bounded(df).withColumn(column, F.lit(value))
+
+        return predict
+
+    for module in (corpus_pipeline.toxicity, corpus_pipeline.language):
+        monkeypatch.setattr(module, "fit", lambda rows: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "predict", predicts("predicted", 0))
+    monkeypatch.setattr(corpus_pipeline.language, "predict", predicts("rejected", False))
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_unknown_language):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.exceptAll(docs).count() == 0 and out.count() == 1200
+    pieces = corpus_pipeline.packing.pieces
+    monkeypatch.setattr(corpus_pipeline.packing, "pieces", lambda df, *rest: pieces(bounded(df), *rest))
+    assert corpus_pipeline.pack(spark, docs, SF).select("doc_id").distinct().count() == 1200
+
+
 def test_registered():
     import __spark_entry__ as entry
 
