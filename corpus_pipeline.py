@@ -6,7 +6,8 @@ the last returns the pieces of the packed sequences.
 
 Defined cases: null and empty texts count as clean, have no language and so go
 at the second stage; repeated rows stay until near_dedup keeps one of them;
-empty tables give empty results; further columns, whatever their names, stay.
+empty tables give empty results; further columns, whatever their names, stay. The first two stages
+leave the session with Arrow batches of ``BATCH_ROWS`` rows at most; ``run`` restores its setting.
 """
 
 from __future__ import annotations
@@ -20,6 +21,17 @@ from folioforge.llm.queries import labelled_documents, vocabulary_path
 from folioforge.session import release, shared_tables
 
 
+#: Rows that Python gets at a time; of Spark's 10,000, documents make tens of MB in each process.
+BATCH_ROWS = 1000
+
+
+def few_rows(spark: SparkSession) -> None:
+    """From now on the session sends Python no more than BATCH_ROWS rows at a time: a stage's rows are planned after it has returned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def whole(docs: DataFrame) -> DataFrame:
     """The text beside the rest of the row, so that no column's name can clash with an operator's."""
     return docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
@@ -33,15 +45,15 @@ def unwrapped(found: DataFrame, docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier, learnt from the labelled ones, marks as toxic."""
     model = toxicity.fit(labelled_documents(docs, read(spark, sf_dir, "labels")))
-    with small_batches(spark):  # whole rows go through Python
-        return written(unwrapped(toxicity.predict(whole(docs), model).where("predicted = 0"), docs))
+    few_rows(spark)
+    return unwrapped(toxicity.predict(whole(docs), model).where("predicted = 0"), docs)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that lie far from every language's centroids or have no letter."""
     model = language.fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
-    with small_batches(spark):
-        return written(unwrapped(language.predict(whole(docs), model).where("not rejected"), docs))
+    few_rows(spark)
+    return unwrapped(language.predict(whole(docs), model).where("not rejected"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +88,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), shared_tables(spark)
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
-        release(spark, before, keep=[docs])  # what the stage wrote besides its result, and the result of the one before
+    with small_batches(spark, BATCH_ROWS):  # the session has its own setting again afterwards
+        for _, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir))
+            release(spark, before, keep=[docs])  # what the stage wrote besides its result, and the result of the one before
     return docs

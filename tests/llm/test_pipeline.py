@@ -69,12 +69,14 @@ def test_stages_on_odd_rows(spark):
 
 
 def test_python_gets_small_batches(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
     docs = spark.range(1200).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang", "'a' as source", "7L as n_chars").coalesce(1)
 
     def bounded(df):
         def run(batches):
             for b in batches:
-                assert b.num_rows <= 500
+                assert b.num_rows <= 1000
                 yield b
 
         return df.mapInArrow(run, df.schema)
@@ -96,6 +98,7 @@ def test_python_gets_small_batches(spark, monkeypatch):
     pieces = corpus_pipeline.packing.pieces
     monkeypatch.setattr(corpus_pipeline.packing, "pieces", lambda df, *rest: pieces(bounded(df), *rest))
     assert corpus_pipeline.pack(spark, docs, SF).select("doc_id").distinct().count() == 1200
+    spark.conf.unset(key)
 
 
 def test_registered():
