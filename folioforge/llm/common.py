@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioforge.session import shared_dir, written  # noqa: F401
+from folioforge.session import shared_dir, small_batches, written  # noqa: F401
 
 #: Bytes hashed at once; bounds the scratch arrays whatever the text length.
 SEGMENT = 1 << 20
@@ -35,18 +35,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """What is run inside sends Python this many rows at a time: for rows that hold large values."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id as text, mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.operators.ranges import with_running
-from folioforge.session import written
+from folioforge.session import small_batches, written
 from folioforge.sources import pdf, sinks
 
 HEADER = b"%PDF-1.7\n"
 _ROWS = "number long, is_page boolean, pieces array<binary>, refs array<long>, error string"
 _EACH = 64
+#: Whole files that Python gets at a time.
+FILES_AT_ONCE = 32
 
 
 def objects(files: DataFrame) -> DataFrame:
@@ -28,9 +30,9 @@ def objects(files: DataFrame) -> DataFrame:
         names = ["job_id", "file_seq", "number", "is_page", "pieces", "refs", "error"]
         kinds = [None, None, pa.int64(), pa.bool_(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.string()]
         for b in batches:
-            for i, content in enumerate(b.column("content").to_pylist()):
+            for i, content in enumerate(b.column("content")):  # one file at a time
                 try:
-                    rows = [(*r, None) for r in pdf.page_objects(content or b"")]
+                    rows = [(*r, None) for r in pdf.page_objects(content.as_py() or b"")]
                 except (ValueError, KeyError, TypeError, IndexError, RecursionError) as e:  # whatever a damaged file leads to
                     rows = [(None, None, None, None, str(e) if isinstance(e, pdf.PdfError) else f"a damaged file: {e!r}")]
                 for lo in range(0, len(rows), _EACH):
@@ -59,7 +61,9 @@ def merged_parts(found: DataFrame) -> DataFrame:
     sizes = found.groupBy("job_id", "file_seq").agg(F.count("*").alias("n"))
     before = Window.partitionBy("job_id").orderBy("file_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = sizes.select("job_id", "file_seq", (F.sum("n").over(before) - F.col("n") + 2).alias("base"))
-    bodies = written(found.join(bases, ["job_id", "file_seq"]).select("job_id", "number", "base", "is_page", "pieces", "refs").mapInArrow(_assembled, f"job_id {job}, number long, is_page boolean, content binary"))
+    based = found.join(bases, ["job_id", "file_seq"]).select("job_id", "number", "base", "is_page", "pieces", "refs")
+    with small_batches(found.sparkSession):
+        bodies = written(based.mapInArrow(_assembled, f"job_id {job}, number long, is_page boolean, content binary"))
     # pages have the smallest numbers of their file, in order
     pages = bodies.where("is_page").groupBy("job_id").agg(F.array_sort(F.collect_list("number")).alias("kids"))
     total = bodies.groupBy("job_id").agg(F.max("number").alias("last"))
@@ -84,9 +88,26 @@ def merge_pdfs(files: DataFrame, folder: str) -> DataFrame:
 
     A job with a file that can't be read has the error of the first such file, and no output.
     """
-    found = written(objects(files))
+    with small_batches(files.sparkSession, FILES_AT_ONCE):  # also what makes the files, if that is Python
+        found = written(objects(files))
     bad = found.where("error is not null").groupBy("job_id").agg(F.min_by("error", "file_seq").alias("error"))
     good = found.join(bad, "job_id", "left_anti")
     sinks.write_parts(merged_parts(good).withColumn("name", F.concat(F.col("job_id").cast("string"), F.lit(".pdf"))), folder)
     pages = good.groupBy("job_id").agg(F.count_if("is_page").alias("pages"))
     return pages.select("job_id", F.lit(True).alias("ok"), "pages", F.lit(None).cast("string").alias("error")).union(bad.select("job_id", F.lit(False), F.lit(0).cast("long"), "error"))
+
+
+def page_texts(paths: DataFrame) -> DataFrame:
+    """path, page (from 0) and text of each page of the PDF files of these paths, in a folder that all tasks share; a task holds one file at a time."""
+
+    def run(batches):
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                files, at = sinks.filesystem(path)
+                with files.open_input_file(at) as f:
+                    texts = pdf.page_texts(f.read())
+                for lo in range(0, len(texts), _EACH):
+                    part = texts[lo : lo + _EACH]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.string())], names=["path", "page", "text"])
+
+    return paths.select("path").mapInArrow(run, "path string, page long, text string")

@@ -647,10 +647,9 @@ def merged_pdfs(spark, sf_dir):
     files = c.select(F.col("conv_id").alias("job_id"), F.col("turn").alias("file_seq"), page(F.coalesce("text", F.lit(""))).alias("content"))
     folder = shared_dir(spark).removeprefix("file://")
     pdf_merge.merge_pdfs(files, folder)
-    read = F.pandas_udf(lambda contents: contents.map(pdf.page_texts), T.ArrayType(T.StringType()))
     made = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
-    pages = made.select(F.regexp_extract("path", "([0-9]+)[.]pdf$", 1).cast("long").alias("conv_id"), F.posexplode(read("content")).alias("page", "text"))
-    return pages.select("conv_id", (F.col("page") + 1).cast("long").alias("page"), "text")
+    pages = pdf_merge.page_texts(made.select("path"))
+    return pages.select(F.regexp_extract("path", "([0-9]+)[.]pdf$", 1).cast("long").alias("conv_id"), (F.col("page") + 1).alias("page"), "text")
 
 
 @query("""with a as (select conv_id, turn, 1 as part, 'heading' as kind, 'Turn ' || turn as text from conversations union all select conv_id, turn, 2, 'paragraph', text from conversations

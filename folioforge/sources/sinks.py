@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from folioforge.session import small_batches
 from folioforge.sources.docx import write_document
 
 STAGING = "_staging-"
+#: Whole files that a task gets at a time.
+WHOLE_ROWS = 32
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -185,18 +188,21 @@ def register(spark: SparkSession) -> None:
 def write_files(files: DataFrame, folder: str, mode: str = "append") -> None:
     """Write rows (name, content) as files of the folder, from the tasks."""
     register(files.sparkSession)
-    files.select("name", "content").write.format("whole_files").mode(mode).save(folder)
+    with small_batches(files.sparkSession, WHOLE_ROWS):
+        files.select("name", "content").write.format("whole_files").mode(mode).save(folder)
 
 
 def write_parts(parts: DataFrame, folder: str, mode: str = "append") -> None:
     """Write rows (name, part, content) as files of the folder, each its parts in order."""
     register(parts.sparkSession)
     dealt = parts.select("name", "part", "content").repartition("name").sortWithinPartitions("name", "part")
-    dealt.write.format("file_parts").mode(mode).save(folder)
+    with small_batches(parts.sparkSession):
+        dealt.write.format("file_parts").mode(mode).save(folder)
 
 
 def write_documents(blocks: DataFrame, folder: str, font: str = "SimSun", size: int = 11, mode: str = "append") -> None:
     """Write the blocks as one file for each document, named after its doc_id."""
     register(blocks.sparkSession)
     dealt = blocks.repartition("doc_id").sortWithinPartitions("doc_id", "block_seq")
-    dealt.write.format("docx").option("font", font).option("size", str(size)).mode(mode).save(folder)
+    with small_batches(blocks.sparkSession):
+        dealt.write.format("docx").option("font", font).option("size", str(size)).mode(mode).save(folder)

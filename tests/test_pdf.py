@@ -101,3 +101,21 @@ def test_merge(spark, tmp_path):
     pdf_merge.merge_pdfs(again, str(tmp_path / "out"))
     assert pdf.page_texts(read("x")) == pdf.page_texts(read("a")) + ["one", "two", "three (x)"]
     assert pdf_merge.merge_pdfs(files.where("false"), str(tmp_path / "none")).collect() == []
+
+
+def test_python_gets_few_files(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def few(batches):
+        for b in batches:
+            assert b.num_rows <= pdf_merge.FILES_AT_ONCE
+            yield b
+
+    rows = [(i % 2, i, bytearray(pdf.one_page(f"p{i}"))) for i in range(100)]
+    files = spark.createDataFrame(rows, "job_id long, file_seq long, content binary").coalesce(1)
+    merged = pdf_merge.merge_pdfs(files.mapInArrow(few, files.schema), str(tmp_path / "out"))
+    assert {r.job_id: r.pages for r in merged.collect()} == {0: 50, 1: 50} and spark.conf.get(key) == before
+    paths = spark.createDataFrame([(f"file:{tmp_path}/out/{j}.pdf",) for j in (0, 1)], "path string")
+    got = [(r.path[-5], r.page, r.text) for r in pdf_merge.page_texts(paths).orderBy("path", "page").collect()]
+    assert got == [(str(j), k, f"p{2 * k + j}") for j in (0, 1) for k in range(50)]
