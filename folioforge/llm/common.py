@@ -26,7 +26,7 @@ SLICE_BYTES = 1 << 20
 #: Code points that end a word: space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -126,7 +126,7 @@ def give_back() -> None:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
+        for i, base in enumerate((BASE, _INVERSE)):
             steps = np.full(max(n, SEGMENT + 1), base, np.uint64)
             steps[0] = 1
             _powers[i] = np.cumprod(steps)

@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import mix, powers
+from folioforge.llm.common import BASE, mix, slices
 
 SIZE = 128
 PART_CHARS = 8_000_000
@@ -30,64 +32,106 @@ PART_CHARS = 8_000_000
 MOST_PARTS, SAMPLED = 8192, 64
 
 
-def phrases(text: str, start: int = 0, known: set | None = None) -> tuple[list[int], set]:
-    """Ends of the LZ78 phrases of text[start:], given the phrases known so far; and all phrases then known.
+def codes(text: str) -> tuple[bytes | array, int]:
+    """The code points of a text, and the number of bits that hold any of them."""
+    try:
+        return text.encode("latin-1"), 8
+    except UnicodeEncodeError:
+        return array("I", text.encode(f"utf-32-{sys.byteorder[0]}e", "surrogatepass")), 21
 
-    Every beginning of a known phrase is known, so the longest known phrase is
-    found by stepping its length up or down from the last one's.
+
+def walk(points: bytes | array, bits: int, trie: dict[int, int], node: int = 0) -> int:
+    """Go on with an LZ78 parse that stands at ``node`` of its trie of phrases; where it stands after the last code point.
+
+    The n-th phrase is the node n << bits, the root 0; the trie has node + code
+    point -> node, in the order of the phrases. A phrase is one dictionary look-up
+    a code point, however long it is.
     """
-    known = set() if known is None else known
-    add, ends, n, i, size = known.add, [], len(text), start, 3
-    while i < n:
-        piece = text[i : i + size]
-        if piece in known:
-            while i + size < n:
-                size += 1
-                piece = text[i : i + size]
-                if piece not in known:
-                    break
-            else:
-                size = n - i
-        else:
-            while size > 1:
-                shorter = text[i : i + size - 1]
-                if shorter in known:
-                    break
-                piece = shorter
-                size -= 1
-        i += len(piece)
-        size = max(len(piece), 1)
-        add(piece)
-        ends.append(i)
-    return ends, known
-
-
-def signature(text: str, ends: list[int]) -> np.ndarray:
-    """The smallest hashes of the set of phrases, ascending."""
-    if not ends:
-        return np.zeros(0, np.uint32)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    stop = np.array(ends)
-    begin = np.concatenate(([0], stop[:-1]))
-    power, inverse = powers(len(codes) + 1)
-    total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=total[1:])
-    hashes = mix((total[stop] - total[begin]) * inverse[begin] ^ (stop - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    small = (hashes >> np.uint64(32)).astype(np.uint32)
-    if len(small) > 4 * SIZE:  # few of the hashes can be among the smallest: drop the rest before sorting
-        cut = np.partition(small, 2 * SIZE)[2 * SIZE]
-        least = np.unique(small[small <= cut])
-        if len(least) >= SIZE:
-            return least[:SIZE]
-    return np.unique(small)[:SIZE]
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard index of two phrase sets from their signatures."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)[:SIZE]
-    return float(np.isin(union, np.intersect1d(a, b, assume_unique=True), assume_unique=True).sum() / len(union))
+    put, fresh, step = trie.setdefault, (len(trie) + 1) << bits, 1 << bits
+    for c in points:
+        node = put(node + c, fresh)
+        if node is fresh:  # no such phrase so far
+            fresh += step
+            node = 0
+    return node
+
+
+def edges(trie: dict[int, int]) -> np.ndarray:
+    return np.fromiter(trie, np.uint64, len(trie))
+
+
+def spelled(tries: list[np.ndarray], bits: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and hashes of the phrases of many tries, given by their edges, and the n + 1 offsets of the tries.
+
+    Phrases are spelled from the root, those of one length at a time.
+    """
+    count = np.array([len(t) for t in tries], np.int64)
+    at = np.concatenate(([0], np.cumsum(count)))
+    edge = np.concatenate(tries) if tries else np.zeros(0, np.uint64)
+    shift = np.repeat(np.array(bits, np.uint64), count)
+    before = (edge >> shift).astype(np.int64) - 1  # the phrase that one code point makes this one, none for -1
+    gain = (edge & ((np.uint64(1) << shift) - np.uint64(1))) + np.uint64(1)
+    begins = before < 0
+    before += np.repeat(at[:-1], count)
+    length, total = np.zeros(len(edge), np.int64), np.zeros(len(edge), np.uint64)
+    now, rest = np.flatnonzero(begins), np.flatnonzero(~begins)
+    n, power = 1, np.ones(1, np.uint64)
+    length[now], total[now] = n, gain[now]
+    while len(rest):
+        n, power = n + 1, power * BASE
+        stem = before[rest]
+        ready = length[stem] > 0
+        now, stem, rest = rest[ready], stem[ready], rest[~ready]
+        length[now], total[now] = n, total[stem] + gain[now] * power
+    return length, mix(total ^ length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), at
+
+
+def phrases(text: str) -> tuple[list[int], dict[int, int]]:
+    """Ends of the LZ78 phrases of a text, and their trie."""
+    trie: dict[int, int] = {}
+    points, bits = codes(text)
+    rest = walk(points, bits, trie)
+    ends = np.cumsum(spelled([edges(trie)], [bits])[0]).tolist()
+    return ends + [len(text)] * (rest > 0), trie
+
+
+def ascending(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, sorted; np.unique hashes them, which takes several times as long."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def signatures(tries: list[np.ndarray], bits: list[int]) -> list[np.ndarray]:
+    """For each trie the smallest hashes of its phrases, ascending."""
+    _, hashes, at = spelled(tries, bits)
+    small, count = hashes >> np.uint64(32), np.diff(at)
+    owner = np.repeat(np.arange(len(count), dtype=np.uint64), count)
+    # few of the hashes can be among the smallest: drop the rest before sorting, except where that leaves too few
+    least = small < np.repeat(((2 * SIZE << 32) // np.maximum(count, 1)).astype(np.uint64), count)
+    keys = owner << np.uint64(32) | small
+    kept = ascending(keys[least])
+    have = np.bincount((kept >> np.uint64(32)).astype(np.int64), minlength=len(count))
+    few = have < np.minimum(count, SIZE)
+    if few.any():
+        kept = ascending(keys[least | np.repeat(few, count)])
+    begin = np.searchsorted(kept, np.arange(len(count) + 1, dtype=np.uint64) << np.uint64(32))
+    values = (kept & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return [values[lo : min(lo + SIZE, hi)] for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+
+
+def likenesses(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Estimated Jaccard indexes of pairs of phrase sets from their signatures."""
+    both = np.full((len(a), 2 * SIZE), 1 << 32, np.int64)
+    for row, x, y in zip(both, a, b, strict=True):
+        row[: len(x)] = x
+        row[SIZE : SIZE + len(y)] = y
+    both.sort(axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    rank = np.cumsum(~again, axis=1)  # in the union, from 1
+    within = (both < 1 << 32) & (rank <= SIZE)
+    union = (within & ~again).sum(axis=1)
+    return np.where(union > 0, (within & again).sum(axis=1) / np.maximum(union, 1), 1.0)
 
 
 def packed(sig: np.ndarray) -> str:
@@ -95,11 +139,11 @@ def packed(sig: np.ndarray) -> str:
 
 
 def fingerprint(text: str | None) -> str:
-    return packed(signature(text or "", phrases(text or "")[0]))
+    return packed(signatures([edges(phrases(text or "")[1])], [codes(text or "")[1]])[0])
 
 
 def compare(a: str, b: str) -> float:
-    return likeness(*(np.frombuffer(base64.b64decode(x), "<u4") for x in (a, b)))
+    return float(likenesses(*([np.frombuffer(base64.b64decode(x), "<u4")] for x in (a, b)))[0])
 
 
 def _bytes(*keys: np.ndarray) -> np.ndarray:
@@ -153,45 +197,49 @@ def with_next(docs: DataFrame, part_chars: int = PART_CHARS) -> tuple[DataFrame,
     return both.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", "guest", F.desc("_id"), "_h", "text"), len(cuts) + 1
 
 
-def _row(doc_id, text: str, after: str, sig: np.ndarray, after_sig: np.ndarray, ends: list[int]) -> tuple:
-    n = len(text)
-    kept = n - n // 2
-    edited = text[:kept] + after[: n // 2]
-    # the parse of the kept half is the same up to the last phrase that ends in it
-    count = int(np.searchsorted(ends, kept, "right")) if ends else 0
-    head = ends[:count]
-    starts = [0, *head]
-    known = {text[a:b] for a, b in zip(starts, head, strict=False)}
-    tail, _ = phrases(edited, starts[-1], known)
-    edited_sig = signature(edited, head + tail)
-    return (doc_id, n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), packed(sig), packed(edited_sig), likeness(sig, edited_sig), likeness(sig, after_sig))
-
-
 COLUMNS = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
 
-def _flush(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(COLUMNS.values())], names=list(COLUMNS))
+def _parsed(text: str, after: str | None, own: bool) -> tuple[list[np.ndarray], int]:
+    """Edges of the tries of a text (if ``own``) and of its edited form (if a text comes after it); the half that both keep is parsed once."""
+    kept = len(text) - len(text) // 2
+    points, bits = codes(text + (after or "")[: len(text) // 2])
+    trie: dict[int, int] = {}
+    node = walk(points[:kept], bits, trie)
+    out = []
+    for wanted, tail, known in ((own, points[kept : len(text)], trie.copy()), (after is not None, points[len(text) :], trie)):
+        if wanted:
+            walk(tail, bits, known, node)
+            out.append(edges(known))
+    return out, bits
+
+
+def _compared(batches):
+    """Rows of ``with_next`` to results. The last row of a slice waits, with its signature, for the first of the next slice."""
+    held, known = [], []
+    for b in slices(batches):
+        rows = held + list(zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text", "guest")), strict=True))
+        after = [n[2] if n[0] == r[0] and not r[3] else None for r, n in zip(rows, rows[1:], strict=False)] + [None]
+        tries, bits = [], []
+        for i, (row, text) in enumerate(zip(rows, after, strict=True)):
+            found, width = _parsed(row[2], text, i >= len(known))
+            tries += found
+            bits += [width] * len(found)
+        found = iter(signatures(tries, bits))
+        own, edited = [], []
+        for i, text in enumerate(after):
+            own.append(known[i] if i < len(known) else next(found))
+            edited.append(None if text is None else next(found))
+        at = [i for i, text in enumerate(after) if text is not None]
+        held, known = rows[-1:], own[-1:]
+        texts = [rows[i][2] for i in at]
+        digests = [hashlib.sha256((t[: len(t) - len(t) // 2] + after[i][: len(t) // 2]).encode("utf-8", "surrogatepass")).hexdigest() for i, t in zip(at, texts, strict=True)]
+        mine, other = [own[i] for i in at], [edited[i] for i in at]
+        values = ([rows[i][1] for i in at], [len(t) for t in texts], digests, [packed(x) for x in mine], [packed(x) for x in other], likenesses(mine, other), likenesses(mine, [own[i + 1] for i in at]))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, COLUMNS.values(), strict=True)], names=list(COLUMNS))
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprint each text, its edited form and the next text, and compare them; see the module's head for the cases."""
     dealt, _ = with_next(docs.select("doc_id", "text"))
-
-    def run(batches):
-        held, out = None, []  # the row that waits for its next one: part, id, text, signature, ends
-        for b in batches:
-            for i in range(b.num_rows):
-                part, doc_id, text, guest = (b.column(c)[i].as_py() for c in ("part", "doc_id", "text", "guest"))
-                ends, _ = phrases(text)
-                sig = signature(text, ends)
-                if held and held[0] == part:
-                    out.append(_row(held[1], held[2], text, held[3], sig, held[4]))
-                held = None if guest else (part, doc_id, text, sig, ends)
-                if len(out) >= 1000:
-                    yield _flush(out)
-                    out = []
-        if out:
-            yield _flush(out)
-
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(_compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -316,6 +317,75 @@ def test_edits_over_ranges(spark, documents, monkeypatch):
     pd.testing.assert_frame_equal(lzprint.edits(documents).toPandas().sort_values("doc_id").reset_index(drop=True), whole)
 
 
+def compared(rows, monkeypatch):
+    """What op3's task makes of rows of one range, 50 to a batch, with the CPU seconds that it takes."""
+
+    class Given:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, task, schema):  # noqa: N802
+            return task
+
+    monkeypatch.setattr(lzprint, "with_next", lambda df: (Given(), 1))
+    every = [*[(0, i, t, False) for i, t in enumerate(rows)], (0, 0, rows[0], True)]
+    schema = pa.schema({"part": pa.int32(), "doc_id": pa.int64(), "text": pa.string(), "guest": pa.bool_()})
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*every[i : i + 50], strict=True), schema, strict=True)], schema=schema) for i in range(0, len(every), 50)]
+    began = time.process_time()
+    out = list(lzprint.edits(Given())(iter(batches)))
+    return pa.Table.from_batches(out).to_pylist(), time.process_time() - began
+
+
+def test_edits_in_few_seconds(pdf, monkeypatch):
+    """Both parses, signatures and likenesses of a row take less than three times as long as one plain parse of its text."""
+    texts = [t for t in pdf.text if t] * 4
+    ratios = []
+    for _ in range(3):
+        began = time.process_time()
+        for t in texts:
+            known, piece = set(), ""
+            for c in t:
+                piece += c
+                if piece not in known:
+                    known.add(piece)
+                    piece = ""
+        plain = time.process_time() - began
+        got, took = compared(texts, monkeypatch)
+        assert len(got) == len(texts)
+        ratios.append(took / plain)
+    assert min(ratios) < 3, ratios
+
+
+def test_edits_of_odd_texts(monkeypatch):
+    """Narrow texts before wide ones and the other way round, runs, empty and long texts: as each text parsed on its own."""
+    texts = ["", "a", "aa", "", "narrow text \xff " * 9, "中文字符 " * 300, "🙂" * 500, "x", "a" * 30_000, "".join(chr(i % 3000) for i in range(40_000)), "\x00\x00\x00\x01", "\x00" * 10, *("ab" * i for i in range(60)), "b" * 1_200_000, "end"]
+    for t in texts[:-2]:
+        assert lzprint.phrases(t)[0] == brute_phrases(t)[0]
+    got, _ = compared(texts, monkeypatch)
+    for i, (t, n, r) in enumerate(zip(texts, texts[1:] + texts[:1], got, strict=True)):
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        sets = [brute_phrases(x)[1] for x in (t, e, n)] if max(len(t), len(n)) < 10_000 else None
+        prints = [lzprint.fingerprint(x) for x in (t, e, n)]
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (i, len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple(prints[:2])
+        for other, near in ((1, r["near_edited"]), (2, r["near_next"])):
+            assert near == lzprint.compare(prints[0], prints[other])
+            if sets and max(map(len, sets)) <= lzprint.SIZE:
+                union = sets[0] | sets[other]
+                assert near == (len(sets[0] & sets[other]) / len(union) if union else 1) or len(union) > lzprint.SIZE
+
+
+def test_signatures_where_few_hashes_are_small():
+    """A trie whose hashes all lie above the expected bound still gives its smallest ones."""
+    trie = lzprint.edges(lzprint.phrases("".join(chr(i % 3000 + 300) for i in range(9000)))[1])
+    whole = np.unique((lzprint.spelled([trie], [21])[1] >> np.uint64(32)).astype(np.uint32))
+    assert lzprint.signatures([trie, trie[:0], trie], [21, 8, 21])[2].tolist() == whole[: lzprint.SIZE].tolist()
+    high = trie[np.isin((lzprint.spelled([trie], [21])[1] >> np.uint64(32)).astype(np.uint32), whole[2 * len(whole) // 3 :]) & (trie < 1 << 21)]
+    assert len(high) > 500  # single code points, none of whose hashes is below the bound
+    want = np.unique((lzprint.spelled([high], [21])[1] >> np.uint64(32)).astype(np.uint32))[: lzprint.SIZE]
+    assert lzprint.signatures([high], [21])[0].tolist() == want.tolist() and len(want) == lzprint.SIZE
+
+
 # 4 -------------------------------------------------------------------------
 
 
